@@ -84,14 +84,11 @@ COVERAGE = """
 caught AS (SELECT DISTINCT f.unit_id, o.slot, o.candidate_id FROM observed o
            JOIN (SELECT id, any_value(path) AS path, max(sev_rank) AS top FROM f2_valid GROUP BY id) c ON c.id = o.candidate_id AND c.top >= 3
            JOIN f3 f ON f.path = c.path),
-sizes AS (SELECT unit_id, slot, count(*) AS n, row_number() OVER (PARTITION BY unit_id ORDER BY count(*) DESC, slot) AS place FROM caught GROUP BY ALL),
-per_unit AS (
-  SELECT c.unit_id, count(DISTINCT c.candidate_id) AS captured, count(DISTINCT c.slot) AS slots,
-         (SELECT n FROM sizes s WHERE s.unit_id = c.unit_id AND place = 1) AS n1, coalesce((SELECT n FROM sizes s WHERE s.unit_id = c.unit_id AND place = 2), 0) AS n2,
-         (SELECT count(*) FROM caught a JOIN sizes s1 ON s1.unit_id = a.unit_id AND s1.slot = a.slot AND s1.place = 1
-            JOIN caught b ON b.unit_id = a.unit_id AND b.candidate_id = a.candidate_id
-            JOIN sizes s2 ON s2.unit_id = b.unit_id AND s2.slot = b.slot AND s2.place = 2 WHERE a.unit_id = c.unit_id) AS overlap
-  FROM caught c GROUP BY c.unit_id)"""
+sizes AS (SELECT unit_id, slot, count(*) AS n, row_number() OVER (PARTITION BY unit_id ORDER BY count(*) DESC, slot) AS place FROM caught GROUP BY unit_id, slot),
+per_id AS (SELECT c.unit_id, c.candidate_id, max(CASE WHEN s.place = 1 THEN 1 ELSE 0 END) AS a, max(CASE WHEN s.place = 2 THEN 1 ELSE 0 END) AS b
+           FROM caught c JOIN sizes s ON s.unit_id = c.unit_id AND s.slot = c.slot GROUP BY ALL),
+per_unit AS (SELECT p.unit_id, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2, CAST(sum(a * b) AS BIGINT) AS overlap, count(*) AS captured, any_value(z.slots) AS slots
+             FROM per_id p JOIN (SELECT unit_id, count(*) AS slots FROM sizes GROUP BY unit_id) z ON z.unit_id = p.unit_id GROUP BY p.unit_id)"""
 COVERAGE_ROW = """
 SELECT unit_id, n1, n2, overlap, captured,
        round(CASE WHEN slots < 2 THEN 0.0 ELSE least(1.0, captured / ((n1 + 1) * (n2 + 1) / CAST(overlap + 1 AS DOUBLE) - 1)) END, 6) AS coverage_raw FROM per_unit"""
