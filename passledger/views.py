@@ -37,6 +37,19 @@ SELECT doc_id,
               CASE WHEN doc_id % 5 = 0 THEN '.py' WHEN doc_id % 5 = 1 THEN '.yaml' WHEN doc_id % 5 = 2 THEN '.tf'
                    WHEN doc_id % 5 = 3 THEN '.md' ELSE '' END) END AS path,
        CASE WHEN doc_id % 10 = 4 THEN concat('#!/bin/sh', chr(10), text) ELSE text END AS content
+FROM documents""",
+    # corpus whose files end in configuration and source idioms, one kind per document number
+    "f1_code": """
+SELECT doc_id,
+       CASE WHEN doc_id % 37 = 0 THEN concat(source, '/gradle/w', doc_id, '/gradle-wrapper.properties')
+            ELSE concat(CASE WHEN doc_id % 31 = 0 THEN 'vendor/' ELSE '' END, source, CASE doc_id % 8 WHEN 0 THEN '/src/test/f' WHEN 1 THEN '/conf/f' ELSE '/src/f' END, doc_id,
+                 CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.properties' WHEN 2 THEN '.yml' WHEN 3 THEN '.gradle' WHEN 4 THEN '.js' ELSE '.txt' END) END AS path,
+       concat(text, chr(10), CASE WHEN doc_id % 37 = 0 THEN concat('distributionUrl=https://x/g-', doc_id, '.zip') ELSE '' END, chr(10),
+         CASE WHEN doc_id % 74 = 0 THEN 'distributionSha256Sum=abc' ELSE '' END, chr(10),
+         CASE doc_id % 12 WHEN 0 THEN 'requests.get(url, verify = False)' WHEN 1 THEN '# debug = true' WHEN 2 THEN concat('db_password = "hunter', doc_id, '"')
+              WHEN 3 THEN 'Access-Control-Allow-Origin: *' WHEN 4 THEN 'http.csrf().disable(); debug: true' WHEN 5 THEN '  // verify: false'
+              WHEN 6 THEN 'x = obj.__proto__' WHEN 7 THEN 'spring=3.5.+' WHEN 8 THEN '! legacy=4.+' WHEN 9 THEN 'compile "y:z:latest.release"'
+              WHEN 10 THEN 'Cipher.getInstance("AES/ECB")' ELSE 'plain words' END, chr(10)) AS content
 FROM documents""",
     # raw observations
     "f2": """
