@@ -95,15 +95,15 @@ PACK = f"""
 WITH RECURSIVE {CLASSES}, dirs AS (
   SELECT concat(repo, '-', doc_id % 40) AS repo, CAST(sum(lines) AS BIGINT) AS loc FROM classed WHERE class IN ('code', 'shebang') GROUP BY 1),
 caps AS (SELECT greatest(200, CAST(ceil(sum(loc) / 40.0) AS BIGINT)) AS cap FROM dirs),
-sized AS (SELECT repo, loc, row_number() OVER (ORDER BY loc DESC, repo) AS k FROM dirs),
+sized AS (SELECT repo, loc, cap, row_number() OVER (ORDER BY loc DESC, repo) AS k FROM dirs CROSS JOIN caps),
 walk AS (
-  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS loads, CAST(NULL AS VARCHAR) AS repo, CAST(0 AS BIGINT) AS loc, CAST(0 AS BIGINT) AS at
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS loads, CAST(NULL AS VARCHAR) AS repo, CAST(0 AS BIGINT) AS loc, CAST(0 AS BIGINT) AS bin_no
   UNION ALL
   SELECT k, CASE WHEN hit IS NULL THEN list_append(loads, loc) ELSE list_transform(loads, lambda x, i: CASE WHEN i = hit THEN x + loc ELSE x END) END,
          repo, loc, coalesce(hit, len(loads) + 1)
-  FROM (SELECT s.k, w.loads, s.repo, s.loc, CAST(list_position(list_transform(w.loads, lambda x: x + s.loc <= (SELECT cap FROM caps)), true) AS BIGINT) AS hit
+  FROM (SELECT s.k, w.loads, s.repo, s.loc, CAST(list_position(list_transform(w.loads, lambda x: x + s.loc <= s.cap), true) AS BIGINT) AS hit
         FROM walk w JOIN sized s ON s.k = w.k + 1))
-SELECT repo, loc, concat('UNIT-', lpad(CAST(at AS VARCHAR), 3, '0')) AS unit_id FROM walk WHERE k > 0"""
+SELECT repo, loc, concat('UNIT-', lpad(CAST(bin_no AS VARCHAR), 3, '0')) AS unit_id FROM walk WHERE k > 0"""
 
 
 @query("unit_packing", "A5", PACK)
@@ -114,8 +114,8 @@ def unit_packing(spark, sf):
 
 
 @query("unit_listing", "A5 J1", PACK.replace(
-    "SELECT repo, loc, concat('UNIT-', lpad(CAST(at AS VARCHAR), 3, '0')) AS unit_id FROM walk WHERE k > 0",
-    "SELECT concat('UNIT-', lpad(CAST(w.at AS VARCHAR), 3, '0')) AS unit_id, c.path FROM walk w JOIN classed c ON concat(c.repo, '-', c.doc_id % 40) = w.repo AND c.class IN ('code', 'shebang')"))
+    "SELECT repo, loc, concat('UNIT-', lpad(CAST(bin_no AS VARCHAR), 3, '0')) AS unit_id FROM walk WHERE k > 0",
+    "SELECT concat('UNIT-', lpad(CAST(w.bin_no AS VARCHAR), 3, '0')) AS unit_id, c.path FROM walk w JOIN classed c ON concat(c.repo, '-', c.doc_id % 40) = w.repo AND c.class IN ('code', 'shebang')"))
 def unit_listing(spark, sf):
     files = co.census(view(spark, sf, "f1_mixed").withColumn("n", F.col("doc_id") % 40), scope=["n"])
     files = files.withColumn("repo", F.concat_ws("-", "repo", F.col("n").cast("string")))
