@@ -90,13 +90,27 @@ def redact_text(text) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def redact_with_counts(text) -> Column:
+    """struct<text, counts struct<category: bigint ...>>: the masking chain and the replacements each step made."""
+
+    def step(i: int, current: Column, counts: list[Column]) -> Column:
+        if i == len(C.REDACTIONS):
+            return F.struct(current.alias("text"), F.struct(*counts).alias("counts"))
+        category, pattern, replacement = C.REDACTIONS[i]
+        n = F.regexp_count(current, F.lit(unicode_pattern(pattern))).cast("bigint").alias(category)
+        after = F.regexp_replace(current, unicode_pattern(pattern), replacement.replace("\\", "\\\\"))
+        return _let(after, lambda t: step(i + 1, t, counts + [n]))
+
+    return _let(_c(text), lambda t: step(0, t, []))
+
+
 def redaction_counts(text) -> Column:
-    """struct<category: bigint ...> with the number of replacements each step of the chain makes."""
-    out, fields = _c(text), []
-    for category, pattern, replacement in C.REDACTIONS:
-        fields.append(F.regexp_count(out, F.lit(unicode_pattern(pattern))).cast("bigint").alias(category))
-        out = F.regexp_replace(out, unicode_pattern(pattern), replacement.replace("\\", "\\\\"))
-    return F.struct(*fields)
+    return redact_with_counts(text)["counts"]
 
 
 def redact_json(value, schema: str) -> Column:
