@@ -172,13 +172,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: df[c].cast("timestamp") for c in ntz}) if ntz else df
 
 
+def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Run SQL text that names views and base tables after FROM and JOIN."""
+    used = {w for w in _WORD.findall(text) if w in VIEWS or w in TABLES}
+    text = text.replace("{", "{{").replace("}", "}}")
+    text = re.sub(r"\b(FROM|JOIN) ([a-z0-9_]+)\b", lambda m: f"{m.group(1)} {{{m.group(2)}}}" if m.group(2) in used else m.group(0), text)
+    needed = {n: view(spark, sf_dir, n) for n in used if "{" + n + "}" in text}
+    return spark.sql(text, **needed)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view (or base table) as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
-    text = view_text(name, "spark")
-    text = text.replace("{", "{{").replace("}", "}}")
-    used = {w for w in _WORD.findall(text) if w in VIEWS or w in TABLES}
-    text = re.sub(r"\b(FROM|JOIN) ([a-z0-9_]+)\b", lambda m: f"{m.group(1)} {{{m.group(2)}}}", text)
-    needed = {n: view(spark, sf_dir, n) for n in used if "{" + n + "}" in text}
-    return spark.sql(text, **needed)
+    return derive(spark, sf_dir, view_text(name, "spark"))
