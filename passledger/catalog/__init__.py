@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
-MODULES = ["observations", "history", "corpus", "scalars", "verdicts", "recall", "ledger", "sets", "gates"]
+MODULES = ["observations", "history", "corpus", "scalars", "verdicts", "recall", "ledger", "sets", "gates", "reports", "streams"]
 
 
 def query(name: str, covers: str = "", sql: str | None = None):
