@@ -47,7 +47,7 @@ def stream_stalls(spark, sf):
 @query("stream_first_sight", "R2", f"WITH {SLOTS} SELECT slot, candidate_id, sev_rank, is_new, is_new_serious FROM marked WHERE is_new OR is_new_serious")
 def stream_first_sight(spark, sf):
     observed = hist.observed_ids(_rows(spark, sf)).select("candidate_id", "slot", "sev_rank")
-    return run(jobs.first_sight(arriving(observed, "slot"))).drop("batch")
+    return jobs.sight_events(jobs.latest(run(jobs.first_sight(arriving(observed, "slot")), "update"), "candidate_id"))
 
 
 @query("stream_convergence", "R4", f"""

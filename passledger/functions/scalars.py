@@ -86,7 +86,7 @@ def redact_text(text) -> Column:
     """Ordered masking chain. Not idempotent: apply it once, at the sink."""
     out = _c(text)
     for _, pattern, replacement in C.REDACTIONS:
-        out = F.regexp_replace(out, unicode_pattern(pattern), replacement.replace("\\", "\\\\"))
+        out = F.regexp_replace(out, unicode_pattern(pattern), replacement)
     return out
 
 
@@ -103,7 +103,7 @@ def redact_with_counts(text) -> Column:
             return F.struct(current.alias("text"), F.struct(*counts).alias("counts"))
         category, pattern, replacement = C.REDACTIONS[i]
         n = F.regexp_count(current, F.lit(unicode_pattern(pattern))).cast("bigint").alias(category)
-        after = F.regexp_replace(current, unicode_pattern(pattern), replacement.replace("\\", "\\\\"))
+        after = F.regexp_replace(current, unicode_pattern(pattern), replacement)
         return _let(after, lambda t: step(i + 1, t, counts + [n]))
 
     return _let(_c(text), lambda t: step(0, t, []))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from passledger import constants as C
 from passledger import functions as fn
@@ -43,7 +44,7 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", qu
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     handle = (writer.queryName(query_name) if query_name else writer).start()
     handle.awaitTermination()
-    return stream.sparkSession.read.option("basePath", out).schema(stream.schema.add("batch", "bigint")).parquet(out)
+    return stream.sparkSession.read.option("basePath", out).schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
 
 
 def latest(table: DataFrame, key: str) -> DataFrame:
@@ -124,36 +125,26 @@ def lane_ledger(events: DataFrame, delay: str = "10 minutes", stall_seconds: int
 
 
 # -- first sight of ids -----------------------------------------------------------------------------
-class FirstSight(StatefulProcessor):
-    """State per id: its highest rank. Emits on first sight and when the rank first reaches HIGH."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rank = handle.getValueState("rank", "rank int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.rank.get()
-        top = held[0] if held else None
-        per_slot = pd.concat(list(rows)).groupby("slot")["sev_rank"].max().sort_index()
-        out = []
-        for slot, rank in per_slot.items():
-            new = top is None
-            serious = (top or 0) < C.SERIOUS_RANK <= rank
-            if new or serious:
-                out.append((key[0], int(slot), int(rank), new, serious))
-            top = int(max(top or 0, rank))
-        self.rank.update((top,))
-        yield pd.DataFrame(out, columns=["candidate_id", "slot", "sev_rank", "is_new", "is_new_serious"])
+def first_sight(observed: DataFrame) -> DataFrame:
+    """``observed``: candidate_id, slot, sev_rank -> per id its first slot and the first slot with rank >= HIGH.
 
-    def close(self) -> None:
-        pass
+    'New' is the smallest slot, 'new serious' the smallest slot whose rank reaches HIGH, so both are minima: a native
+    streaming aggregate (update mode) with partial aggregation and two numbers of state per id, right for late rows too.
+    """
+    use_rocksdb(observed.sparkSession)
+    place = F.col("slot") * 10 + (F.lit(9) - F.col("sev_rank"))
+    return observed.groupBy("candidate_id").agg(
+        F.min(place).alias("first"), F.min(F.when(F.col("sev_rank") >= C.SERIOUS_RANK, place)).alias("serious")
+    )
 
 
-def first_sight(observed: DataFrame) -> DataFrame:
-    """``observed``: candidate_id, slot, sev_rank. Emits (candidate_id, slot, sev_rank, is_new, is_new_serious)."""
-    use_rocksdb(observed.sparkSession)
-    return observed.groupBy("candidate_id").transformWithStateInPandas(
-        statefulProcessor=FirstSight(), outputStructType="candidate_id string, slot bigint, sev_rank int, is_new boolean, is_new_serious boolean",
-        outputMode="Append", timeMode="None",
+def sight_events(sights: DataFrame) -> DataFrame:
+    """(candidate_id, slot, sev_rank, is_new, is_new_serious) from the latest ``first_sight`` row of each id."""
+    places = F.array_distinct(F.array_compact(F.array("first", "serious")))
+    rows = sights.select("candidate_id", "first", "serious", F.explode(places).alias("p"))
+    return rows.select(
+        "candidate_id", F.floor(F.col("p") / 10).cast("bigint").alias("slot"), (F.lit(9) - F.col("p") % 10).cast("int").alias("sev_rank"),
+        (F.col("p") == F.col("first")).alias("is_new"), F.coalesce(F.col("p") == F.col("serious"), F.lit(False)).alias("is_new_serious"),
     )
 
 
