@@ -82,33 +82,45 @@ def quiet_threshold(loc) -> Column:
 
 
 # -- redaction --------------------------------------------------------------------------------------
-def redact_text(text) -> Column:
-    """Ordered masking chain. Not idempotent: apply it once, at the sink."""
-    out = _c(text)
-    for _, pattern, replacement in C.REDACTIONS:
-        out = F.regexp_replace(out, unicode_pattern(pattern), replacement)
-    return out
-
-
 def _let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def redact_with_counts(text) -> Column:
-    """struct<text, counts struct<category: bigint ...>>: the masking chain and the replacements each step made."""
+def _may_match(text: Column, category: str) -> Column:
+    """Cheap necessary condition: one of the literals every match of the pattern contains."""
+    exact, folded = C.REDACTION_LITERALS[category]
+    tests = [text.contains(word) for word in exact]
+    if folded:
+        plain = F.lower(F.upper(text))
+        tests += [plain.contains(word) for word in folded]
+    return any_of(tests)
+
 
+def _mask(text: Column, counting: bool) -> Column:
     def step(i: int, current: Column, counts: list[Column]) -> Column:
         if i == len(C.REDACTIONS):
-            return F.struct(current.alias("text"), F.struct(*counts).alias("counts"))
+            return F.struct(current.alias("text"), F.struct(*counts).alias("counts")) if counting else current
         category, pattern, replacement = C.REDACTIONS[i]
-        n = F.regexp_count(current, F.lit(unicode_pattern(pattern))).cast("bigint").alias(category)
-        after = F.regexp_replace(current, unicode_pattern(pattern), replacement)
+        may = _may_match(current, category)
+        pattern = unicode_pattern(pattern)
+        n = F.when(may, F.regexp_count(current, F.lit(pattern))).otherwise(0).cast("bigint").alias(category)
+        after = F.when(may, F.regexp_replace(current, pattern, replacement)).otherwise(current)
         return _let(after, lambda t: step(i + 1, t, counts + [n]))
 
     return _let(_c(text), lambda t: step(0, t, []))
 
 
+def redact_text(text) -> Column:
+    """Ordered masking chain. Not idempotent: apply it once, at the sink."""
+    return _mask(text, False)
+
+
+def redact_with_counts(text) -> Column:
+    """struct<text, counts struct<category: bigint ...>>: the masking chain and the replacements each step made."""
+    return _mask(text, True)
+
+
 def redaction_counts(text) -> Column:
     return redact_with_counts(text)["counts"]
 

@@ -36,6 +36,17 @@ def _anchored(pattern: str) -> bool:
     return any(mark in pattern.replace("[^", "[") for mark in ("^", "$", r"\b", r"\B", "(?<", "(?=", "(?!", r"\A", r"\Z"))
 
 
+def _is_builtin(detector: Detector) -> bool:
+    return any(detector[0] == d[0] and detector[2].removeprefix("(?U)") == d[2] for d in C.LINE_DETECTORS)
+
+
+def _may_match(content: Column, detector: Detector) -> Column:
+    """Whole-text condition every line match implies: a literal of a known detector, else the pattern itself."""
+    if _is_builtin(detector):
+        return fn.any_of([content.contains(w) for w in C.DETECTOR_LITERALS[detector[0]]])
+    return content.rlike(fn.unicode_pattern(detector[2]))
+
+
 def _evidence(line: Column, pattern: str, hashed: bool) -> Column:
     match = F.regexp_extract(line, pattern, 0)
     if hashed:
@@ -60,8 +71,8 @@ def sweep_lines(
     if file_pattern is not None:
         name = fn.file_name("path")
         rows = rows.filter(name.rlike(file_pattern) | (name == C.SWEEP_FILE_NAME))
-    if not any(_anchored(d[2]) for d in detectors):
-        rows = rows.filter(fn.any_of([F.col("content").rlike(fn.unicode_pattern(d[2])) for d in detectors]))
+    if not any(_anchored(d[2]) and not _is_builtin(d) for d in detectors):
+        rows = rows.filter(fn.any_of([_may_match(F.col("content"), d) for d in detectors]))
     lines = rows.select(
         *[c for c in rows.columns if c != "content"], is_test_path(F.col("path")).alias("_test"),
         F.posexplode(fn.split_lines("content")).alias("_pos", "_text"),
@@ -70,6 +81,8 @@ def sweep_lines(
     for name, cls, pattern, hashed in detectors:
         pattern = fn.unicode_pattern(pattern)
         hit = F.col("_text").rlike(pattern)
+        if _is_builtin((name, cls, pattern, hashed)):
+            hit = fn.any_of([F.col("_text").contains(w) for w in C.DETECTOR_LITERALS[name]]) & hit
         if name not in exempt:
             hit = ~F.col("_test") & hit
         tests.append(

@@ -166,8 +166,15 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table stored in fewer files than cores over all cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(df)
     ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: df[c].cast("timestamp") for c in ntz}) if ntz else df
 
