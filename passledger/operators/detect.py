@@ -24,8 +24,8 @@ def exclude_dirs(corpus: DataFrame, dirs: list[str] | None = None, ledger: DataF
 
 
 def is_comment(line: Column, prefixes: list[str]) -> Column:
-    bare = F.regexp_replace(line, r"(?U)^\s+", "")
-    return fn.any_of([bare.startswith(p) for p in prefixes])
+    marks = "|".join("".join("\\" + ch if ch in "*+?.()[]{}|^$/#-" else ch for ch in p) for p in prefixes)
+    return line.rlike(rf"(?U)^\s*(?:{marks})")
 
 
 def is_test_path(path: Column) -> Column:
@@ -63,7 +63,7 @@ def sweep_lines(
     """(path, line, detector, class, evidence): first match of each detector on each line.
 
     Files no detector can match are dropped on their whole text before any line is split; then one projection tests all
-    detectors per line, without a line x detector product.
+    detectors per line, without a line x detector product, and evidence is cut out for hits only.
     """
     detectors = C.LINE_DETECTORS if detectors is None else detectors
     exempt = C.SUPPRESSION_EXEMPT if exempt is None else exempt
@@ -77,22 +77,23 @@ def sweep_lines(
         *[c for c in rows.columns if c != "content"], is_test_path(F.col("path")).alias("_test"),
         F.posexplode(fn.split_lines("content")).alias("_pos", "_text"),
     ).filter(~is_comment(F.col("_text"), C.COMMENT_PREFIXES))
-    tests = []
-    for name, cls, pattern, hashed in detectors:
-        pattern = fn.unicode_pattern(pattern)
+    tests, evidence = [], None
+    for i, detector in enumerate(detectors):
+        pattern = fn.unicode_pattern(detector[2])
         hit = F.col("_text").rlike(pattern)
-        if _is_builtin((name, cls, pattern, hashed)):
-            hit = fn.any_of([F.col("_text").contains(w) for w in C.DETECTOR_LITERALS[name]]) & hit
-        if name not in exempt:
+        if _is_builtin(detector):
+            hit = fn.any_of([F.col("_text").contains(w) for w in C.DETECTOR_LITERALS[detector[0]]]) & hit
+        if detector[0] not in exempt:
             hit = ~F.col("_test") & hit
-        tests.append(
-            F.when(hit, F.struct(F.lit(name).alias("detector"), F.lit(cls).alias("class"),
-                                 _evidence(F.col("_text"), pattern, hashed).alias("evidence")))
-        )
+        tests.append(F.when(hit, F.lit(i)))
+        found = _evidence(F.col("_text"), pattern, detector[3])
+        evidence = F.when(F.col("_i") == i, found) if evidence is None else evidence.when(F.col("_i") == i, found)
     keep = [c for c in corpus.columns if c != "content"]
-    return lines.select(
-        *keep, (F.col("_pos") + 1).cast("bigint").alias("line"), F.explode(F.array_compact(F.array(*tests))).alias("h")
-    ).select(*keep, "line", "h.*")
+    hits = lines.select(
+        *keep, (F.col("_pos") + 1).cast("bigint").alias("line"), "_text", F.explode(F.array_compact(F.array(*tests))).alias("_i")
+    )
+    label = lambda at: F.element_at(F.array(*[F.lit(d[at]) for d in detectors]), F.col("_i") + 1)
+    return hits.select(*keep, "line", label(0).alias("detector"), label(1).alias("class"), evidence.alias("evidence"))
 
 
 def sweep_files(corpus: DataFrame) -> DataFrame:

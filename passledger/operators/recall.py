@@ -66,6 +66,20 @@ def _with_islands(pairs: DataFrame, scope: list[str]) -> DataFrame:
     return pairs.withColumn("lo", F.least("slot_line", "c_line")).join(islands, scope + ["path", "lo"]).drop("lo")
 
 
+def _contenders(slots: DataFrame, candidates: DataFrame, scope: list[str], window: int) -> DataFrame:
+    """Slots that can be matched at all, for keys with many slots on one locus.
+
+    Slots of one (path, family, line) see the same candidates, so the matched ones are the first of them and number at
+    most the candidates in the window. The largest such number over all loci limits the rank, before the shuffle.
+    """
+    locus = scope + ["path", "family", "line"]
+    loci = slots.select(*locus).distinct().withColumn("slot", F.xxhash64(*locus))
+    options = _pairs(loci, candidates, scope, window).groupBy(*scope, "path", "family", "slot_line").agg(F.count("*").alias("n"))
+    most = options.agg(F.max("n")).first()[0] or 0
+    w = Window.partitionBy(*locus).orderBy("slot")
+    return slots.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+
+
 def match_slots(
     slots: DataFrame, candidates: DataFrame, scope: list[str] | None = None, window: int = C.MATCH_WINDOW
 ) -> DataFrame:
@@ -76,7 +90,7 @@ def match_slots(
     unit of work; the walk streams over sorted pairs and remembers only the claims of the current island.
     """
     scope = scope or []
-    pairs = _with_islands(_pairs(slots, candidates, scope, window), scope)
+    pairs = _with_islands(_pairs(_contenders(slots, candidates, scope, window), candidates, scope, window), scope)
     group = scope + ["path", "island"]
     ordered = pairs.repartition(*group).sortWithinPartitions(*group, "slot", "distance", "c_line", "candidate_id")
 
