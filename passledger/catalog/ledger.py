@@ -113,10 +113,12 @@ def invocation_summary(spark, sf):
 
 
 @query("timeline", "A29", """
-SELECT l_suppkey AS run, min(l_shipdate) FILTER (WHERE l_linenumber < 5 AND l_orderkey % 2 = 0) AS first_lane, max(l_shipdate) FILTER (WHERE l_linenumber < 5 AND l_orderkey % 2 = 0) AS last_lane,
-  max(l_shipdate) FILTER (WHERE l_linenumber = 7) AS verdicts FROM lineitem GROUP BY 1""")
+WITH t AS (SELECT l_suppkey, l_linenumber, l_orderkey, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS at FROM lineitem)
+SELECT l_suppkey AS run, min(t.at) FILTER (WHERE l_linenumber < 5 AND l_orderkey % 2 = 0) AS first_lane, max(t.at) FILTER (WHERE l_linenumber < 5 AND l_orderkey % 2 = 0) AS last_lane,
+  max(t.at) FILTER (WHERE l_linenumber = 7) AS verdicts FROM t GROUP BY 1""")
 def timeline(spark, sf):
     files = view(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS run", "CASE WHEN l_linenumber = 7 THEN 'verdicts.jsonl' WHEN l_linenumber < 5 AND l_orderkey % 2 = 0 THEN concat('lane-pass1-L', l_linenumber, '-x.jsonl') ELSE concat('lane-pass2-L', l_linenumber, '-x.jsonl') END AS name",
         "l_shipdate AS modified")
-    return le.timeline(files, ["run"])
+    out = le.timeline(files, ["run"])
+    return out.select("run", *[F.unix_seconds(c).alias(c) for c in ("first_lane", "last_lane", "verdicts")])

@@ -175,6 +175,7 @@ def spread(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = spread(df)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the stored times carry no zone and mean UTC
     ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: df[c].cast("timestamp") for c in ntz}) if ntz else df
 

@@ -104,7 +104,7 @@ def staged(spark, place, batches, schema):
     return spark.readStream.schema(spark.read.parquet(place).schema).option("maxFilesPerTrigger", 1).parquet(place)
 
 
-def test_stream_ledger_keeps_late_rows_apart_and_raises_stalls(spark, tmp_path):
+def test_stream_ledger_keeps_late_rows_apart(spark, tmp_path):
     d, r = "lane-dead", "lane-relaunched"
     batches = [[(d, "x", 100, 1), (r, "x", 200, 2)], [(d, "x", 150, 3), (d, "y", 300, 4)], [(r, "y", 90000, 5)], [(r, "y", 90001, 6)]]
     stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
@@ -114,6 +114,22 @@ def test_stream_ledger_keeps_late_rows_apart_and_raises_stalls(spark, tmp_path):
     assert final == {"x": (1, 1, 0, 0), "y": (1, 2, 0, 1)}
 
 
+def test_stream_ledger_raises_stalls(spark, tmp_path):
+    d = "lane-dead"
+    batches = [[(d, "x", 100, 1)], [(d, "y", 10000, 2)], [(d, "y", 10001, 3)], [(d, "y", 10002, 4)]]
+    stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
+    out = jobs.drain(jobs.lane_ledger(stream, "10 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"), "update").collect()
+    assert {(x.lane, x.outstanding) for x in out if x.kind == "stalled"} == {("x", 1)}
+
+
+def test_stream_first_sight_is_right_for_late_rows(spark, tmp_path):
+    batches = [[("a", 3, 1, 0), ("b", 1, 4, 0)], [("a", 2, 3, 1)], [("a", 1, 2, 2), ("b", 2, 5, 2)]]
+    stream = staged(spark, str(tmp_path / "in"), batches, "candidate_id string, slot bigint, sev_rank int, t bigint")
+    table = jobs.drain(jobs.first_sight(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    got = {(x.candidate_id, x.slot, x.is_new, x.is_new_serious) for x in jobs.sight_events(jobs.latest(table, "candidate_id")).collect()}
+    assert got == {("a", 1, True, False), ("a", 2, False, True), ("b", 1, True, True)}
+
+
 def test_registry(spark):
     import __spark_entry__ as entry
 

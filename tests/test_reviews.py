@@ -115,6 +115,16 @@ def test_match_is_greedy_one_to_one(spark):
         assert got == plain_match(slots, cands)
 
 
+def test_many_slots_on_one_locus(spark):
+    """A locus with far more slots than candidates: the first slots win, no slot is lost."""
+    slots = [(i, "L1-auth", "hot.py", 50) for i in range(500)] + [(1000, "L1-auth", "hot.py", 90)]
+    cands = [(f"c{i}", "hot.py", 40 + 12 * i, "L1-auth", "") for i in range(5)]
+    s = spark.createDataFrame(slots, "slot bigint, family string, path string, line bigint")
+    c = spark.createDataFrame(cands, "candidate_id string, path string, line bigint, lens string, category string").withColumn("title", F.lit(""))
+    got = {r.slot: r.matched_id for r in rc.match_slots(s, c).collect()}
+    assert len(got) == 501 and got == plain_match(slots, cands)
+
+
 def test_calibration(spark):
     fams = ["L1-auth", "L1-auth", "L2-secrets", "L2-secrets", "L3-injection", "L3-injection", "L4-infra", "L4-infra"]
     good = [("good", i + 1, f, f"f{i}.py", 20 + i, "t", False) for i, f in enumerate(fams)]
