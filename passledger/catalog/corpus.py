@@ -10,7 +10,7 @@ from passledger.catalog import query
 from passledger.operators import corpus as co
 from passledger.operators import detect as de
 from passledger.operators import snapshots as sn
-from passledger.views import view
+from passledger.views import fence, view
 
 
 def _in(values):
@@ -188,7 +188,7 @@ HITS = f"{ELIGIBLE}, hits AS ({_detector_rows()})"
 
 
 def _hits(spark, sf):
-    return de.sweep_lines(de.exclude_dirs(view(spark, sf, "f1_code").drop("doc_id")))
+    return de.sweep_lines(de.exclude_dirs(fence(view(spark, sf, "f1_code").drop("doc_id"))))
 
 
 @query("detector_sweep", "D1 D2 P8 P9", f"WITH {HITS} SELECT * FROM hits")
@@ -215,7 +215,7 @@ SELECT path, line, 'floating-version', 'supply-chain-pinning', substring(regexp_
 WHERE regexp_matches(path, '\\.(gradle(\\.kts)?|properties)$') AND NOT regexp_matches(path, '(^|/)(test|tests|spec|__tests__)(/|$)') AND NOT regexp_matches(ltrim(text), '^(//|#|\\*|--|!)')
   AND regexp_matches(text, '{C.FLOATING_PATTERN.replace(chr(39), chr(39) * 2)}')""")
 def file_detectors(spark, sf):
-    return de.sweep_files(view(spark, sf, "f1_code").drop("doc_id"))
+    return de.sweep_files(fence(view(spark, sf, "f1_code").drop("doc_id")))
 
 
 @query("excluded_paths", "P9", "SELECT path FROM f1_code WHERE NOT starts_with(path, 'vendor/') AND doc_id % 50 <> 3")

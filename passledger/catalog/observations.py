@@ -9,7 +9,7 @@ from passledger import functions as fn
 from passledger.catalog import query
 from passledger.operators import observations as obs
 from passledger.operators.fold import fold_observations
-from passledger.views import view
+from passledger.views import fence, view
 
 ORDER = "pass, lens, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
 
@@ -65,7 +65,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        CASE WHEN json_valid(value) THEN CASE WHEN json_type(value) = 'OBJECT' THEN json_extract_string(value, '$.path') END END AS path
 FROM lane_text""")
 def read_lanes(spark, sf):
-    df = obs.parse_observations(view(spark, sf, "lane_text"))
+    df = obs.parse_observations(fence(view(spark, sf, "lane_text")))
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "parse_error", "path")
 
 
@@ -98,7 +98,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, path, line, severity,
             WHEN severity NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL', 'PRIORITIZED_CRITICAL') THEN concat('invalid severity: ', severity) END AS reason
 FROM typed""")
 def validate_observations(spark, sf):
-    parsed = obs.parse_observations(view(spark, sf, "lane_text")).filter("parse_error IS NULL")
+    parsed = obs.parse_observations(fence(view(spark, sf, "lane_text"))).filter("parse_error IS NULL")
     return obs.validate_observations(parsed).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "path", "line", "severity", "reason"
     )

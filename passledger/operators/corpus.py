@@ -174,7 +174,7 @@ def pack_units(repos: DataFrame, scope: list[str] | None = None, floor: int = C.
     histogram = keyed.groupBy(*keys, "packed_loc").agg(F.count("*").alias("n")).join(totals, keys)
     schema = ", ".join(f"{c} {dict(keyed.dtypes)[c]}" for c in keys) + ", packed_loc bigint, first bigint, last bigint, bin bigint"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("packed_loc", ascending=False)
         runs = _fill(list(zip(pdf["packed_loc"].tolist(), pdf["n"].tolist())), int(pdf["cap"].iloc[0]))
         out = pd.DataFrame(runs, columns=["packed_loc", "first", "last", "bin"])

@@ -81,8 +81,6 @@ def sweep_lines(
     for i, detector in enumerate(detectors):
         pattern = fn.unicode_pattern(detector[2])
         hit = F.col("_text").rlike(pattern)
-        if _is_builtin(detector):
-            hit = fn.any_of([F.col("_text").contains(w) for w in C.DETECTOR_LITERALS[detector[0]]]) & hit
         if detector[0] not in exempt:
             hit = ~F.col("_test") & hit
         tests.append(F.when(hit, F.lit(i)))
