@@ -232,7 +232,7 @@ new_ids AS (SELECT *, count(*) OVER w = 0 AS is_new, coalesce(max(sev_rank) OVER
 
 @query("consolidated_history", "K1 A9 W1 W2", HISTORY_FOLDED + "SELECT slot, candidate_id, sev_rank, is_new, is_new_serious FROM new_ids")
 def consolidated_history(spark, sf):
-    return consolidate(sequenced(spark, sf)).history.select("slot", "candidate_id", "sev_rank", "is_new", "is_new_serious")
+    return consolidate(sequenced(spark, sf), write=False).history.select("slot", "candidate_id", "sev_rank", "is_new", "is_new_serious")
 
 
 @query("review_state", "K1 A11 W4", HISTORY_FOLDED + f""",
