@@ -4,20 +4,59 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from passledger.llm import packing
+from passledger.llm import language, lines, minhash, packing, secrets
 from passledger.llm.common import table
 from passledger.session import ensure_checkpoint_dir
 
+#: A text of this many characters or more should look like some language: its cosine is to reach the least score.
+LONG_TEXT, LEAST_SCORE = 200, 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, null texts included, go, and long ones that look like none of the languages learnt."""
+    found = docs.withColumn("__found", language.language(F.col("text"), language.learn_from_documents(docs)))
+    unlike = (F.char_length("text") >= LONG_TEXT) & (F.col("__found.score") < LEAST_SCORE)
+    return found.where((F.col("__found.lang") != language.UNDETERMINED) & ~unlike).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in three documents or more stay in the last of them only; all documents stay."""
+    return lines.without_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays; of rows that repeat a doc_id, one.
+
+    Rows without doc_id all stay.
+    """
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
+    kept = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1 or __id is null").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay."""
+    return secrets.redacted(docs)
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.packed(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: The secret model and the minhash signatures are beyond SQL; tests hold the rows against a brute-force version.
+#: Profiles, the forest and the tokenizer are beyond SQL; a test holds the stages against a brute-force version.
 ORACLE_SQL = None
 
 
