@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, token
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=8 << 20):
             out: list[tuple] = []
             kept: list[np.ndarray] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode_all(batch.column("text")), strict=True):

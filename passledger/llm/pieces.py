@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,12 +50,12 @@ class WordSegmenter:
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of marked words, each given without its first mark."""
-        held = self.words
-        held.turn()
-        new = list(held.missing(set(words)))
-        for w, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
-            held.new[w] = np.asarray(ids, dtype="<u4").tobytes() if w else self.mark
-        return list(map(held.new.__getitem__, words))
+
+        def segment(new: list[str]) -> Iterator[bytes]:
+            for w, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
+                yield array("I", ids).tobytes() if w else self.mark
+
+        return self.words.all(words, segment)
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text without begin and end; no text may be null."""
@@ -102,7 +103,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, with_ids: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = segmenter(model)
         begin, end = np.array([[words.library.bos_id()], [words.library.eos_id()]], dtype="<u4")
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=8 << 20):
             sizes, sums, decoded_sums, kept, texts = [], [], [], [], []
             for ids in words.encode_all(batch.column("text")):
                 ids = np.concatenate([begin, ids, end])

@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             return row
 
         end = np.array([end_id], dtype="<u4")
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=8 << 20):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode_all(batch.column("text")), strict=True):
                 doc_ids.append(doc)
                 held.append(np.append(ids, end))

@@ -8,6 +8,8 @@ distinct one. Texts that hold a special token's string go to the library whole.
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -37,19 +39,29 @@ class Memory:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """Keys in neither generation; keys of the older one move to the newer one."""
-        left = keys.difference(self.new)
-        if left and self.old:
-            again = left.intersection(self.old)
-            self.new.update((k, self.old[k]) for k in again)
-            left -= again
-        return left
+    def one(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        value = self.new.get(key)
+        if value is None:
+            value = self.new[key] = self.old.get(key) or make(key)
+        return value
 
     def turn(self) -> None:
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
 
+    def all(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The values of keys; `make` gives those that are in neither generation."""
+        self.turn()
+        values = list(map(self.new.get, keys))
+        lost = [k for k, v in enumerate(values) if v is None]
+        if lost:
+            older = list(map(self.old.get, (keys[k] for k in lost)))
+            unknown = [keys[k] for k, v in zip(lost, older, strict=True) if v is None]
+            made = iter(make(unknown))
+            for k, v in zip(lost, older, strict=True):
+                values[k] = self.new[keys[k]] = next(made) if v is None else v
+        return values
+
 
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids. About `limit` chunks of each kind are remembered."""
@@ -71,24 +83,20 @@ class ChunkEncoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-
-    def _by_words(self, pieces: list[list[str]]) -> list[bytes]:
-        words = self.words
-        words.turn()
-        for w in words.missing(set().union(*pieces)):
-            words.new[w] = self._word(w)
-        get = words.new.__getitem__
-        return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each with a space in front."""
-        held = self.chunks
-        held.turn()
-        new = list(held.missing(set(chunks)))
-        held.new.update(zip(new, self._by_words([self.pretokens(" " + c) for c in new]), strict=True))
-        return list(map(held.new.__getitem__, chunks))
+        """Ids of one pre-token."""
+        shown = word.replace(" ", "Ġ") if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _text(self, text: str) -> bytes:
+        return b"".join([self.words.one(w, self._word) for w in self.pretokens(text)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk with a space in front. A word of letters, with a comma or full stop or without, needs no pattern."""
+        if chunk.isalpha():
+            return self._word(" " + chunk)
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return self.words.one(" " + chunk[:-1], self._word) + self.words.one(chunk[-1], self._word)
+        return self._text(" " + chunk)
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; no text may be null.
@@ -104,7 +112,7 @@ class ChunkEncoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         for k in np.flatnonzero(loose).tolist():
             text = texts[k].as_py()
-            ids = self.whole(text) if any(s in text for s in self.special) else self._by_words([self.pretokens(text)])[0] if text else b""
+            ids = self.whole(text) if any(s in text for s in self.special) else self._text(text)
             out[k] = np.frombuffer(ids, dtype="<u4")
         tight = np.flatnonzero(~loose)
         if len(tight) == 0:
@@ -114,8 +122,9 @@ class ChunkEncoder:
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         heads = pc.list_element(lists, 0).to_pylist()
-        distinct = self._chunk_ids(coded.dictionary.to_pylist())
-        starts = self._by_words([self.pretokens(h) for h in heads])
+        distinct = self.chunks.all(coded.dictionary.to_pylist(), lambda new: map(self._chunk, new))
+        starts = list(map(self._text, heads))
+        self.words.turn()
         table = np.frombuffer(b"".join(distinct + starts), dtype="<u4")
         sizes = np.fromiter((len(x) // 4 for x in distinct + starts), dtype=np.int64, count=len(distinct) + len(starts))
         at = np.cumsum(sizes) - sizes
