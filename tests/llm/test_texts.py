@@ -1,0 +1,191 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from passledger.llm import fingerprints, language, secrets, shards
+
+from .conftest import make_text
+
+# --- fingerprints
+
+
+def as_text(value):
+    return fingerprints.printed(*value)[0]
+
+
+def test_order_does_not_matter_and_paragraphs_come_and_go():
+    a, b, c = "first paragraph, long enough", "second", "the third paragraph of this text"
+    one, two = fingerprints.vectors(["\n".join([a, b, c])]), fingerprints.vectors(["\n".join([c, a, b])])
+    assert as_text(one) == as_text(two)
+    assert as_text(one) != as_text(fingerprints.vectors(["\n".join([a, b, c, c])]))
+    without = fingerprints.exchange(one, fingerprints.vectors([b]), (np.zeros((1, 4), np.uint64), np.zeros((1, fingerprints.LANES), np.uint16)))
+    assert as_text(without) == as_text(fingerprints.vectors([a + "\n" + c]))
+    assert fingerprints.likeness(one, two)[0] == 1.0 and fingerprints.likeness(one, without)[0] < 1.0
+
+
+@pytest.mark.parametrize("partitions", ["1", "4"])
+def test_fingerprints(spark, frame, partitions):
+    rng = random.Random(1)
+    rows = [(k * 3, make_text(rng, "en", rng.randrange(1, 200))) for k in range(80)]
+    rows += [(500, None), (501, ""), (502, "é🙂ß" * 30), (503, "\n" * 9), (504, rows[3][1]), (505, "w" * 9000), (505, "w" * 9000), (None, "no id")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = fingerprints.fingerprints(frame(rows).withColumns({"__stretch": F.lit(1), "bucket": F.lit(2)})).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0]), reverse=True)
+    want = []
+    for k, (doc, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        edited = text[: len(text) - n] + after[:n] if n else text
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(fingerprints.vectors([text])), as_text(fingerprints.vectors([edited]))))
+    key = lambda r: (r[0] is None, r)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got), key=key) == sorted(want, key=key)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    long = [r for r in got if r.n_chars > 300 and r.doc_id is not None and r.doc_id < 500]
+    assert np.mean([r.near_edited > r.near_next for r in long]) > 0.95
+
+
+def test_fingerprints_of_little(strange, frame):
+    assert fingerprints.fingerprints(strange).count() == strange.count()
+    assert fingerprints.fingerprints(strange.limit(0)).count() == 0
+    (one,) = fingerprints.fingerprints(frame(["abcdef"])).collect()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+# --- language
+
+
+def test_language(spark, frame):
+    rng = random.Random(2)
+    langs = ["en", "de", "fr"]
+    rows = [(k, make_text(rng, langs[k % 3], rng.randrange(20, 80)), langs[k % 3], "s", 1) for k in range(400)]
+    rows += [(900, None, "en", "s", 1), (901, "12 34 !?", "en", "s", 1), (902, "", None, "s", 1), (903, make_text(rng, "de", 50), None, "s", 1), (903, make_text(rng, "de", 50), None, "s", 1)]
+    docs = frame([]).sparkSession.createDataFrame(rows, frame([]).schema).withColumn("lang_pred", F.lit("x"))
+    got = language.identified(docs).collect()
+    truth = {r[0]: r[2] for r in rows[:400]}
+    assert len(got) == len(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    out = [r for r in got if r.doc_id < 400 and r.held_out]
+    assert len(out) > 50 and np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.97
+    by = {r.doc_id: r for r in got}
+    assert [by[k].lang_pred for k in (900, 901, 902, 903)] == ["und", "und", "und", "de"] and by[901].score == 0
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_without_anything_to_learn(strange):
+    assert {r.lang_pred for r in language.identified(strange.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert language.identified(strange.limit(0)).count() == 0
+
+
+def test_bundles_are_sums_of_bound_letters():
+    alphabet, places, counts = language.ngram_counts(["Ab, ab", "!", None, "ba"])
+    vectors = counts @ language.bound(alphabet, places)
+    letter = {c: language._letter_vector(ord(c), language.DIMENSIONS).astype(int) for c in "ab"} | {" ": language._letter_vector(0, language.DIMENSIONS).astype(int)}
+    gram = lambda g: letter[g[0]] * np.roll(letter[g[1]], 1) * np.roll(letter[g[2]], 2)
+    assert (vectors[0] == 2 * (gram(" ab") + gram("ab "))).all()
+    assert not vectors[1].any() and not vectors[2].any()
+    assert (vectors[3] == gram(" ba") + gram("ba ")).all()
+
+
+# --- shards
+
+
+def test_shards(spark, frame):
+    rows = [(k, "text" if k % 3 else "ü" * (k % 50)) for k in range(3000)] + [(7, "text"), (None, "x"), (None, None), (5000, None), (-1, "")]
+    docs = frame(rows).withColumns({"slot": F.lit("x"), "size": F.lit(1)})
+    got = shards.shard_plan(docs).collect()
+    assert len(got) == len(rows)
+    text = {d: t for d, t in rows if d is not None}
+    slots, moved = {}, 0
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert r.law == "key" and r.grown_shard in (r.shard, 24)
+        moved += r.grown_shard == 24
+        if r.doc_id is not None:
+            raw = (text[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    assert set(slots) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert 60 < moved < 190 and max(map(len, slots.values())) < 1.5 * len(rows) / 24
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1
+    assert shards.shard_plan(docs.limit(0)).count() == 0
+
+
+def test_growing_step_by_step_moves_into_the_new_shard_only(spark):
+    keys = spark.range(2000).select("id", *(shards.jump_shard(F.col("id"), n).alias(f"s{n}") for n in range(1, 9)))
+    for r in keys.collect():
+        for n in range(1, 8):
+            assert r[f"s{n + 1}"] in (r[f"s{n}"], n)
+
+
+def test_write_shards(frame, tmp_path, spark):
+    shards.write_shards(frame([(k, f"t{k}") for k in range(50)]), str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 50 and {r.shard for r in back.collect()} <= {0, 1, 2, 3}
+
+
+# --- secrets
+
+
+def secret_rows(rng):
+    rows, truth = [], {}
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    for k in range(300):
+        words = make_text(rng, "en", 40).replace("\n", " ").split(" ")
+        kind = k % 6
+        if kind == 0:
+            value = hexa(40)
+            words[5:5] = ["token", "=", f'"{value}"']
+        elif kind == 1:
+            value = hexa(32)
+            words[5:5] = [f"API_KEY={value}"]
+        elif kind == 2:
+            value = "".join(rng.choice("0123456789") for _ in range(16))
+            words[5:5] = [value]
+        elif kind == 3:
+            value = "considerablylongwords"
+            words[5:5] = [value]
+        elif kind == 4:
+            value = "EXAMPLE" + hexa(16)
+            words[5:5] = ["token", "=", value]
+        else:
+            value = None
+        rows.append((k, " ".join(words)))
+        truth[k] = value if kind < 2 else None
+    return rows, truth
+
+
+def test_secrets(frame):
+    rows, truth = secret_rows(random.Random(3))
+    docs = frame([*rows, (900, None), (901, ""), (902, rows[0][1]), (902, rows[0][1])]).withColumn("score", F.lit(1))
+    got = secrets.report(docs).collect()
+    flagged = {r.doc_id: r.value_sha256 for r in got if r.is_secret}
+    want = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in truth.items() if v} | {902: hashlib.sha256(truth[0].encode()).hexdigest()}
+    assert flagged == want
+    assert len([r for r in got if r.doc_id == 902]) == 2 and not any(r.doc_id in (900, 901) for r in got)
+    clean = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert secrets.redacted(docs).columns == docs.columns
+    for k, text in rows:
+        assert clean[k].text == (text.replace(truth[k], secrets.REDACTED) if truth[k] else text) and clean[k].n_chars == len(clean[k].text)
+    assert clean[900].text is None and clean[901].text == ""
+
+
+def test_forest_learns_from_given_labels(frame):
+    rows, truth = secret_rows(random.Random(4))
+    found = secrets.described(secrets.cut(secrets.candidates(frame(rows))), secrets.cut(secrets.dictionary(frame(rows))))
+    labelled = secrets.cut(found.withColumn("label", F.col("value").isin([v for v in truth.values() if v]).cast("double")))
+    model = secrets.train(labelled.where("doc_id % 2 = 0"))
+    out = secrets.scored(labelled.where("doc_id % 2 = 1"), model).collect()
+    assert np.mean([(r.is_secret) == (r.label == 1) for r in out]) > 0.9
+    assert secrets.train(labelled.limit(0)) == 0.0 and secrets.train(labelled.where("label = 1")) == 1.0
+
+
+def test_secrets_in_odd_documents(strange):
+    assert secrets.redacted(strange).count() == strange.count()
+    assert secrets.report(strange.limit(0)).count() == 0
