@@ -16,7 +16,7 @@ REPORT_ROWS = """
 SELECT l_partkey % 20 AS doc_id, l_linenumber AS pos, finding_id AS id, CASE WHEN l_orderkey % 211 = 0 THEN 'INFO' ELSE final_severity END AS severity,
   CASE WHEN l_orderkey % 251 = 0 THEN '.claude' ELSE split_part(path, '/', 1) END AS repo,
   CASE WHEN l_orderkey % 223 = 0 THEN 'f.py' WHEN l_orderkey % 257 = 0 THEN '/abs/f.py:3' ELSE concat('m/f.py:', line) END AS path,
-  CASE WHEN l_orderkey % 227 = 0 THEN concat(title, '...') WHEN l_orderkey % 241 = 0 THEN 'ssl key-password=hunter2secret in git' ELSE title END AS title,
+  CASE WHEN l_orderkey % 227 = 0 THEN concat(title, '...') WHEN l_orderkey % 241 = 0 THEN 'ssl store opened with password=Zq81mmt4x' ELSE title END AS title,
   CASE WHEN l_orderkey % 229 = 0 THEN 'CWE-0' ELSE 'CWE-79' END AS cwe_canonical,
   CASE WHEN l_orderkey % 233 = 0 THEN 'fix it' ELSE 'Enforce an ownership check before acting.' END AS fix,
   CASE WHEN l_orderkey % 239 = 0 THEN 'not allowed here' END AS pc_reason, l_orderkey
@@ -101,38 +101,74 @@ def check_rollup(spark, sf):
 
 
 # -- summary cards ----------------------------------------------------------------------------------
-CARD_LINES = [
-    "RUN-ID: r-', c_custkey, '", "KIT: 1.0.0", "ROWS-TOTAL: ', 7 + c_custkey % 5, '", "VERIFIED-TOTAL: 6", "REFUTED-TOTAL: 2", "TIER-C: 1", "TIER-H: 2", "TIER-WP: 1", "TIER-M: 2",
-    "TIER-L: ', c_custkey % 5, '", "TIER-INFO: 1", "CH-COURTED: 3", "PC-1: 0", "PC-2: 3", "BOUND-MIN: 0.95", "UNITS: 5", "CANARY: 8/8", "DURATION: 1h", "DENIALS: 2; result impact: ZERO", "VISITATION: 12/12",
-    "SEAL-CLASS: CERTIFIED", "FIRST-COURT-LAG: 3", "CENSUS-FORM: SCRIPT", "EXPECTED-CLOCK: 4 lanes / 1.0 waves", "MODE: CODE", "STRICT-CHAPMAN: U01 0.95 U02 0.91 U03 0.90",
-    "LAP-HISTORY: 1 bound 0.88 novelCH 5", "LAP-HISTORY: 2 bound 0.90 novelCH 1", "LAP-HISTORY: 3 bound 0.91 novelCH 0", "CANARY-MIX: 4P+4H", "FALSIFIERS: run 12/12", "M-AUDIT: 5/5 re-derived seed=ab12cd34",
-    "DEPTH-RATIO: 0.83", "REACH-DISCIPLINE: 3/3", "WIDTH-DISCIPLINE: 6/6", "PULSE-LEDGER: max-gap 9m deaths 1 redispatched 1", "PRIORS: 6 loaded 6 refound-or-adjudicated", "FRONTIER-CLOSE: 0h10m (frontier)",
-    "SATURATION: avg 3.5/4 idle-while-ready 0m", "ENGINE: ONE-QUEUE (ladder 2)", "AXIS-CENSUS: 5 declared (a, b) - courted exhausted", "AXIS-CLOSURE: 5/5", "DISPOSITION: all DISCHARGED",
-    "TERMINAL-PRECEDENCE: ran 14:05Z pre-assembly verdict CERTIFY", "SEAL-ENTRY: ran 14:04Z census 1000/800/12 conservation 12==12 visitation 12/12 canaries 8 OPENED", "CLOSURE-BASIS: STANDARD-095",
+# One card per customer, its numbers taken from the row. Each variant gives one field a value that a rule refuses (or still
+# accepts), by arithmetic on the same numbers.
+_K, _A, _N = "c_custkey", "abs(CAST(floor(c_acctbal) AS BIGINT))", "c_nationkey"
+_TIERS = {"TIER-C": f"{_K} % 3", "TIER-H": f"1 + {_N} % 4", "TIER-WP": f"{_K} % 2", "TIER-M": f"{_A} % 60", "TIER-L": f"{_N}", "TIER-INFO": f"{_A} % 7"}
+_TOTAL = " + ".join(f"({e})" for e in _TIERS.values())
+_FILES = f"40 + {_A} % 900"
+_DEAD = f"{_K} % 4"
+
+
+def _line(*parts: str) -> str:
+    """SQL of a value: literal texts and, in parentheses, number expressions."""
+    return "concat(" + ", ".join(f"CAST({p} AS VARCHAR(40))" if p.startswith("(") else f"'{p}'" for p in parts) + ")"
+
+
+CARD = {
+    "RUN-ID": _line("card-", f"({_K})"), "KIT": _line("kit ", f"({_N})"), "ROWS-TOTAL": _line(f"({_TOTAL})"), "VERIFIED-TOTAL": _line(f"({_TIERS['TIER-H']})"),
+    "REFUTED-TOTAL": _line(f"({_A} % 11)"), **{k: _line(f"({e})") for k, e in _TIERS.items()}, "CH-COURTED": _line(f"({_TIERS['TIER-C']} + {_TIERS['TIER-H']})"),
+    "PC-1": _line("0"), "PC-2": _line(f"({_N} % 6)"), "BOUND-MIN": _line("0.", f"(96 + {_K} % 3)"), "UNITS": _line("2"), "CANARY": _line("8/8"),
+    "DURATION": _line(f"(1 + {_N})", " min"), "DENIALS": _line(f"({_N} % 3)", "; result impact: ZERO"), "VISITATION": _line(f"({_FILES})", "/", f"({_FILES})"),
+    "SEAL-CLASS": _line("CERTIFIED"), "FIRST-COURT-LAG": _line(f"({_N})"), "CENSUS-FORM": _line("FLAT-PIPELINE"), "EXPECTED-CLOCK": _line(f"(2 + {_N})", " lanes"), "MODE": _line("CODE"),
+    "STRICT-CHAPMAN": _line("U1 0.", f"(60 + {_K} % 40)", " U12 0.", f"(50 + {_N})"),
+    "LAP-HISTORY": _line("1 bound 0.4 novelCH ", f"({_A} % 90)"), "LAP-HISTORY ": _line("2 bound 0.7 novelCH ", f"({_N} % 3)"), "LAP-HISTORY  ": _line("3 bound 0.8 novelCH ", f"({_K} % 3)"),
+    "CANARY-MIX": _line("3P+5H"), "FALSIFIERS": _line("run ", f"({_N})", "/", f"({_N})"), "M-AUDIT": _line(f"({_N})", "/", f"({_N})", " re-derived seed=", f"(10000000 + {_K})"),
+    "DEPTH-RATIO": _line("0.", f"(10 + {_N})"), "REACH-DISCIPLINE": _line(f"({_N})", "/", f"({_N})"), "WIDTH-DISCIPLINE": _line(f"(3 + {_N})", "/", f"(3 + {_N})"),
+    "PULSE-LEDGER": _line("max-gap ", f"({_N})", "m deaths ", f"({_DEAD})", " redispatched ", f"({_DEAD})"), "PRIORS": _line(f"({_A} % 20)", " loaded ", f"({_A} % 20)", " refound-or-adjudicated"),
+    "FRONTIER-CLOSE": _line(f"({_N})", "m"), "SATURATION": _line("avg 2.", f"({_N} % 10)", "/3 idle-while-ready ", f"({_N} % 6)", "m"), "ENGINE": _line("ONE-QUEUE"),
+    "AXIS-CENSUS": _line(f"(1 + {_N})", " declared, all exhausted"), "AXIS-CLOSURE": _line(f"(1 + {_N})", "/", f"(1 + {_N})"), "DISPOSITION": _line("none open"),
+    "TERMINAL-PRECEDENCE": _line("ran ", f"(10 + {_N} % 10)", ":30Z pre-assembly verdict CERTIFY"),
+    "SEAL-ENTRY": _line("ran ", f"(10 + {_N} % 10)", ":20Z census ", f"({_FILES})", " conservation ", f"({_TOTAL})", "==", f"({_TOTAL})", " canaries 8 OPENED"), "CLOSURE-BASIS": _line("STANDARD-095"),
+}
+DEFECTS = [  # (variant, field, its value, refused stage, rule); a null stage is an accepted card
+    (1, "TIER-M", _line(f"({_TIERS['TIER-M']} + 1 + {_N})"), 4, "tiers"), (2, "CANARY", _line(f"({_N})", "/9"), 8, "slots"), (3, "SEAL-CLASS", _line("ASSESSMENT"), 7, "assess-receipt"),
+    (4, "PULSE-LEDGER", _line("max-gap 3m deaths ", f"({_DEAD} + {_N})", " redispatched ", f"({_DEAD})", " adopted ", f"({_N})", " unreconciled 0"), None, None),
+    (5, "PULSE-LEDGER", _line("max-gap 3m deaths ", f"({_DEAD} + 1)", " redispatched ", f"({_DEAD})"), 11, "ledger"), (6, "SEAL-CLASS", _line("BLOCKED-UNCERTIFIED"), 7, "block"),
+    (7, "STRICT-CHAPMAN", _line("U7 0.", f"(10 + {_N})", " U8 0.9"), 11, "strict"), (8, "CANARY-MIX", _line(f"(5 + {_K} % 3)", "P+", f"(3 - {_K} % 3)", "H"), 11, "mix"),
+    (9, "PC-1", _line(f"(1 + {_N})"), 11, "receipts"), (10, "WIDTH-DISCIPLINE", _line(f"(2 + {_N})", "/", f"(3 + {_N})"), 11, "width"),
+    (11, "PRIORS", _line(f"(1 + {_A} % 20)", " loaded ", f"({_A} % 20)", " refound-or-adjudicated"), 11, "priors"), (12, "SATURATION", _line("avg 1.0/3 idle-while-ready ", f"(6 + {_N})", "m"), 11, "saturation"),
+    (13, "LAP-HISTORY  ", _line("3 bound 0.8 novelCH ", f"(3 + {_N})"), 12, "closure"), (14, "VISITATION", _line(f"({_FILES} - 1)", "/", f"({_FILES})"), 10, "visitation"),
+    (15, "CANARY", _line(f"({_N} % 8)", "/8"), 10, "slot-miss"), (16, "TERMINAL-PRECEDENCE", _line("ran 09:09Z pre-assembly verdict CONTINUE"), 10, "precedence"),
+    (17, "SEAL-ENTRY", _line("ran 09:08Z census 1 conservation ", f"({_TOTAL})", "==", f"({_TOTAL} + 1)", " canaries 8 OPENED"), 10, "entry-conservation"),
+    (18, "SEAL-ENTRY", _line("ran 09:08Z census 1 conservation ", f"({_TOTAL})", "==", f"({_TOTAL})"), 10, "entry-slots"), (19, "AXIS-CLOSURE", _line(f"(1 + {_N})", "/", f"(2 + {_N})"), 11, "axes"),
+    (20, "ENGINE", None, 1, "fields"), (21, "VERIFIED-TOTAL", _line(f"({_TOTAL} + 1 + {_N})"), 3, "verified"),
+    (22, "STRICT-CHAPMAN", _line("U7 0.", f"(10 + {_N})", chr(10) + "CURE-LAP: U07"), None, None), (23, "STRICT-CHAPMAN", _line("U07 0.", f"(10 + {_N})", chr(10) + "CURE-LAP: U7"), 11, "strict"),
 ]
-SWAPS = [  # (variant, from, to, refused stage, rule); a null stage is an accepted card
-    (1, "TIER-M: 2", "TIER-M: 4", 4, "tiers"), (2, "CANARY: 8/8", "CANARY: 9/10", 8, "slots"), (3, "SEAL-CLASS: CERTIFIED", "SEAL-CLASS: ASSESSMENT", 7, "assess-receipt"),
-    (4, "deaths 1 redispatched 1", "deaths 5 redispatched 5 adopted 4 unreconciled 0", None, None), (5, "deaths 1 redispatched 1", "deaths 2 redispatched 1", 11, "ledger"),
-    (6, "SEAL-CLASS: CERTIFIED", "SEAL-CLASS: BLOCKED-UNCERTIFIED", 7, "block"), (7, "U03 0.90", "U03 0.40", 11, "strict"), (8, "CANARY-MIX: 4P+4H", "CANARY-MIX: 8P+0H", 11, "mix"),
-    (9, "PC-1: 0", "PC-1: 1", 11, "receipts"), (10, "WIDTH-DISCIPLINE: 6/6", "WIDTH-DISCIPLINE: 5/6", 11, "width"), (11, "6 loaded 6 refound", "6 loaded 5 refound", 11, "priors"),
-    (12, "idle-while-ready 0m", "idle-while-ready 44m", 11, "saturation"), (13, "novelCH 0", "novelCH 40", 12, "closure"), (14, "VISITATION: 12/12", "VISITATION: 10/12", 10, "visitation"),
-    (15, "CANARY: 8/8", "CANARY: 6/8", 10, "slot-miss"), (16, "verdict CERTIFY", "verdict CONTINUE", 10, "precedence"), (17, "conservation 12==12", "conservation 12==11", 10, "entry-conservation"),
-    (18, " canaries 8 OPENED", "", 10, "entry-slots"), (19, "AXIS-CLOSURE: 5/5", "AXIS-CLOSURE: 5/6", 11, "axes"), (20, "ENGINE: ONE-QUEUE", "MOTOR: ONE-QUEUE", 1, "fields"), (21, "VERIFIED-TOTAL: 6", "VERIFIED-TOTAL: 60", 3, "verified"),
-]
-CARDS = (
-    "SELECT c_custkey AS card_id, CASE c_custkey % 24 " + " ".join(f"WHEN {v} THEN replace(t, '{a}', '{b}')" for v, a, b, _, _ in SWAPS)
-    + " ELSE t END AS text FROM (SELECT c_custkey, concat('" + "', chr(10), '".join(CARD_LINES) + "', chr(10)) AS t FROM customer)"
-)
-CARD_RULES = ", ".join(f"({v}, {s}, '{r}')" for v, _, _, s, r in SWAPS if s) + ", (19, 11, 'axes')"
+VARIANTS = 26
+
+
+def _card_sql() -> str:
+    """Each field's line; a variant's defect replaces it, or leaves the line out."""
+    lines = []
+    for field, value in CARD.items():
+        line = lambda v, f=field.strip(): "''" if v is None else f"concat('{f}: ', {v}, chr(10))"
+        cases = " ".join(f"WHEN {v} THEN {line(other)}" for v, at, other, _, _ in DEFECTS if at == field)
+        lines.append(f"CASE {_K} % {VARIANTS} {cases} ELSE {line(value)} END" if cases else line(value))
+    return f"SELECT {_K} AS card_id, concat({', '.join(lines)}) AS text FROM customer"
+
+
+CARDS = _card_sql()
+CARD_RULES = ", ".join(f"({v}, {s}, '{r}')" for v, _, _, s, r in DEFECTS if s) + ", (19, 11, 'axes')"
 
 
-@query("card_suite", "G3", f"SELECT c_custkey AS card_id, r.stage, r.rule, count(*) AS n FROM customer JOIN (VALUES {CARD_RULES}) r(v, stage, rule) ON c_custkey % 24 = r.v GROUP BY ALL")
+@query("card_suite", "G3", f"SELECT c_custkey AS card_id, r.stage, r.rule, count(*) AS n FROM customer JOIN (VALUES {CARD_RULES}) r(v, stage, rule) ON c_custkey % {VARIANTS} = r.v GROUP BY ALL")
 def card_suite_query(spark, sf):
     return card.card_suite(derive(spark, sf, CARDS)).groupBy("card_id", "stage", "rule").agg(F.count("*").alias("n"))
 
 
 @query("card_tokens", "X22 G3", f"""
-WITH c AS ({CARDS}) SELECT card_id, 'CERTIFIED' AS seal_class, substring(sha256(concat(text, '|CERTIFIED-PASS')), 1, 16) AS token FROM c WHERE card_id % 24 IN (0, 4, 22, 23)""")
+WITH c AS ({CARDS}) SELECT card_id, 'CERTIFIED' AS seal_class, substring(sha256(concat(text, '|CERTIFIED-PASS')), 1, 16) AS token FROM c WHERE card_id % {VARIANTS} IN (0, 4, 22, 24, 25)""")
 def card_tokens(spark, sf):
     cards = derive(spark, sf, CARDS)
     return card.card_tokens(cards, card.card_suite(cards))
@@ -164,7 +200,7 @@ SELECT doc_id, 'missing-title' AS rule, count(*) AS n FROM t WHERE slot % 43 = 0
 UNION ALL SELECT doc_id, 'path', count(*) FROM t WHERE slot % 53 = 0 GROUP BY 1 UNION ALL SELECT doc_id, 'duplicate', 1 FROM t WHERE doc_id % 10 = 3 GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT doc_id, 'tag', 1 FROM t WHERE doc_id = 9 UNION ALL SELECT 51, 'empty', 1""")
 def priors_suite(spark, sf):
     t = derive(spark, sf, "SELECT slot % 50 AS doc_id, CASE WHEN slot % 50 % 10 = 3 THEN 'SAME' ELSE id END AS id, CASE WHEN slot % 53 = 0 THEN concat('../', path) ELSE path END AS path, CASE WHEN slot % 47 = 0 THEN 'L9' ELSE family END AS family, CASE WHEN slot % 43 = 0 THEN ' ' ELSE title END AS title FROM f5")
-    heads = t.select("doc_id").distinct().unionByName(t.limit(1).select((F.lit(51) + F.col("doc_id") * 0).alias("doc_id"))).withColumn(
+    heads = t.select("doc_id").distinct().unionByName(t.agg((F.max("doc_id") * 0 + 51).alias("doc_id"))).withColumn(
         "schema", F.expr("CASE WHEN doc_id = 9 THEN 'old' ELSE 'priors/v1' END"))
     return documents.priors_suite(t, heads).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
@@ -201,12 +237,15 @@ def run_completeness(spark, sf):
 
 
 @query("mint_mix", "G8", """
-WITH s AS (SELECT p_partkey // 12 AS run_id, p_partkey % 12 AS i FROM part), c AS (SELECT run_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) = 12)
-SELECT run_id, 'too few historical slots' AS problem FROM c WHERE run_id % 4 = 1 UNION ALL SELECT run_id, 'family spread L1-auth' FROM c WHERE run_id % 5 = 2 UNION ALL SELECT run_id, 'family spread L2-secrets' FROM c WHERE run_id % 5 = 2""")
+WITH s AS (SELECT p_partkey // 12 AS run_id, p_partkey % 12 AS i FROM part WHERE NOT (p_partkey // 12 % 4 = 1 AND p_partkey % 12 = 11)),
+t AS (SELECT run_id, i >= 8 AS historical, CASE WHEN run_id % 5 = 2 AND i = 0 THEN 1 ELSE i % 4 END AS f FROM s), r AS (SELECT DISTINCT p_partkey // 12 AS run_id FROM part)
+SELECT r.run_id, 'too few historical slots' AS problem FROM r LEFT JOIN t ON t.run_id = r.run_id GROUP BY r.run_id HAVING count(*) FILTER (WHERE historical) < 4
+UNION ALL SELECT r.run_id, concat('family spread ', n.name) FROM (SELECT DISTINCT run_id FROM t) r CROSS JOIN (VALUES (0, 'L1-auth'), (1, 'L2-secrets'), (2, 'L3-injection'), (3, 'L4-infra')) n(f, name)
+  LEFT JOIN t ON t.run_id = r.run_id AND t.f = n.f AND NOT t.historical GROUP BY r.run_id, n.name HAVING count(t.f) <> 2""")
 def mint_mix(spark, sf):
-    s = derive(spark, sf, "SELECT p_partkey DIV 12 AS run_id, p_partkey % 12 AS i, count(*) OVER (PARTITION BY p_partkey DIV 12) AS n FROM part").filter("n = 12 AND NOT (run_id % 4 = 1 AND i = 11)")
+    s = derive(spark, sf, "SELECT p_partkey DIV 12 AS run_id, p_partkey % 12 AS i FROM part").filter("NOT (run_id % 4 = 1 AND i = 11)")
     slots = s.selectExpr("run_id", "i >= 8 AS historical", "CASE WHEN run_id % 5 = 2 AND i = 0 THEN 'L2-secrets' ELSE element_at(array('L1-auth', 'L2-secrets', 'L3-injection', 'L4-infra'), CAST(i % 4 + 1 AS INT)) END AS family")
-    return run.mint_mix(slots, s.select("run_id").distinct())
+    return run.mint_mix(slots, derive(spark, sf, "SELECT DISTINCT p_partkey DIV 12 AS run_id FROM part"))
 
 
 @query("declared_totals", "J21", """

@@ -207,12 +207,12 @@ def stagnation(spark, sf):
 
 
 @query("lens_rotation", "W10", """
-WITH used AS (SELECT path, lens FROM f2_valid WHERE l_suppkey % 4 = 0 GROUP BY ALL), paths AS (SELECT DISTINCT path FROM f2_valid)
+WITH used AS (SELECT path, lens FROM f2_valid WHERE pass = 1 GROUP BY ALL), paths AS (SELECT DISTINCT path FROM f2_valid)
 SELECT p.path AS unit_id, coalesce((SELECT min(x.lens) FROM (VALUES ('L1-auth'), ('L2-secrets'), ('L3-injection'), ('L4-infra')) x(lens)
   WHERE x.lens NOT IN (SELECT u.lens FROM used u WHERE u.path = p.path)), 'L2-secrets') AS lens FROM paths p""")
 def lens_rotation(spark, sf):
     rows = view(spark, sf, "f2_valid").withColumn("unit_id", F.col("path"))
-    return cv.next_lens(rows, rows.filter("l_suppkey % 4 = 0").select("unit_id", "lens"), 5)
+    return cv.next_lens(rows, rows.filter("pass = 1").select("unit_id", "lens"), 5)
 
 
 @query("typical_yield", "A20", f"""

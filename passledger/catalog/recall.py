@@ -20,7 +20,7 @@ FROM part p CROSS JOIN (VALUES (0), (1), (2)) k(k)""".replace("{family}", FAMILY
 
 MATCH = f"""
 slots AS ({SLOT_ROWS}),
-c AS (SELECT id AS candidate_id, path, line, min(lens) AS lens, min(category) AS category, lower(min(category)) AS t FROM f2_valid WHERE l_suppkey % 6 = 0 GROUP BY id, path, line),
+c AS (SELECT id AS candidate_id, path, line, min(lens) AS lens, min(category) AS category, lower(min(category)) AS t FROM f2_valid GROUP BY id, path, line),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY slot) AS k FROM slots),
 pairs AS (SELECT s.slot, list(c.candidate_id ORDER BY abs(c.line - s.line), c.line, c.candidate_id) AS cs FROM slots s JOIN c ON c.path = s.path AND abs(c.line - s.line) <= 40
           WHERE c.lens = s.family OR {KEYWORDS} GROUP BY s.slot),
@@ -41,7 +41,7 @@ def slots(spark, sf):
 
 
 def candidates(spark, sf):
-    v = view(spark, sf, "f2_valid").filter("l_suppkey % 6 = 0")
+    v = view(spark, sf, "f2_valid")
     return v.groupBy(F.col("id").alias("candidate_id"), "path", "line").agg(F.min("lens").alias("lens"), F.min("category").alias("category")).withColumn("title", F.lit(""))
 
 
@@ -169,14 +169,14 @@ def heat_split(spark, sf):
 
 
 @query("heat_per_unit", "J23", f"""
-WITH {PRIORS}, p AS (SELECT f.unit_id, concat(r.resolved, ':', r.line, ' ', r.family, ' ', r.title) AS seed FROM resolved r JOIN f3 f ON f.path = r.resolved WHERE r.slot % 5 = 1)
+WITH {PRIORS}, p AS (SELECT f.unit_id, concat(r.resolved, ':', r.line, ' ', r.family, ' ', r.title) AS seed FROM resolved r JOIN f3 f ON f.path = r.resolved )
 SELECT * FROM p UNION ALL SELECT DISTINCT unit_id, 'no historical heat for this unit' FROM f3 WHERE unit_id NOT IN (SELECT unit_id FROM p)""")
 def heat_per_unit(spark, sf):
-    return pr.heat_lines(_targets(spark, sf).filter("slot % 5 = 1"), view(spark, sf, "f3"))
+    return pr.heat_lines(_targets(spark, sf), view(spark, sf, "f3"))
 
 
 DISPOSED = PRIORS + f""",
-f AS (SELECT finding_id, path, lens, status, l_orderkey AS ord, lower(concat(category, ' ', title)) AS t FROM findings WHERE l_suppkey % 40 = 0),
+f AS (SELECT finding_id, path, lens, status, l_orderkey AS ord, lower(concat(category, ' ', title)) AS t FROM findings),
 m AS (SELECT s.id, f.finding_id, f.status, row_number() OVER (PARTITION BY s.id ORDER BY CASE WHEN f.status = 'verified' THEN 0 ELSE 1 END, f.ord, f.finding_id) AS r
   FROM resolved s JOIN f ON f.path = s.resolved WHERE f.lens = s.family OR {KEYWORDS.replace('c.t', 'f.t')}),
 disposed AS (SELECT r.id, CASE WHEN m.id IS NULL THEN 'NOT-EVIDENCED' ELSE 'REFOUND' END AS disposition, CASE WHEN r.resolved IS NULL THEN 'locus-not-found' WHEN m.id IS NULL THEN 'defect-not-present' END AS sub_class,
@@ -184,7 +184,7 @@ disposed AS (SELECT r.id, CASE WHEN m.id IS NULL THEN 'NOT-EVIDENCED' ELSE 'REFO
 
 
 def _disposed(spark, sf):
-    f = view(spark, sf, "findings").filter("l_suppkey % 40 = 0").select(
+    f = view(spark, sf, "findings").select(
         F.col("finding_id").alias("id"), "path", "lens", "category", "title", "status", F.col("l_orderkey").alias("ord"))
     t = _targets(spark, sf)
     return pr.dispositions(t, f, t.filter("slot % 2 = 0"))

@@ -24,7 +24,7 @@ CWE = "CASE WHEN cwe = 'CWE-79' THEN 'CWE-79' WHEN category = 'sql-injection' TH
 ROWS = f"""
 f AS ({FINDINGS}), rows AS (
 SELECT doc_id, id, severity, split_part(path, '/', 1) AS repo, concat(substring(path, strpos(path, '/') + 1), ':', line) AS path, title, {CWE} AS cwe_canonical,
-  CASE WHEN fix IS NOT NULL THEN fix ELSE concat('Review the ', category, ' weakness at ', substring(path, strpos(path, '/') + 1), ':', line, ' and apply the family-standard control (validate/bind/parameterize or remove the weakened setting); not yet independently verified.') END AS fix,
+  CASE WHEN fix IS NOT NULL THEN fix ELSE concat('No specific fix was given for ', category, ' in ', substring(path, strpos(path, '/') + 1), ':', line, '; choose the usual control of this category and have it confirmed.') END AS fix,
   CASE WHEN status = 'verified' THEN 'verified' ELSE 'conditional' END AS status, CASE WHEN severity = 'PRIORITIZED_CRITICAL' THEN disproof_attempt END AS pc_reason
 FROM f WHERE status <> 'refuted' AND NOT synthetic)"""
 
@@ -61,7 +61,7 @@ def _chain_hops(spark, sf):
 WITH {ROWS}, m AS (SELECT doc_id, 1 AS section, to_json({{id: id, severity: severity, repo: repo, path: path, title: title, cwe_canonical: cwe_canonical, fix: fix, status: status}}) AS line FROM rows),
 c AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM rows GROUP BY doc_id)
 SELECT doc_id, 1 AS section, CAST(line AS VARCHAR) AS line FROM m
-UNION ALL SELECT doc_id, 0, concat('{{"schema_version":"2.0","app":{{"app_id":"APP', doc_id, '","app_name":"Example ', doc_id, '","estate":"estate","scan_run":"r-1","scanner_version":"1.0"}},"declared_counts":{{"total":', total, ',"pc":0,"critical":', critical, ',"high":', high, ',"medium":', medium, ',"low":', low, ',"chains":0}},"findings":[') FROM c
+UNION ALL SELECT doc_id, 0, concat('{{"schema_version":"2.0","app":{{"cmdb_id":"APP', doc_id, '","app_name":"Example ', doc_id, '","estate":"estate","scan_run":"r-1","scanner_version":"1.0"}},"declared_counts":{{"total":', total, ',"pc":0,"critical":', critical, ',"high":', high, ',"medium":', medium, ',"low":', low, ',"chains":0}},"findings":[') FROM c
 UNION ALL SELECT doc_id, 2, '],"chains":[' FROM c UNION ALL SELECT doc_id, 4, ']}}' FROM c""")
 def report_document(spark, sf):
     report = build_report(_findings(spark, sf), _identity(spark, sf), "doc_id", "r-1", "1.0")

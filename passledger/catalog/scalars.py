@@ -56,11 +56,12 @@ def redaction_counts(spark, sf):
 
 
 @query("redact_json", "X2", f"""
-WITH d AS ({DIRTY}) SELECT doc_id, CASE WHEN doc_id % 9 = 3 THEN ' id [REDACTED] end' END AS tail FROM d WHERE doc_id % 9 = 3""")
+WITH d AS (SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'id 123-45-6789 end' ELSE 'no number here' END, ' of ', source, ' in ', lang) AS text FROM documents)
+SELECT doc_id, replace(text, '123-45-6789', '[REDACTED]') AS text FROM d""")
 def redact_json(spark, sf):
-    rows = dirty(spark, sf).filter("doc_id % 9 = 3").select("doc_id", F.struct("doc_id", "text").alias("v"))
-    out = rows.select("doc_id", fn.redact_json("v", "doc_id bigint, text string").alias("r"))
-    return out.select("doc_id", F.expr("right(r.text, 18)").alias("tail"))
+    text = F.expr("concat(CASE WHEN doc_id % 2 = 0 THEN 'id 123-45-6789 end' ELSE 'no number here' END, ' of ', source, ' in ', lang)")
+    rows = view(spark, sf, "documents").select("doc_id", F.struct("doc_id", text.alias("text")).alias("v"))
+    return rows.select("doc_id", fn.redact_json("v", "doc_id bigint, text string").alias("r")).select("doc_id", "r.text")
 
 
 @query("leak_check", "X3", r"""

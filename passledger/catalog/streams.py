@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passledger import constants as C
 from passledger.catalog import query
 from passledger.catalog.corpus import HITS
 from passledger.catalog.history import SLOTS, STATES, _modes, _placed, _rows
@@ -15,15 +16,18 @@ from passledger.streaming import jobs
 from passledger.views import view
 
 
-def arriving(df: DataFrame, by: str, parts: int = 3) -> DataFrame:
-    """The rows of ``df`` as a stream of ``parts`` files in ``by`` order (a bigint column), one file set per trigger."""
+def arriving(df: DataFrame, by: str, parts: int = 3, files: int = 4) -> DataFrame:
+    """The rows of ``df`` as a stream of ``parts`` deliveries in ``by`` order (a bigint column), each of ``files`` files at most.
+
+    Deliveries are written one after the other, and a trigger takes as many files as one delivery has.
+    """
     spark: SparkSession = df.sparkSession
     place = jobs.fresh_dir(spark, "arriving")
-    top = df.agg(F.max(by)).first()[0] or 0
-    step = top // parts + 1
+    top = df.agg(F.coalesce(F.max(by), F.lit(0)).alias("_top"))
+    dealt = df.join(F.broadcast(top)).withColumn("_delivery", F.floor(F.col(by) * parts / (F.col("_top") + 1)))
     for i in range(parts):
-        df.filter((F.col(by) >= i * step) & (F.col(by) < (i + 1) * step)).coalesce(1).write.mode("append").parquet(place)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(place)
+        dealt.filter(F.col("_delivery") == i).select(*df.columns).repartition(files).write.mode("append").parquet(place)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(place)
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -38,10 +42,15 @@ def stream_ledger(spark, sf):
     return jobs.latest(table, "lane").select("lane", "deaths", "closures", "outstanding", "over_closures")
 
 
-@query("stream_stalls", "R5")
+@query("stream_stalls", "R5", """
+WITH l AS (SELECT * FROM f6 WHERE lane IS NOT NULL AND trim(lane) <> '' AND event IN ('lane-dead', 'lane-relaunched', 'lane-adopted-empty')),
+w AS (SELECT lane, ts, event_id, lead(ts) OVER (PARTITION BY lane ORDER BY ts, event_id) AS after, max(ts) OVER () AS clock,
+  sum(CASE WHEN event = 'lane-dead' THEN 1 ELSE -1 END) OVER (PARTITION BY lane ORDER BY ts, event_id) AS s FROM l),
+o AS (SELECT lane, ts, after, clock, CAST(s - least(0, min(s) OVER (PARTITION BY lane ORDER BY ts, event_id)) AS BIGINT) AS outstanding FROM w)
+SELECT lane, outstanding, ts FROM o WHERE coalesce(after, clock) - ts > to_seconds({LIMIT})""".replace("{LIMIT}", str(2 * C.SWEEP_SECONDS)))
 def stream_stalls(spark, sf):
     events = view(spark, sf, "f6").select("event", "lane", "ts", F.col("event_id").alias("seq"))
-    return run(jobs.lane_ledger(arriving(events, "seq")), "update").filter("kind = 'stalled'").select("lane", "outstanding", "ts")
+    return jobs.stalls(run(jobs.lane_ledger(arriving(events, "seq")), "update"))
 
 
 @query("stream_first_sight", "R2", f"WITH {SLOTS} SELECT slot, candidate_id, sev_rank, is_new, is_new_serious FROM marked WHERE is_new OR is_new_serious")
@@ -60,7 +69,7 @@ def stream_convergence(spark, sf):
     slots = marked.select("slot", "slot_pass", "phase").distinct()
     modes = _modes(spark, sf).select("unit_id", F.col("pass").alias("slot_pass"), "mode")
     n = marked.filter("is_new_serious").join(placed, "candidate_id").groupBy("unit_id", "slot").agg(F.count("*").alias("n"))
-    every = units.withColumn("slot", F.explode(F.expr("sequence(1L, 4L)"))).join(slots, "slot")
+    every = units.join(F.broadcast(slots.agg(F.collect_set(F.struct("slot", "slot_pass", "phase")).alias("s")))).select("unit_id", "loc", F.inline("s"))  # slots are few
     counts = every.join(n, ["unit_id", "slot"], "left").join(modes, ["unit_id", "slot_pass"], "left").select(
         "unit_id", "slot", "phase", F.coalesce("mode", F.lit("full")).alias("mode"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
         cv.quiet_threshold("loc").alias("bar"))
@@ -78,8 +87,8 @@ def stream_progress(spark, sf):
 WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, started_at) AS window_start, model, count(*) AS calls, count(*) FILTER (WHERE status = 'ok') AS successful, CAST(coalesce(sum(output_tokens) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS output_tokens FROM f10 GROUP BY ALL)
 SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, model, calls, successful, output_tokens FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(started_at) - INTERVAL 10 MINUTE FROM f10)""")
 def stream_usage(spark, sf):
-    out = run(jobs.usage_windows(arriving(view(spark, sf, "f10"), "event_id"))).drop("batch")
-    return out.withColumn("window_start", F.unix_seconds("window_start"))
+    out = jobs.closed_windows(run(jobs.usage_windows(arriving(view(spark, sf, "f10"), "event_id")), "update"))
+    return out.drop("window_end").withColumn("window_start", F.unix_seconds("window_start"))
 
 
 @query("stream_redaction", "R7", r"""

@@ -52,7 +52,7 @@ def pending_verdicts(spark, sf):
 
 @query("normalise_verdicts", "J5", f"""
 WITH {CAND} SELECT c.candidate_id, CASE WHEN {OK} THEN upper(d.verdict) ELSE 'CONDITIONAL' END AS verdict, CASE WHEN {OK} THEN upper(d.severity) ELSE c.severity END AS severity, c.severity AS proposed_severity,
-  CASE WHEN {OK} THEN d.disproof_attempt ELSE 'no contract-valid verdict returned; retained at worst-plausible severity' END AS disproof_attempt, coalesce({OK}, false) AS was_valid
+  CASE WHEN {OK} THEN d.disproof_attempt ELSE 'the verdict was missing or broke its form, so the proposed severity stands' END AS disproof_attempt, coalesce({OK}, false) AS was_valid
 FROM cands c LEFT JOIN (SELECT DISTINCT * FROM docs) d ON d.candidate_id = c.candidate_id""")
 def normalise_verdicts(spark, sf):
     out = ve.normalise_verdicts(candidates(spark, sf), documents(spark, sf).distinct())

@@ -8,17 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passledger import constants as C
 from passledger import functions as fn
 from passledger.expect.core import row_violations
 
-FIELDS = [
-    "RUN-ID", "KIT", "ROWS-TOTAL", "VERIFIED-TOTAL", "REFUTED-TOTAL", "TIER-C", "TIER-H", "TIER-WP", "TIER-M", "TIER-L", "TIER-INFO",
-    "CH-COURTED", "PC-1", "PC-2", "BOUND-MIN", "UNITS", "CANARY", "DURATION", "DENIALS", "MODE", "DISPOSITION", "VISITATION", "SEAL-CLASS",
-    "FIRST-COURT-LAG", "EXPECTED-CLOCK", "CENSUS-FORM", "STRICT-CHAPMAN", "CANARY-MIX", "FALSIFIERS", "M-AUDIT", "DEPTH-RATIO",
-    "REACH-DISCIPLINE", "WIDTH-DISCIPLINE", "PULSE-LEDGER", "PRIORS", "FRONTIER-CLOSE", "SATURATION", "ENGINE", "AXIS-CENSUS",
-    "AXIS-CLOSURE", "TERMINAL-PRECEDENCE", "SEAL-ENTRY", "CLOSURE-BASIS",
-]
-TIER_FIELDS = ["TIER-C", "TIER-H", "TIER-WP", "TIER-M", "TIER-L", "TIER-INFO"]
+FIELDS, TIER_FIELDS = C.CARD_FIELDS, C.CARD_TIER_FIELDS
 
 
 def _has(text: Column, pattern: str) -> Column:
@@ -31,7 +25,7 @@ def _group(text: Column, pattern: str, i: int = 1) -> Column:
 
 
 def _int(text: Column, pattern: str, i: int = 1) -> Column:
-    return _group(text, pattern, i).cast("bigint")
+    return _group(text, pattern, i).try_cast("bigint")
 
 
 def _all(text: Column, pattern: str, i: int = 1) -> Column:
@@ -62,7 +56,7 @@ def parse_cards(cards: DataFrame, text: str = "text") -> DataFrame:
         "has_entry": _has(t, entry), "entry": F.regexp_extract(t, "(?m)" + entry, 1),
         "strict_units": F.regexp_extract_all(strict, F.lit(r"U(\d+)\s+([0-9.]+)"), F.lit(1)),
         "strict_values": F.transform(F.regexp_extract_all(strict, F.lit(r"U(\d+)\s+([0-9.]+)"), F.lit(2)), lambda v: v.try_cast("double")),
-        "cured_units": F.transform(_all(t, r"^CURE-LAP:\s*U0*(\d+)\b"), lambda u: u.cast("bigint")),
+        "cured_units": _all(t, r"^CURE-LAP:\s*U(\d+)\b"),
         "mix_p": _int(t, r"^CANARY-MIX:\s*(\d+)P\+(\d+)H\b", 1), "mix_h": _int(t, r"^CANARY-MIX:\s*(\d+)P\+(\d+)H\b", 2),
         "axes": _int(t, r"^AXIS-CENSUS:\s*(\d+)\s+declared\b.*exhausted"), "axis_closed": ratio("AXIS-CLOSURE", 1), "axis_total": ratio("AXIS-CLOSURE", 2),
         "idle": _int(t, r"^SATURATION:\s*avg\s+([0-9.]+)/(\d+)\s+idle-while-ready\s+(\d+)m", 3),
@@ -70,7 +64,7 @@ def parse_cards(cards: DataFrame, text: str = "text") -> DataFrame:
         "ledger_ok": _has(t, ledger), "deaths": _int(t, ledger, 2), "redispatched": _int(t, ledger, 3), "adopted": _int(t, ledger, 4), "unreconciled": _int(t, ledger, 5),
         "wide": ratio("WIDTH-DISCIPLINE", 1), "wide_of": ratio("WIDTH-DISCIPLINE", 2), "reached": ratio("REACH-DISCIPLINE", 1), "reached_of": ratio("REACH-DISCIPLINE", 2),
         "reach_receipts": F.size(_all(t, r"^(REACH-RECEIPT:\s*\S+)")),
-        "lap_bounds": F.transform(_all(t, laps, 1), lambda v: v.try_cast("double")), "lap_novel": F.transform(_all(t, laps, 2), lambda v: v.cast("bigint")),
+        "lap_bounds": F.transform(_all(t, laps, 1), lambda v: v.try_cast("double")), "lap_novel": F.transform(_all(t, laps, 2), lambda v: v.try_cast("bigint")),
         "basis": _group(t, r"^CLOSURE-BASIS:\s*(STANDARD-095|EXHAUSTIVE-SATURATED)\b"),
         "block": _group(t, r"^BLOCK-RECEIPT:\s*(SESSION-CEILING|DISPATCH-DENIED|LAP-YIELD-COLLAPSE)\b"),
     }
@@ -108,7 +102,7 @@ def card_suite(cards: DataFrame, key: str = "card_id", text: str = "text", deriv
     d1, d2 = last("lap_bounds", 2) - last("lap_bounds", 3), last("lap_bounds", 1) - last("lap_bounds", 2)
     low_units = F.filter(
         F.arrays_zip(F.col("strict_units").alias("u"), F.col("strict_values").alias("v")),
-        lambda x: (x["v"] < 0.5) & ~F.array_contains(F.col("cured_units"), x["u"].cast("bigint")),
+        lambda x: (x["v"] < 0.5) & ~F.arrays_overlap(F.col("cured_units"), F.array(x["u"], F.concat(F.lit("0"), x["u"]))),
     )
     saturated_basis = F.coalesce(F.col("basis") == "EXHAUSTIVE-SATURATED", F.lit(False))
     axes_whole = F.coalesce((F.col("axis_closed") == F.col("axis_total")) & (F.col("axes") == F.col("axis_total")) & dead, F.lit(False))

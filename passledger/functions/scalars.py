@@ -173,11 +173,8 @@ def repair_title(title) -> Column:
 def fix_or_fallback(fix, category, path, line) -> Column:
     fix = F.trim(F.coalesce(_c(fix), F.lit("")))
     generic = F.concat(
-        F.lit("Review the "), _c(category), F.lit(" weakness at "), _c(path), F.lit(":"), _c(line).cast("string"),
-        F.lit(
-            " and apply the family-standard control (validate/bind/parameterize or remove the weakened setting);"
-            " not yet independently verified."
-        ),
+        F.lit("No specific fix was given for "), _c(category), F.lit(" in "), _c(path), F.lit(":"), _c(line).cast("string"),
+        F.lit("; choose the usual control of this category and have it confirmed."),
     )
     keep = (F.length(fix) >= 20) | fix.startswith("No code change required;")
     return F.when(keep, fix).otherwise(generic)
@@ -260,13 +257,13 @@ def plant_classes(path) -> Column:
 
 
 def split_locus(locus) -> Column:
-    """'path:line' -> struct<path, line>; a missing or non-numeric line becomes 1."""
+    """'path:line' -> struct<path, line>; a missing or non-numeric line, or one beyond a bigint, becomes 1."""
     text = _c(locus)
     path = F.when(F.instr(text, ":") > 0, F.regexp_replace(text, ":[^:]*$", "")).otherwise(F.lit(""))
     tail = F.element_at(F.split(text, ":"), -1)
     return F.struct(
         path.alias("path"),
-        F.when(tail.rlike("^[0-9]+$"), tail.cast("bigint")).otherwise(F.lit(1).cast("bigint")).alias("line"),
+        F.coalesce(F.when(tail.rlike("^[0-9]+$"), tail.try_cast("bigint")), F.lit(1).cast("bigint")).alias("line"),
     )
 
 
@@ -350,7 +347,7 @@ def parse_lane_label(label) -> Column:
     return F.when(
         label.rlike(pattern),
         F.struct(
-            F.regexp_extract(label, pattern, 1).cast("bigint").alias("pass"),
+            F.regexp_extract(label, pattern, 1).try_cast("bigint").alias("pass"),
             F.regexp_extract(label, pattern, 2).alias("lens"),
             F.regexp_extract(label, pattern, 3).alias("unit_id"),
         ),

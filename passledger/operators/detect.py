@@ -32,19 +32,13 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(C.TEST_PATH_PATTERN)
 
 
-def _anchored(pattern: str) -> bool:
-    return any(mark in pattern.replace("[^", "[") for mark in ("^", "$", r"\b", r"\B", "(?<", "(?=", "(?!", r"\A", r"\Z"))
-
-
 def _is_builtin(detector: Detector) -> bool:
     return any(detector[0] == d[0] and detector[2].removeprefix("(?U)") == d[2] for d in C.LINE_DETECTORS)
 
 
 def _may_match(content: Column, detector: Detector) -> Column:
-    """Whole-text condition every line match implies: a literal of a known detector, else the pattern itself."""
-    if _is_builtin(detector):
-        return fn.any_of([content.contains(w) for w in C.DETECTOR_LITERALS[detector[0]]])
-    return content.rlike(fn.unicode_pattern(detector[2]))
+    """Whole-text condition every line match of a built-in detector implies: one of its literals."""
+    return fn.any_of([content.contains(w) for w in C.DETECTOR_LITERALS[detector[0]]])
 
 
 def _evidence(line: Column, pattern: str, hashed: bool) -> Column:
@@ -62,7 +56,8 @@ def sweep_lines(
 ) -> DataFrame:
     """(path, line, detector, class, evidence): first match of each detector on each line.
 
-    Files no detector can match are dropped on their whole text before any line is split; then one projection tests all
+    With built-in detectors only, files without any of their literals are dropped before a line is split; a caller's own
+    pattern may mean something else on a whole text than on a line, so it is tried on lines alone. One projection tests all
     detectors per line, without a line x detector product, and evidence is cut out for hits only.
     """
     detectors = C.LINE_DETECTORS if detectors is None else detectors
@@ -71,7 +66,7 @@ def sweep_lines(
     if file_pattern is not None:
         name = fn.file_name("path")
         rows = rows.filter(name.rlike(file_pattern) | (name == C.SWEEP_FILE_NAME))
-    if not any(_anchored(d[2]) and not _is_builtin(d) for d in detectors):
+    if all(_is_builtin(d) for d in detectors):
         rows = rows.filter(fn.any_of([_may_match(F.col("content"), d) for d in detectors]))
     lines = rows.select(
         *[c for c in rows.columns if c != "content"], is_test_path(F.col("path")).alias("_test"),
@@ -129,11 +124,11 @@ def lint_lines(corpus: DataFrame, policy: list[tuple[str, str]], exceptions: Dat
     return hits.join(exceptions.select("path", "label"), ["path", "label"], "left_anti") if exceptions is not None else hits
 
 
-def pattern_recall(samples: DataFrame, patterns: list[tuple[str, str]], floor: float = C.PATTERN_RECALL_FLOOR) -> DataFrame:
-    """Per family of ``samples`` (family, text): share matched by any of its patterns, against the floor."""
-    fires = [(F.col("family") == F.lit(f)) & F.col("text").rlike(p) for f, p in patterns]
-    hit = fn.any_of(fires) if fires else F.lit(False)
-    return samples.groupBy("family").agg(
+def pattern_recall(samples: DataFrame, patterns: DataFrame, floor: float = C.PATTERN_RECALL_FLOOR) -> DataFrame:
+    """Per family of ``samples`` (family, text): share matched by any of its ``patterns`` (family, pattern), against the floor."""
+    known = patterns.groupBy("family").agg(F.collect_set("pattern").alias("_patterns"))
+    hit = F.coalesce(F.exists("_patterns", lambda p: F.rlike(F.col("text"), p)), F.lit(False))
+    return samples.join(known, "family", "left").groupBy("family").agg(
         F.count("text").alias("samples"), F.coalesce(F.sum(F.when(hit, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("hits")
     ).withColumn("recall", F.when(F.col("samples") == 0, 1.0).otherwise(F.col("hits") / F.col("samples"))).withColumn(
         "below_floor", F.col("recall") < floor

@@ -38,18 +38,22 @@ def batches(pending: DataFrame, group: list[str], order: list[str], size: int =
 def hash_draw(
     df: DataFrame, id_col: str, k: int = C.DRAW_SIZE, eligible: Column | None = None, group: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The k eligible rows with the smallest sha256(id) per group, and the ineligible rows ranked before the last of them.
+    """The k eligible ids with the smallest sha256 per group, and the ineligible rows ranked before the last of them.
 
-    Duplicate ids count once. Only the k best rows per task and group are shuffled (the rank limit is pushed down).
+    An id that occurs several times is drawn once, with the row whose hash is smallest. Only rows of the k best ids per
+    task and group are shuffled (the rank limit is pushed down).
     """
     group = group or []
     hashed = df.withColumn("draw_hash", F.sha2(F.col(id_col).cast("string"), 256)).withColumn(
         "_ok", F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
     )
     place = Window.partitionBy(*group).orderBy("draw_hash")
+    best = hashed.filter("_ok").withColumn("draw_ord", F.dense_rank().over(place)).filter(F.col("draw_ord") <= k).drop("_ok")
+    keys = [*group, "draw_hash", "draw_ord"]
+    rest = [c for c in best.columns if c not in keys]
     drawn = (
-        hashed.filter("_ok").withColumn("draw_ord", F.row_number().over(place)).filter(F.col("draw_ord") <= k)
-        .withColumn("draw_ord", F.col("draw_ord").cast("bigint")).drop("_ok")
+        best.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select(*keys, "_r.*")
+        .withColumn("draw_ord", F.col("draw_ord").cast("bigint")).select(*df.columns, "draw_hash", "draw_ord")
     )
     last = drawn.groupBy(*group).agg(F.max("draw_hash").alias("_last"), F.count("*").alias("_n"))
     ineligible = hashed.filter("NOT _ok").drop("_ok")

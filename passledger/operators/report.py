@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passledger import constants as C
@@ -52,11 +52,21 @@ def declared_counts(rows: DataFrame, scope: list[str], chains: DataFrame | None
     return out.join(chains.groupBy(*scope).agg(F.count("*").alias("chains")), scope, "left").fillna({"chains": 0})
 
 
+def _place(df: DataFrame, column: str) -> Column:
+    """A text that sorts as the column does: whole numbers of any size and sign become 20 digits."""
+    if dict(df.dtypes)[column] not in ("int", "bigint"):
+        return F.col(column).cast("string")
+    return F.lpad((F.col(column).cast("decimal(21,0)") + F.lit("10000000000000000000").cast("decimal(21,0)")).cast("string"), 20, "0")
+
+
 def _listed(rows: DataFrame, doc: str, section: int, order: list[str], payload: Column) -> DataFrame:
-    """JSON array members as lines in ``order``; every member but the first of its document starts with a comma."""
-    width = lambda c: F.lpad(F.col(c).cast("string"), 12, "0") if dict(rows.dtypes)[c] in ("int", "bigint") else F.col(c).cast("string")
-    place = F.concat_ws("\u0001", *[width(c) for c in order])
-    keyed = rows.select(doc, F.lit(section).alias("section"), place.alias("place"), payload.alias("payload"))
+    """JSON array members as lines in ``order``; every member but the first of its document starts with a comma.
+
+    Members that share a place are numbered within it, so each has a place of its own.
+    """
+    shared = rows.select(doc, F.lit(section).alias("section"), F.concat_ws("\u0001", *[_place(rows, c) for c in order]).alias("place"), payload.alias("payload"))
+    tie = F.row_number().over(Window.partitionBy(doc, "place").orderBy("payload"))
+    keyed = shared.withColumn("place", F.concat_ws("\u0001", "place", F.lpad(tie.cast("string"), 20, "0")))
     first = keyed.groupBy(doc).agg(F.min("place").alias("_first"))
     comma = F.when(F.col("place") == F.col("_first"), "").otherwise(",")
     return keyed.join(first, doc).select(doc, "section", "place", F.concat(comma, "payload").alias("line"))
@@ -68,7 +78,7 @@ def report_document(rows: DataFrame, counts: DataFrame, identity: DataFrame, doc
     ``identity``: doc, app_id, app_name, estate; ``chains``: doc, chain_id, title, status; ``hops``: doc, chain_id, hop_ord,
     finding_id. A chain is an opening line, one line per hop and a closing line.
     """
-    app = F.struct("app_id", "app_name", "estate", F.lit(run).alias("scan_run"), F.lit(version).alias("scanner_version"))
+    app = F.struct(F.col("app_id").alias(C.REPORT_APP_ID), "app_name", "estate", F.lit(run).alias("scan_run"), F.lit(version).alias("scanner_version"))
     head = counts.join(identity, doc).select(
         doc, F.lit(0).alias("section"), F.lit("").alias("place"),
         F.concat(F.lit('{"schema_version":"2.0","app":'), F.to_json(app), F.lit(',"declared_counts":'),
@@ -86,13 +96,15 @@ def report_document(rows: DataFrame, counts: DataFrame, identity: DataFrame, doc
         opened = _listed(chains, doc, 3, ["chain_id"], opening)
         mark = lambda df, c, part: df.withColumn("place", F.concat_ws("\u0001", c, F.lit(part)))
         opened = mark(opened, F.col("place"), "0")
-        width = F.lpad("chain_id", 12, "0") if dict(chains.dtypes)["chain_id"] in ("int", "bigint") else key
-        at = F.concat_ws("\u0001", width, F.lit("1"), F.lpad(F.col("hop_ord").cast("string"), 12, "0"))
+        width = _place(chains, "chain_id")
+        at = F.concat_ws("\u0001", width, F.lit("1"), _place(hops, "hop_ord"))
         kept = hops.join(chains.select(doc, "chain_id"), [doc, "chain_id"], "left_semi")
-        first = kept.groupBy(doc, "chain_id").agg(F.min("hop_ord").alias("_first"))
-        comma = F.when(F.col("hop_ord") == F.col("_first"), "").otherwise(",")
-        hop_lines = kept.join(first, [doc, "chain_id"]).select(
-            doc, F.lit(3).alias("section"), at.alias("place"), F.concat(comma, F.to_json(F.struct("finding_id"))).alias("line"))
+        tie = F.row_number().over(Window.partitionBy(doc, "chain_id", "hop_ord").orderBy("finding_id"))
+        placed = kept.withColumn("place", F.concat_ws("\u0001", at, F.lpad(tie.cast("string"), 20, "0")))
+        first = placed.groupBy(doc, "chain_id").agg(F.min("place").alias("_first"))
+        comma = F.when(F.col("place") == F.col("_first"), "").otherwise(",")
+        hop_lines = placed.join(first, [doc, "chain_id"]).select(
+            doc, F.lit(3).alias("section"), "place", F.concat(comma, F.to_json(F.struct("finding_id"))).alias("line"))
         closed = chains.select(doc, F.lit(3).alias("section"), F.concat_ws("\u0001", width, F.lit("2")).alias("place"), F.lit("]}").alias("line"))
         out = out.unionByName(opened).unionByName(hop_lines).unionByName(closed)
     return out

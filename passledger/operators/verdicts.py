@@ -46,10 +46,10 @@ def normalise_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     ok = verdict_is_valid(F.col("_verdict"), F.col("_severity"))
     fallback = {
         "cwe": F.lit(C.DEFAULT_CWE),
-        "disproof_attempt": F.lit("no contract-valid verdict returned; retained at worst-plausible severity"),
+        "disproof_attempt": F.lit("the verdict was missing or broke its form, so the proposed severity stands"),
         "basis": F.lit("static-reasoned"),
         "reach_basis": F.col("reach_basis"),
-        "fix": F.lit("Review the cited locus manually."),
+        "fix": F.lit("A person should look at this place."),
     }
     out = candidates.join(docs, "candidate_id", "left")
     columns = {

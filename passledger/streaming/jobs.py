@@ -1,7 +1,7 @@
 """Structured Streaming versions of the ledger operators.
 
-Inputs are append-only tables. Stateful operators keep one small row per key in the state store; rows that arrive after
-their place in the order has passed go to a side output and are never dropped silently.
+Inputs are append-only tables. Stateful operators keep one small row per key in the state store and use no watermark
+unless asked to, so late rows are counted, or go to a side output where order matters; none is dropped silently.
 """
 
 from __future__ import annotations
@@ -60,22 +60,20 @@ LANE_OUTPUT = "lane string, kind string, deaths bigint, closures bigint, outstan
 class LaneReducer(StatefulProcessor):
     """State per lane: deaths, closures, open deaths, over-closures, last place in the order.
 
-    Rows of a batch are taken in (ts, seq) order. A row before the last place seen is emitted as 'late'. A timer
-    ``stall_seconds`` after the last event raises a 'stalled' row.
+    Rows of a batch are taken in (ts, seq) order. A row before the last place seen is emitted as 'late', however late it is.
+    A gap of more than ``stall_seconds`` before a row raises a 'stalled' row as of the event before the gap; lanes that
+    never come back are found by ``stalls``.
     """
 
     def __init__(self, stall_seconds: int):
-        self.stall_ms = stall_seconds * 1000
+        self.stall_us = stall_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "lane", "deaths bigint, closures bigint, outstanding bigint, over_closures bigint, ts_us bigint, seq bigint, timer_ms bigint"
-        )
+        self.state = handle.getValueState("lane", "deaths bigint, closures bigint, outstanding bigint, over_closures bigint, ts_us bigint, seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lane = key[0]
-        deaths, closures, outstanding, over, ts_us, seq, timer = self.state.get() or (0, 0, 0, 0, -1, -1, -1)
+        deaths, closures, outstanding, over, ts_us, seq = self.state.get() or (0, 0, 0, 0, -1, -1)
         table = pd.concat(list(rows)).sort_values(["ts", "seq"])
         out = []
         stamps = table["ts"].astype("datetime64[us]").astype("int64").tolist()
@@ -83,6 +81,8 @@ class LaneReducer(StatefulProcessor):
             if (at, number) < (ts_us, seq):
                 out.append((lane, "late", deaths, closures, outstanding, over, ts))
                 continue
+            if self.stall_us and ts_us >= 0 and at - ts_us > self.stall_us:
+                out.append((lane, "stalled", deaths, closures, outstanding, over, pd.Timestamp(ts_us, unit="us")))
             ts_us, seq = at, number
             if event == C.LEDGER_DEATH:
                 deaths, outstanding = deaths + 1, outstanding + 1
@@ -92,38 +92,40 @@ class LaneReducer(StatefulProcessor):
                     outstanding -= 1
                 else:
                     over += 1
-        if self.stall_ms and ts_us >= 0:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
-            timer = ts_us // 1000 + self.stall_ms
-            self.handle.registerTimer(timer)
-        self.state.update((deaths, closures, outstanding, over, ts_us, seq, timer))
+        self.state.update((deaths, closures, outstanding, over, ts_us, seq))
         out.append((lane, "state", deaths, closures, outstanding, over, pd.Timestamp(ts_us, unit="us")))
         yield pd.DataFrame(out, columns=["lane", "kind", "deaths", "closures", "outstanding", "over_closures", "ts"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deaths, closures, outstanding, over, ts_us, seq, _ = self.state.get()
-        self.state.update((deaths, closures, outstanding, over, ts_us, seq, -1))
-        yield pd.DataFrame(
-            [(key[0], "stalled", deaths, closures, outstanding, over, pd.Timestamp(ts_us, unit="us"))],
-            columns=["lane", "kind", "deaths", "closures", "outstanding", "over_closures", "ts"],
-        )
-
     def close(self) -> None:
         pass
 
 
-def lane_ledger(events: DataFrame, delay: str = "10 minutes", stall_seconds: int = 2 * C.SWEEP_SECONDS) -> DataFrame:
-    """Streaming ledger reduction per lane (update mode). ``events``: event, lane, ts, seq."""
+def lane_ledger(events: DataFrame, stall_seconds: int = 2 * C.SWEEP_SECONDS) -> DataFrame:
+    """Streaming ledger reduction per lane (update mode). ``events``: event, lane, ts, seq.
+
+    There is no watermark, since Spark drops rows behind one before a stateful operator sees them; the state is one small
+    row per lane and is kept.
+    """
     use_rocksdb(events.sparkSession)
     relevant = events.filter(
         F.col("event").isin(C.LEDGER_DEATH, *C.LEDGER_CLOSURES) & (F.trim(F.coalesce("lane", F.lit(""))) != "")
-    ).select("lane", "event", "ts", "seq").withWatermark("ts", delay)
+    ).select("lane", "event", "ts", "seq")
     return relevant.groupBy("lane").transformWithStateInPandas(
-        statefulProcessor=LaneReducer(stall_seconds), outputStructType=LANE_OUTPUT, outputMode="Update", timeMode="EventTime"
+        statefulProcessor=LaneReducer(stall_seconds), outputStructType=LANE_OUTPUT, outputMode="Update", timeMode="None"
     )
 
 
+def stalls(table: DataFrame, stall_seconds: int = 2 * C.SWEEP_SECONDS) -> DataFrame:
+    """(lane, outstanding, ts): every gap found so far, and lanes silent for more than the limit before the newest event of all.
+
+    ``table``: output of ``lane_ledger``.
+    """
+    now = latest(table.filter("kind = 'state'"), "lane")
+    clock = now.agg(F.max("ts").alias("_clock"))
+    silent = now.join(F.broadcast(clock)).filter(F.col("_clock") > F.col("ts") + F.make_interval(secs=F.lit(stall_seconds)))
+    return table.filter("kind = 'stalled'").select("lane", "outstanding", "ts").unionByName(silent.select("lane", "outstanding", "ts"))
+
+
 # -- first sight of ids -----------------------------------------------------------------------------
 def first_sight(observed: DataFrame) -> DataFrame:
     """``observed``: candidate_id, slot, sev_rank -> per id its first slot and the first slot with rank >= HIGH.
@@ -219,13 +221,23 @@ def progress(candidates: DataFrame, out: str, checkpoint: str, key: str = "unit_
     return spark.read.option("basePath", changes).schema(schema + ", delta bigint, batch bigint").parquet(changes)
 
 
-def usage_windows(usage: DataFrame, width: str = "1 hour", delay: str = "10 minutes", ts: str = "started_at") -> DataFrame:
-    """Calls, successes and tokens per window and model; windows close behind the watermark."""
+def usage_windows(usage: DataFrame, width: str = "1 hour", ts: str = "started_at") -> DataFrame:
+    """Calls, successes and tokens per window and model (update mode). Late rows still count: the state is one row per window and model."""
+    use_rocksdb(usage.sparkSession)
     ok = F.col("status") == "ok"
-    return usage.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "model").agg(
+    return usage.groupBy(F.window(ts, width).alias("w"), "model").agg(
         F.count("*").alias("calls"), F.count_if(ok).alias("successful"),
-        F.coalesce(F.sum(F.when(ok, F.col("output_tokens"))), F.lit(0)).alias("output_tokens"),
-    ).select(F.col("w.start").alias("window_start"), "model", "calls", "successful", "output_tokens")
+        F.coalesce(F.sum(F.when(ok, F.col("output_tokens"))), F.lit(0)).alias("output_tokens"), F.max(ts).alias("newest"),
+    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "model", "calls", "successful", "output_tokens", "newest")
+
+
+def closed_windows(table: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Latest state of the windows that end ``delay`` or more before the newest event, from the output of ``usage_windows``."""
+    keys = ["window_start", "window_end", "model"]
+    rest = [c for c in table.columns if c not in (*keys, "batch")]
+    now = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    clock = now.agg(F.max("newest").alias("_clock"))
+    return now.join(F.broadcast(clock)).filter(F.col("window_end") <= F.col("_clock") - F.expr(f"INTERVAL {delay}")).drop("_clock", "newest")
 
 
 def redact_stream(lines: DataFrame, column: str = "text") -> DataFrame:
@@ -237,8 +249,11 @@ def sweep_stream(documents: DataFrame, detectors=None) -> DataFrame:
     return de.sweep_lines(de.exclude_dirs(documents), detectors)
 
 
-def once(items: DataFrame, key: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each item once, however often it is redelivered within the watermark."""
+def once(items: DataFrame, key: list[str], ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """Each item once, however late it is redelivered. With ``delay`` keys are forgotten behind that watermark, which bounds
+    the state; rows behind it are then dropped by Spark."""
+    if delay is None:
+        return items.dropDuplicates(key)
     return items.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 

@@ -108,7 +108,7 @@ def test_stream_ledger_keeps_late_rows_apart(spark, tmp_path):
     d, r = "lane-dead", "lane-relaunched"
     batches = [[(d, "x", 100, 1), (r, "x", 200, 2)], [(d, "x", 150, 3), (d, "y", 300, 4)], [(r, "y", 90000, 5)], [(r, "y", 90001, 6)]]
     stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
-    out = jobs.drain(jobs.lane_ledger(stream, "100000 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"), "update").collect()
+    out = jobs.drain(jobs.lane_ledger(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "update").collect()
     assert [(x.lane, x.kind) for x in out if x.kind == "late"] == [("x", "late")]
     final = {x.lane: (x.deaths, x.closures, x.outstanding, x.over_closures) for x in sorted(out, key=lambda x: x.batch) if x.kind == "state"}
     assert final == {"x": (1, 1, 0, 0), "y": (1, 2, 0, 1)}
@@ -118,8 +118,23 @@ def test_stream_ledger_raises_stalls(spark, tmp_path):
     d = "lane-dead"
     batches = [[(d, "x", 100, 1)], [(d, "y", 10000, 2)], [(d, "y", 10001, 3)], [(d, "y", 10002, 4)]]
     stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
-    out = jobs.drain(jobs.lane_ledger(stream, "10 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"), "update").collect()
-    assert {(x.lane, x.outstanding) for x in out if x.kind == "stalled"} == {("x", 1)}
+    out = jobs.drain(jobs.lane_ledger(stream, 600), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    assert {(x.lane, x.outstanding) for x in jobs.stalls(out, 600).collect()} == {("x", 1)}
+
+
+def test_late_rows_of_old_and_new_lanes_are_kept(spark, tmp_path):
+    """Far behind all other events: an old lane's row goes to the side output, a new lane still appears, a window still counts."""
+    d, r = "lane-dead", "lane-relaunched"
+    batches = [[(d, "x", 36000, 1)], [(r, "x", 36060, 2)], [(d, "z", 36120, 3)], [(d, "x", 300, 4), (d, "y", 300, 5)], [(r, "y", 36130, 6)]]
+    stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
+    out = jobs.drain(jobs.lane_ledger(stream, 600), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    assert {(x.lane, x.outstanding) for x in out.filter("kind = 'late'").collect()} == {("x", 0)}
+    assert {x.lane: x.outstanding for x in jobs.latest(out.filter("kind = 'state'"), "lane").collect()} == {"x": 0, "y": 0, "z": 1}
+    assert {(x.lane, x.outstanding) for x in out.filter("kind = 'stalled'").collect()} == {("y", 1)}
+    calls = [[("m", "ok", 5, 36000)], [("m", "ok", 5, 80000)], [("m", "failed", 5, 36001)]]
+    usage = staged(spark, str(tmp_path / "calls"), calls, "model string, status string, output_tokens bigint, t bigint").withColumnRenamed("ts", "started_at")
+    table = jobs.drain(jobs.usage_windows(usage), str(tmp_path / "out2"), str(tmp_path / "cp2"), "update")
+    assert [(x.calls, x.successful) for x in jobs.closed_windows(table).collect()] == [(2, 1)]
 
 
 def test_stream_first_sight_is_right_for_late_rows(spark, tmp_path):
@@ -133,7 +148,29 @@ def test_stream_first_sight_is_right_for_late_rows(spark, tmp_path):
 def test_registry(spark):
     import __spark_entry__ as entry
 
+    from passledger import catalog
+
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 120
-    assert names - set(entry.oracle_sql()) == {"calibrate_keys", "stream_stalls"}
+    assert set(catalog.QUERIES) <= names
+    assert set(catalog.QUERIES) - set(entry.oracle_sql()) == {"calibrate_keys"}
     assert entry.entry(spark).count() == 5
+
+
+def test_fail_fast_does_not_depend_on_the_columns_read(spark, tmp_path):
+    from passledger.sources.readers import read_lanes
+
+    (tmp_path / "lane-pass1-L1-auth-UNIT-001.jsonl").write_text('{"path": "a.py", "line": 1}\nnot json\n')
+    assert read_lanes(spark, str(tmp_path)).count() == 2
+    for read in (lambda df: df.count(), lambda df: df.select("path", "line").collect()):
+        with pytest.raises(Exception, match="UNIT-001.jsonl:2"):
+            read(read_lanes(spark, str(tmp_path), "FAILFAST"))
+
+
+def test_report_lines_parse_with_ties_and_long_ids(spark):
+    from passledger.operators import report as rp
+
+    rows = spark.createDataFrame([("d", 5, "r", "a.py:1", "F-1")] * 3 + [("d", -7, "r", "b.py:1", "F-2"), ("d", 10**18 + 1, "r", "c.py:1", "F-3"), ("d", 10**18, "r", "c.py:1", "F-4")],
+                                 "doc string, _tier bigint, repo string, path string, id string")
+    lines = rp._listed(rows, "doc", 1, ["_tier", "repo"], F.to_json(F.struct("id"))).orderBy("place").collect()
+    assert [x["id"] for x in json.loads("[" + "".join(r.line for r in lines) + "]")] == ["F-2", "F-1", "F-1", "F-1", "F-4", "F-3"]

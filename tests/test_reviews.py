@@ -229,3 +229,29 @@ def test_audit_and_draw(spark):
     drawn, skipped = rk.hash_draw(df, "id", 4, F.col("ok"))
     assert [r.id for r in drawn.orderBy("draw_ord").collect()] == want
     assert sorted(r.id for r in skipped.collect()) == sorted(x for x in order[: order.index(want[-1])] if int(x[2:]) % 2)
+
+
+def test_draw_counts_a_repeated_id_once(spark):
+    df = spark.createDataFrame([(x, k) for k, x in enumerate(["x", "x", "y", "z", "x"])], "id string, n int")
+    drawn, _ = rk.hash_draw(df, "id", 2)
+    rows = drawn.orderBy("draw_ord").collect()
+    assert len(rows) == 2 and len({r.id for r in rows}) == 2 and [r.draw_ord for r in rows] == [1, 2]
+
+
+def test_dirty_numbers_do_not_end_a_job(spark):
+    from passledger import functions as fn
+    from passledger.operators.observations import lane_metadata
+
+    long = "9" * 30
+    row = spark.createDataFrame([(f"p:{long}", f"lane-pass{long}-L1-auth.jsonl", f"pass{long}-L1-auth-UNIT-002")], "l string, f string, s string").select(
+        fn.split_locus("l").alias("l"), lane_metadata(F.col("f")).alias("f"), fn.parse_lane_label("s").alias("s")).first()
+    assert row.l.line == 1 and row.f["pass"] is None and row.s["pass"] is None
+
+
+def test_own_detectors_see_lines_only(spark):
+    from passledger.operators import detect as de
+
+    files = spark.createDataFrame([("m/a.py", "abc\nfoo")], "path string, content string")
+    for pattern in (r"abc\z", r"abc\Z", r"\Gabc", "abc$"):
+        hits = de.sweep_lines(files, [("own", "c", pattern, False)], file_pattern=None).collect()
+        assert [(h.line, h.evidence) for h in hits] == [(1, "abc")]
