@@ -254,20 +254,23 @@ def class_feasibility(paths: DataFrame) -> DataFrame:
     )
 
 
-def search(corpus: DataFrame, pattern: str, glob: str = "*", hit_limit: int | None = C.SEARCH_HIT_LIMIT) -> DataFrame:
-    """Lines matching ``pattern`` in paths matching ``glob``, in path and line order; the hit limit is the feature."""
+def search(corpus: DataFrame, pattern: str, glob: str = "*", hit_limit: int | None = C.SEARCH_HIT_LIMIT, width: int = 200) -> DataFrame:
+    """Lines matching ``pattern`` in paths matching ``glob``, in path and line order; hit limit and shown width are the feature.
+
+    The pattern is tried on lines only: on a whole text it may mean something else.
+    """
     lines = (
-        corpus.filter(F.col("path").rlike("^" + glob_pattern(glob) + "$")).filter(F.col("content").rlike(pattern))
+        corpus.filter(F.col("path").rlike("^" + glob_pattern(glob) + "$"))
         .select("path", F.posexplode(fn.split_lines("content")).alias("pos", "text"))
         .filter(F.col("text").rlike(pattern))
-        .select("path", (F.col("pos") + 1).cast("bigint").alias("line"), F.substring(F.trim("text"), 1, 200).alias("text"))
+        .select("path", (F.col("pos") + 1).cast("bigint").alias("line"), F.substring(F.trim("text"), 1, width).alias("text"))
     )
     return lines if hit_limit is None else lines.orderBy("path", "line").limit(hit_limit)
 
 
 def line_window(corpus: DataFrame, offset: int = 1, limit: int = C.READ_LINES_LIMIT) -> DataFrame:
     """Numbered lines [offset, offset + limit) of each file and whether more follow."""
-    offset, limit = max(1, offset), min(limit, C.READ_LINES_LIMIT)
+    offset = max(1, offset)
     lines = fn.split_lines("content")
     body = F.array_join(
         F.transform(F.slice(lines, F.lit(offset), F.lit(limit)), lambda t, i: F.concat((i + offset).cast("string"), F.lit("\t"), t)), "\n"
