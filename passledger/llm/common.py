@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passledger.session import cut
 
-__all__ = ["components", "cut", "rank_in_groups", "table", "text_slices"]
+__all__ = ["components", "cut", "rank_in_groups", "roots", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,32 +58,61 @@ def rank_in_groups(df: DataFrame, group: list[str], spread: list[str], order: li
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of n rows that each is connected with by the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as (u, v), v the smallest id that u is connected with among them."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        edges = pa.Table.from_batches(held)
+        u, v = edges.column("u").to_numpy(), edges.column("v").to_numpy()
+        ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(len(ids), place[: len(u)], place[len(u) :])
+        inner = root != np.arange(len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[inner]), pa.array(ids[root[inner]])], ["u", "v"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", edges_per_task: int = 500_000) -> DataFrame:
     """(id, component_id): the smallest id reachable over the edges, for every id that has an edge to another id.
 
-    Alternates the large-star and small-star steps, which shorten paths by half and keep at most one row per edge, and
-    stores the edges after each round; it ends when a round changes nothing. Minima are partial aggregates, so an id with
-    very many edges costs no single task; the joins back are left to skew handling.
+    Each round first solves the edges of each task by itself (`edges_per_task` of them at most, about), which leaves one edge
+    per id and task, and ends if one task held them all. Else a large-star and a small-star step bring edges of different
+    tasks together, and the next round follows, until a round changes nothing. Edges are stored after each step. Minima are
+    partial aggregates, so an id with very many edges costs no single task; the joins back are left to skew handling.
     """
-    now = cut(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
-    known = None
+    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
     while True:
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == known or state.n == 0:
+        stored = cut(now)
+        tasks = stored.count() // edges_per_task + 1
+        now = cut(stored.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
+        if tasks == 1:
             break
-        known = state
+        known = _state(now)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lower, "u")
         small = (
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
         )
         now = cut(small)
+        if _state(now) == known:
+            break
     tails = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id"))
     return tails.unionByName(tails.select(F.col("component_id").alias("id"), "component_id").distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

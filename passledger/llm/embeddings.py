@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passledger.llm.common import components, cut
+from passledger.llm.common import components, cut, roots
 
 TABLES, PROJECTIONS, WIDTH = 40, 12, 1.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,19 +53,6 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[offsets[rows][:, None] + np.arange(size)]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row that each of n rows is connected with by the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _linked(rows: dict[str, np.ndarray], least: float) -> dict[str, np.ndarray]:
     """rep, root, links of the linked vectors of one pair of blocks (or of one block with itself)."""
     order = np.argsort(rows["rep"], kind="stable")
@@ -81,12 +68,12 @@ def _linked(rows: dict[str, np.ndarray], least: float) -> dict[str, np.ndarray]:
     t = int(rows["table"][0])
     if t and len(i):
         fresh = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
-        roots, i, j = _roots(len(rep), i, j), i[fresh], j[fresh]
+        root, i, j = roots(len(rep), i, j), i[fresh], j[fresh]
     else:
-        roots = _roots(len(rep), i, j)
+        root = roots(len(rep), i, j)
     links = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
-    there = (links > 0) | (roots != np.arange(len(rep)))
-    return {"rep": rep[there], "root": rep[roots[there]], "links": links[there].astype(np.int64)}
+    there = (links > 0) | (root != np.arange(len(rep)))
+    return {"rep": rep[there], "root": rep[root[there]], "links": links[there].astype(np.int64)}
 
 
 def _pairs_of_blocks(classes: DataFrame, least: float, block_rows: int) -> DataFrame:

@@ -36,8 +36,9 @@ def test_components(spark):
     links = [*chain, *star, *loose, (500, 501), (501, 500), (600, 600)]
     ids = {x for a, b in links for x in (a, b) if a != b}
     want = smallest_reachable(ids, [x for x in links if x[0] != x[1]])
-    got = components(spark.createDataFrame(links, "a long, b long")).collect()
-    assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
+    for per_task in (20, 70, 500_000):
+        got = components(spark.createDataFrame(links, "a long, b long"), edges_per_task=per_task).collect()
+        assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
