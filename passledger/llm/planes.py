@@ -33,18 +33,17 @@ BLOCK = 1 << 16
 def to_planes(ids: np.ndarray, level: int = 3) -> list[bytes]:
     """Compressed bit planes of a block, lowest bit first; as many as its largest id has bits, one at least."""
     width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    bits = np.unpackbits(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8], axis=1, bitorder="little")
-    packed = np.packbits(bits[:, :width].T, axis=1, bitorder="little")
+    columns = np.ascontiguousarray(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4).T)
     press = zstandard.ZstdCompressor(level=level)
-    return [press.compress(plane.tobytes()) for plane in packed]
+    return [press.compress(np.packbits(columns[k // 8] & (1 << k % 8), bitorder="little").tobytes()) for k in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    bits = np.zeros((n, 32), dtype=np.uint8)
+    columns = np.zeros((4, n), dtype=np.uint8)
     opener = zstandard.ZstdDecompressor()
     for k, plane in enumerate(planes):
-        bits[:, k] = np.unpackbits(np.frombuffer(opener.decompress(plane), dtype=np.uint8), bitorder="little")[:n]
-    return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
+        columns[k // 8] |= np.unpackbits(np.frombuffer(opener.decompress(plane), dtype=np.uint8), bitorder="little")[:n] << (k % 8)
+    return np.ascontiguousarray(columns.T).reshape(-1).view("<u4")
 
 
 def file_bytes(doc_ids: list[int], documents: list[np.ndarray], block: int = BLOCK) -> bytes:

@@ -66,7 +66,7 @@ class Memory:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids. About `limit` chunks of each kind are remembered."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
