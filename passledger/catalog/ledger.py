@@ -50,15 +50,15 @@ def _labelled(spark, sf):
 
 EVIDENCE = """
 evidence AS (SELECT 0 AS source, 1 + l_suppkey % 3 AS pass, CASE l_linenumber % 4 WHEN 0 THEN 'L1-auth' WHEN 1 THEN 'L2-secrets' WHEN 2 THEN 'L3-injection' ELSE 'L4-infra' END AS lens, concat('UNIT-', lpad(CAST(l_partkey % 150 AS STRING), 3, '0')) AS unit_id,
-    concat('lane of pass ', 1 + l_suppkey % 3) AS basis FROM lineitem WHERE l_partkey % 150 < 60 AND l_suppkey % 3 < 2
-  UNION ALL SELECT 1, o_custkey % 3, NULL, concat('UNIT-', lpad(CAST(o_custkey % 150 AS STRING), 3, '0')), concat('lap pass ', o_custkey % 3) FROM orders WHERE o_custkey % 150 BETWEEN 40 AND 100)"""
+    concat('lane of pass ', 1 + l_suppkey % 3) AS basis FROM lineitem
+  UNION ALL SELECT 1, o_custkey % 3, NULL, concat('UNIT-', lpad(CAST(o_custkey % 150 AS STRING), 3, '0')), concat('lap pass ', o_custkey % 3) FROM orders)"""
 
 
 def _evidence(spark, sf):
-    lanes = view(spark, sf, "lineitem").filter("l_partkey % 150 < 60 AND l_suppkey % 3 < 2").selectExpr(
+    lanes = view(spark, sf, "lineitem").selectExpr(
         "1 + l_suppkey % 3 AS pass", "CASE l_linenumber % 4 WHEN 0 THEN 'L1-auth' WHEN 1 THEN 'L2-secrets' WHEN 2 THEN 'L3-injection' ELSE 'L4-infra' END AS lens",
         "concat('UNIT-', lpad(CAST(l_partkey % 150 AS STRING), 3, '0')) AS unit_id", "concat('lane of pass ', 1 + l_suppkey % 3) AS basis")
-    laps = view(spark, sf, "orders").filter("o_custkey % 150 BETWEEN 40 AND 100").selectExpr(
+    laps = view(spark, sf, "orders").selectExpr(
         "o_custkey % 3 AS pass", "CAST(NULL AS STRING) AS lens", "concat('UNIT-', lpad(CAST(o_custkey % 150 AS STRING), 3, '0')) AS unit_id", "concat('lap pass ', o_custkey % 3) AS basis")
     return le.evidence_union([(0, lanes), (1, laps)])
 
