@@ -102,38 +102,48 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def weak_labels(findings: DataFrame) -> DataFrame:
-    """`label` for findings that a rule can judge, null for the rest: 1 for a well-known prefix or a value assigned to a
-    secret's name; 0 for placeholders, parts of addresses, and values of one kind of character that nothing is assigned to."""
+def rule_label() -> Column:
+    """From the features: 1 for a well-known prefix or a value assigned to a secret's name; 0 for placeholders, parts of
+    addresses, and values of one kind of character that nothing is assigned to; null for what no rule can judge."""
     bare = F.col("value").rlike("^([0-9]+|[A-Za-z]+|[a-z_-]+|[A-Z_-]+)$")
     named = (F.col("f_named") == 1) & (F.col("f_assigned") == 1)
-    return findings.withColumn(
-        "label",
+    return (
         F.when(F.col("f_placeholder") == 1, 0).when((F.col("f_prefix") == 1) | named & F.col("value").rlike("[0-9]"), 1)
-        .when((F.col("f_address") == 1) | bare & ~named, 0).cast("double"),
+        .when((F.col("f_address") == 1) | bare & ~named, 0).cast("double")
     )
 
 
+def weak_labels(findings: DataFrame) -> DataFrame:
+    """`label` for findings that a rule can judge, null for the rest."""
+    return findings.withColumn("label", rule_label())
+
+
 def train(labelled: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 6) -> RandomForestClassificationModel | float:
-    """A forest from rows with FEATURES and `label` (0 or 1; null: not used). Where the labels hold one class only or none,
-    the share of positives (0 without labels) instead.
+    """A forest from rows with FEATURES and `label` (0 or 1; null: not used). Where all the labels are of one class, or there
+    are none, there is nothing to learn: the share of positives (0 without labels) instead.
 
-    At most `most` labelled rows are used, those with the smallest hash of doc_id and place: a bounded sample that does not
-    depend on partitioning. Everything that is scored is scored on all rows.
+    At most `most` labelled rows are used, half of them of each class: those with the smallest hash of doc_id and place, a
+    bounded sample that does not depend on partitioning. However rare, a class that occurs is in it. Rows weigh as many as
+    they stand for, by the full counts of the classes. Everything that is scored is scored on all rows.
     """
     key = F.xxhash64("doc_id", "word_pos", "run_pos")
-    sample = cut(labelled.where("label is not null").orderBy(key, "value").limit(most).select("label", *FEATURES))
-    seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r["label"]: r["n"] for r in labelled.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return float(next(iter(seen), 0.0))
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=11)
+    half = most // 2
+    parts = [
+        labelled.where(F.col("label") == label).orderBy(key, "value").limit(half).select("label", F.lit(max(1.0, n / half)).alias("weight"), *FEATURES)
+        for label, n in sorted(seen.items())
+    ]
+    sample = cut(parts[0].unionByName(parts[1]))
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=11)
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample))
 
 
 def scored(findings: DataFrame, model: RandomForestClassificationModel | float, threshold: float = 0.5) -> DataFrame:
-    """Add score (0 to 1) and is_secret."""
+    """Add score (0 to 1) and is_secret. Without a forest the score is the rule's label, 0 where no rule can judge."""
     if isinstance(model, float):
-        out = findings.withColumn("score", F.lit(model))
+        out = findings.withColumn("score", F.coalesce(rule_label(), F.lit(0.0)))
     else:
         out = (
             model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings))
