@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives, in built-in column functions and DataFrame ML only.
 
-Candidates are runs of 16 or more key-like characters. Each is described by its length, its character transitions (changes
+Candidates are runs of 16 or more key-like characters, and values of 6 or more characters other than white space that are
+assigned to a secret's name. Each is described by its length, its character transitions (changes
 of character class, and how usual its letter pairs are in the corpus), the share of it that dictionary words cover (words
 that occur often in the corpus), its path (the `source` column) and its neighbouring words. A forest trained from labelled
 findings scores every candidate; those below the threshold are false positives.
@@ -14,9 +15,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passledger.constants import LEAK_PLACEHOLDER
 from passledger.llm.common import cut
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A secret's name and the sign that assigns (the form of constants.LEAK_ASSIGNMENT).
+ASSIGNMENT = r"(?i)(?:passw(?:or[dt]|d)?|passphrase|pwd|secret(?:[_-]?key)?|token|credentials?|(?:api|access|private)[_-]?key)\\?[\"'`]?\s*[=:]"
+#: Values assigned there, in the words before, a line feed and the word that the value starts in. One ends at its quote; a bare
+#: one at white space, a separator before another name, a quote that closes or a tag (of the 50 first separators in a value).
+QUOTED = ASSIGNMENT + r"{1,2}\s*\\?([\"'`])(?![^\n]*\n)(\S{6,}?)\\?\1"
+BARE = (
+    ASSIGNMENT + r"{1,2}\s*(?:\\?[\"'`](?=[^\s\"'`]*$))?+(?![^\n]*\n)([^\s\"'`\\=:,;][^\s\"'`,;&<]*+"
+    r"(?:(?:[,;&](?!\s|$|[\"'`]?[\w.-]*[\"'`]?[=:])|[\"'`](?=\w)|<(?!/|!|(?:br|p|li|td)\b))[^\s\"'`,;&<]*+){0,50}+)"
+)
 #: Names that stand before secrets, markers of placeholders, and prefixes of well-known keys.
 NAMES = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|x{6,}|0{8,}|123456789|abcdefgh)"
@@ -32,24 +43,31 @@ FEATURES = [
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, word_pos, run_pos, value, word, lead, context, after: one row per candidate. Null texts and paths are empty."""
     words = F.col("__words")
+    before = lambda i: F.concat_ws(" ", F.when(i > 1, F.get(words, i - 2)), F.when(i > 0, F.get(words, i - 1)))
     places = F.filter(
         F.sequence(F.lit(0), F.size(words) - 1),
-        lambda i: (F.length(F.get(words, i)) >= 16) & F.get(words, i).rlike(CANDIDATE),
+        lambda i: (F.length(F.get(words, i)) >= 16) & F.get(words, i).rlike(CANDIDATE)
+        | F.col("__named") & (F.length(F.get(words, i)) >= 6) & F.concat(before(i), F.lit("\n"), F.get(words, i)).rlike(ASSIGNMENT),
     )
     found = F.transform(places, lambda i: F.struct(
-        i.alias("pos"), F.get(words, i).alias("word"),
-        F.concat_ws(" ", F.when(i > 1, F.get(words, i - 2)), F.when(i > 0, F.get(words, i - 1))).alias("before"),
-        F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
+        i.alias("pos"), F.get(words, i).alias("word"), before(i).alias("before"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
     ))
+    all_of = lambda column, pattern, group: F.regexp_extract_all(column, F.lit(pattern), F.lit(group))
+    near = F.concat("before", F.lit("\n"), "word")
+    bare = F.transform(all_of(near, BARE, 1), lambda v: F.regexp_replace(v, r"[,;.)\]}\\]+$", ""))
     return (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")).alias("path"), "text")
-        .where(F.col("text").rlike(CANDIDATE))
-        .select("doc_id", "path", F.split("text", r"[ \t\n\x0B\f\r]+").alias("__words"))
+        .withColumn("__named", F.col("text").rlike(ASSIGNMENT))
+        .where(F.col("__named") | F.col("text").rlike(CANDIDATE))
+        .select("doc_id", "path", "__named", F.split("text", r"[ \t\n\x0B\f\r]+").alias("__words"))
         .select("doc_id", "path", F.explode(found).alias("w"))
-        .select("doc_id", "path", F.col("w.pos").alias("word_pos"), F.col("w.word").alias("word"), F.col("w.before").alias("before"), F.col("w.after").alias("after"),
-                F.posexplode(F.expr(f"regexp_extract_all(w.word, r'({CANDIDATE})', 1)")).alias("run_pos", "value"))
+        .select("doc_id", "path", F.col("w.pos").alias("word_pos"), F.col("w.word").alias("word"), F.col("w.before").alias("before"), F.col("w.after").alias("after"))
+        .withColumn("runs", all_of(F.col("word"), f"({CANDIDATE})", 1))
+        .withColumn("assigned", F.when(near.rlike(ASSIGNMENT), F.concat(all_of(near, QUOTED, 2), bare)).otherwise(F.array().cast("array<string>")))
+        .withColumn("assigned", F.filter("assigned", lambda v: (F.length(v) >= 6) & ~F.array_contains("runs", v)))
+        .select("doc_id", "path", "word_pos", "word", "before", "after", F.posexplode(F.concat("runs", "assigned")).alias("run_pos", "value"))
         .withColumn("lead", F.expr("substring_index(word, value, 1)"))
         .withColumn("context", F.concat_ws(" ", "before", "lead"))
         .drop("before")
@@ -94,8 +112,8 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
             "f_distinct": F.size(F.array_distinct(F.split("value", ""))) / F.length("value"), "f_changes": _share(changes),
             "f_pairs": F.coalesce("f_pairs", F.lit(-8.0)), "f_dictionary": F.coalesce(F.col("covered") / F.length("value"), F.lit(0.0)),
             "f_test_path": F.col("path").rlike(TEST_PATH), "f_path_length": F.length("path"), "f_path_depth": F.regexp_count("path", F.lit("[/.]")),
-            "f_named": F.col("context").rlike(NAMES), "f_assigned": F.col("context").rlike("[=:]\\s*[\"'`]?$"), "f_quoted": F.col("lead").rlike("[\"'`]$"),
-            "f_address": F.col("word").rlike("@|://"), "f_placeholder": F.col("value").rlike(PLACEHOLDER), "f_prefix": F.col("value").rlike(PREFIX),
+            "f_named": F.col("context").rlike(NAMES), "f_assigned": F.col("context").rlike(r"[=:]\s*\\?[\"'`]?$"), "f_quoted": F.col("lead").rlike("[\"'`]$"),
+            "f_address": F.col("word").rlike("@|://"), "f_placeholder": F.col("value").rlike(PLACEHOLDER) | (F.length("value") < 16) & F.col("value").rlike(LEAK_PLACEHOLDER), "f_prefix": F.col("value").rlike(PREFIX),
             "f_next_length": F.length("after"),
         })
         .withColumns({c: F.col(c).cast("double") for c in FEATURES}).drop("covered")
@@ -103,13 +121,15 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_label() -> Column:
-    """From the features: 1 for a well-known prefix or a value assigned to a secret's name; 0 for placeholders, parts of
-    addresses, and values of one kind of character that nothing is assigned to; null for what no rule can judge."""
+    """From the features: 1 for a well-known prefix or a value assigned to a secret's name; 0 for placeholders, unquoted calls
+    and references, parts of addresses, and values of one kind of character that nothing is assigned to; null for what no
+    rule can judge."""
     bare = F.col("value").rlike("^([0-9]+|[A-Za-z]+|[a-z_-]+|[A-Z_-]+)$")
     named = (F.col("f_named") == 1) & (F.col("f_assigned") == 1)
     return (
-        F.when(F.col("f_placeholder") == 1, 0).when((F.col("f_prefix") == 1) | named & F.col("value").rlike("[0-9]"), 1)
-        .when((F.col("f_address") == 1) | bare & ~named, 0).cast("double")
+        F.when((F.col("f_placeholder") == 1) | (F.col("f_quoted") == 0) & F.col("value").rlike(r"^[A-Za-z_$]?[\w.$]*[(\[{]"), 0)
+        .when((F.col("f_prefix") == 1) | named & F.col("value").rlike("[0-9]"), 1)
+        .when((F.col("f_address") == 1) & ~(named & F.col("value").rlike("[!@#$%^&*]")) | bare & ~named, 0).cast("double")
     )
 
 
@@ -170,10 +190,10 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`, with secrets in `text` replaced by a mark; n_chars follows where texts changed.
 
-    Values are taken out longest first. Rows that share a doc_id lose each other's secrets; rows without doc_id join as one.
+    Values are taken out longest first, wherever they stand in the text. Rows that share a doc_id lose each other's secrets; rows without doc_id join as one.
     """
     values = (
-        findings(docs).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
+        findings(docs).where(F.col("is_secret") & ~F.contains(F.lit(REDACTED), "value")).groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
         .select(F.col("doc_id").alias("__doc"), F.array_sort("__values", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__values"))
     )
     joined = docs.join(values, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")

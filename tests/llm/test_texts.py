@@ -210,3 +210,31 @@ def test_one_class_is_scored_by_rule(frame, word):
     """With one class only in all labels, what no rule can judge is not a secret, and what a rule calls one is."""
     docs = frame([f"some {word} here", "an unjudged 0f9e8d7c6b5a4f3e2d1c run"])
     assert {r.doc_id for r in secrets.report(docs).collect() if r.is_secret} == ({0} if word.startswith("AKIA") else set())
+
+
+ASSIGNED = [
+    ('password = "Tr0ub4dor&3x" end', ["Tr0ub4dor&3x"]), ("pwd: Zq81mmt4x", ["Zq81mmt4x"]), ("db_password=Tr0ub4dor&3x,", ["Tr0ub4dor&3x"]), ("Token :'a;b=c9!' x", ["a;b=c9!"]),
+    ("user=me;pwd=b1c2d3;token=e5f6g7;host=x", ["b1c2d3", "e5f6g7"]), ("?token=abc123&next=1", ["abc123"]), ('{"secret": "p@ss,w0rd."}', ["p@ss,w0rd."]), (r'"{\"api_key\": \"k9!k9!k\"}"', ["k9!k9!k"]),
+    ("passwd: it's1234.", ["it's1234"]), ("password\n=\nab<cd>12 z", ["ab<cd>12"]), ("login(pwd=abc123)", ["abc123"]), ('secret = "horse4 battery"', ["horse4"]),
+    ("<b>token: abc123</b>", ["abc123"]), ("pwd: short", []), ("the password is hunter22", []), ("author: someone1", []), ("secret: " + "a,1" * 9000, None),
+]
+
+
+def test_assigned_values_are_candidates(frame):
+    got = {k: [] for k in range(len(ASSIGNED))}
+    for r in secrets.candidates(frame([t for t, _ in ASSIGNED])).orderBy("word_pos", "run_pos").collect():
+        got[r.doc_id].append(r.value)
+    assert [got[k] for k, (_, want) in enumerate(ASSIGNED) if want is not None] == [want for _, want in ASSIGNED if want is not None]
+    assert got[len(ASSIGNED) - 1]
+
+
+def test_short_assigned_passwords_are_redacted(frame):
+    rng = random.Random(7)
+    rows, truth = secret_rows(rng)
+    for k in range(60):
+        value = "".join(rng.choice("abcdefghkmnpqrstuvwxyz") for _ in range(5)) + rng.choice("!@#$%&*") + str(rng.randrange(100, 999))
+        rows.append((1000 + k, make_text(rng, "en", 30) + (f' password = "{value}" and so on' if k % 2 else f" pwd: {value} and so on")))
+        truth[1000 + k] = value
+    rows += [(2000 + k, make_text(rng, "en", 30) + " token = " + ("changeme" if k % 2 else "get_token(request)") + " and so on") for k in range(40)]
+    clean = {r.doc_id: r.text for r in secrets.redacted(frame(rows)).collect()}
+    assert clean == {k: text.replace(truth[k], secrets.REDACTED) if truth.get(k) else text for k, text in rows}
