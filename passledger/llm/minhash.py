@@ -1,9 +1,9 @@
 """Near-duplicate documents: b-bit minhash signatures joined by multi-index Hamming search, and exact confirmation.
 
-A document's set of word shingles gets a signature of 40 minhashes of 16 bits. Two sets of similarity s differ in about
-40 (1 - s) places. The signature is split into 8 chunks of 5; two signatures that differ in at most 15 places differ, by the
+A document's set of word shingles gets a signature of 80 minhashes of 16 bits. Two sets of similarity s differ in about
+80 (1 - s) places. The signature is split into 16 chunks of 5; two signatures that differ in at most 31 places differ, by the
 pigeonhole principle, in at most one place of some chunk. So each chunk is looked up five times, once for every place that
-may be wrong, by its other four places: all pairs within distance 15 meet. At similarity 0.75 that is 0.98 of all pairs, and more above.
+may be wrong, by its other four places: all pairs within distance 31 meet. At similarity 0.75 that is 0.998 of all pairs, and more above.
 
 Equal sets are taken together first. Where a key is shared by a few, all close pairs are candidates; where many share it,
 representatives are chosen so that each member is close to one, and members are paired with representatives only. After
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from passledger.llm.common import components, cut, text_slices
 
-PLACES, CHUNKS, DISTANCE = 40, 8, 15
+PLACES, CHUNKS, DISTANCE = 80, 16, 31
 #: Bins of the finer sketch, and by how many standard deviations it may fall short of similarity 0.75.
 BINS, DEVIATIONS = 256, 4.0
 #: Signatures this near are taken as one neighbourhood when representatives are chosen.
-NEAR = 8
+NEAR = 16
 FEW = 12
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -48,7 +48,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
     space = np.zeros(256, dtype=bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    return byte, space, rng.integers(0, 1 << 64, PLACES, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
+    return byte, space, rng.integers(0, 1 << 64, PLACES, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, max(64, PLACES), dtype=np.uint64) | np.uint64(1)
 
 
 @lru_cache(maxsize=1)
@@ -126,7 +126,7 @@ def _likely(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """(signatures x 40) keys: each chunk without each one of its places; four places of 16 bits fill a key exactly."""
+    """(signatures x PLACES) keys: each chunk without each one of its places; four places of 16 bits fill a key exactly."""
     size = PLACES // CHUNKS
     parts = signature.reshape(len(signature), CHUNKS, size).astype(np.uint64)
     keys = np.zeros((len(signature), CHUNKS, size), dtype=np.uint64)
@@ -139,7 +139,7 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _nibbles(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each place, for a cheap lower bound of the distance: 20 bytes."""
+    """Four bits of each place, for a cheap lower bound of the distance: 40 bytes."""
     low = (signature & 15).astype(np.uint8)
     return low[:, 0::2] | low[:, 1::2] << 4
 

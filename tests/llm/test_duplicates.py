@@ -153,6 +153,19 @@ def test_near_documents(frame, monkeypatch, few, block):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+def test_isolated_pairs_just_above_the_threshold(frame):
+    """3,000 pairs of 70 shingles each, of which 60, 61 or 62 are common: similarity 0.75 to 0.80."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(3000):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 74)]
+        same = 64 if k % 2 else 65 + k % 4 // 2
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:same] + [f"x{x}" for x in rng.integers(0, 1 << 40, 74 - same)]))]
+    got = minhash.near_duplicates(frame(rows)).where("doc_id % 2 = 1").collect()
+    assert len(got) == 3000
+    assert sum(r.component_id != r.doc_id - 1 for r in got) <= 9  # 0.003 of all
+
+
 def test_all_near_signatures_share_a_key():
     """The pigeonhole promise: up to 15 places changed at will, and some key is still shared."""
     rng = np.random.default_rng(5)
