@@ -5,7 +5,7 @@ a document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
 does not matter, and paragraphs are inserted and deleted by adding and subtracting their vectors.
 
 The vector has two parts. Four lanes modulo 2^64 are filled from a cryptographic hash of the whole paragraph and decide
-equality. 256 lanes modulo 2^16 are filled from the paragraph's windows of 16 bytes: each window's hash picks a lane and a
+equality. 256 lanes modulo 2^32 are filled from the paragraph's windows of 16 bytes: each window's hash picks a lane and a
 sign. The dot product of two such sums estimates that of the window counts, so their cosine tells how alike two documents
 are, to about 1/16.
 """
@@ -46,7 +46,7 @@ def _window_lanes(data: bytes, owners: np.ndarray, n: int) -> np.ndarray:
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 4 uint64, n x LANES uint16): the fingerprints of texts. The empty text is one empty paragraph."""
+    """(n x 4 uint64, n x LANES uint32): the fingerprints of texts. The empty text is one empty paragraph."""
     exact = np.zeros((len(texts), 4), dtype=np.uint64)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     small = np.zeros((len(texts), LANES), dtype=np.int64)
@@ -59,7 +59,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 small[k, lane[0]] += 1 - 2 * (lane[1] & 1)
     joined = b"\n".join(raw)
     owners = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
-    return exact, ((small + _window_lanes(joined, owners, len(raw))) & 0xFFFF).astype(np.uint16)
+    return exact, ((small + _window_lanes(joined, owners, len(raw))) & 0xFFFFFFFF).astype(np.uint32)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -69,19 +69,19 @@ def edited_text(text: str, following: str) -> str:
 
 
 def exchange(before: tuple[np.ndarray, np.ndarray], gone: tuple, come: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints after paragraphs were deleted and others inserted: arithmetic modulo 2^64 and 2^16, lane by lane."""
+    """Fingerprints after paragraphs were deleted and others inserted: arithmetic modulo 2^64 and 2^32, lane by lane."""
     return before[0] - gone[0] + come[0], before[1] - gone[1] + come[1]
 
 
 def printed(exact: np.ndarray, lanes: np.ndarray) -> list[str]:
     """Base64 text of fingerprints: the exact lanes, then the window lanes, little-endian."""
-    rows = np.concatenate([exact.astype("<u8").view(np.uint8).reshape(len(exact), -1), lanes.astype("<u2").view(np.uint8).reshape(len(lanes), -1)], axis=1)
+    rows = np.concatenate([exact.astype("<u8").view(np.uint8).reshape(len(exact), -1), lanes.astype("<u4").view(np.uint8).reshape(len(lanes), -1)], axis=1)
     return [base64.b64encode(r.tobytes()).decode() for r in rows]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """1 where all lanes are equal, else the cosine of the window lanes read as signed numbers, between 0 and below 1."""
-    x, y = a[1].view(np.int16).astype(float), b[1].view(np.int16).astype(float)
+    x, y = a[1].view(np.int32).astype(float), b[1].view(np.int32).astype(float)
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = ((x * y).sum(axis=1) / np.where(size > 0, size, 1)).clip(0, 1 - 1e-9)
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)

@@ -59,6 +59,16 @@ def test_fingerprints_of_little(strange, frame):
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def test_likeness_of_a_long_text_that_repeats_one_line():
+    """40,000 times the same line: lanes go beyond 16 bits, and two thirds of the text are still alike."""
+    line = "one line of fifty bytes that stands here for ever"
+    text = "\n".join([line] * 40_000)
+    other = fingerprints.edited_text(text, make_text(random.Random(8), "en", 300_000))
+    one, two, third = (fingerprints.vectors([t]) for t in (text, other, line))
+    assert fingerprints.likeness(one, two)[0] > 0.9 and fingerprints.likeness(one, third)[0] > 0.9
+    assert as_text(fingerprints.exchange(one, one, two)) == as_text(two)
+
+
 # --- language
 
 
