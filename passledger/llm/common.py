@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 
 from passledger.session import cut
 
-__all__ = ["components", "cut", "rank_in_groups", "roots", "table", "text_slices"]
+__all__ = ["components", "cut", "rank_in_groups", "roots", "table", "text_slices", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from `names` that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `limit` bytes of text (one row at least): bounds a worker's memory."""
     for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import embeddings, fingerprints, language, lines, minhash, packing, pieces, planes, secrets, shards
+from passledger.llm import embeddings, fingerprints, language, lines, minhash, packing, passages, pieces, planes, secrets, shards
 from passledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op5_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_report(table(spark, sf_dir, "documents"))
