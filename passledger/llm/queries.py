@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import embeddings, fingerprints, language, lines, minhash, packing, passages, pieces, planes, secrets, shards
+from passledger.llm import embeddings, fingerprints, language, lines, minhash, packing, passages, pieces, planes, prefixes, secrets, shards
 from passledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,67 @@ def op3_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_parentheses_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_parentheses_trie"] = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits0 AS (
+  SELECT range AS b, range AS v FROM range(256)
+), bits1 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits0
+), bits2 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits1
+), bits3 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits2
+), bits4 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits3
+), bits5 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits4
+), bits6 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits5
+), bits7 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits6
+), crc_table AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM bits7
+), digits AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS t FROM turns GROUP BY conv_id
+), crc AS (
+  SELECT * FROM (
+    WITH RECURSIVE step AS (
+      SELECT conv_id, t, 0 AS i, 4294967295 AS c FROM digits
+      UNION ALL
+      SELECT s.conv_id, s.t, s.i + 1, xor(x.v, s.c >> 8) FROM step s
+      JOIN crc_table x ON x.b = xor(s.c & 255, CAST(ascii(substring(s.t, s.i + 1, 1)) AS BIGINT))
+      WHERE s.i < length(s.t)
+    ) SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM step WHERE i = length(t))
+), rebuilt AS (
+  SELECT c.conv_id, t.k AS place, t.role, t.text FROM crc c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.k + 1000000, t.role, t.text FROM crc c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h
+), chained AS (
+  SELECT conv_id, text, row_number() OVER w AS depth,
+         md5(string_agg(md5(role) || md5(text), '' ) OVER w) AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), walks AS (
+  SELECT conv_id, depth, node, strlen(text) AS bytes FROM chained UNION ALL SELECT conv_id, 0, '', 0 FROM crc
+), stops AS (
+  SELECT conv_id, max(depth) AS last FROM walks GROUP BY conv_id
+), nodes AS (
+  SELECT w.depth, w.node, min(w.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(w.bytes) AS weight,
+         sha256(coalesce(string_agg(CAST(w.conv_id AS VARCHAR), ',' ORDER BY w.conv_id) FILTER (WHERE w.depth = s.last), '')) AS ends_sha256
+  FROM walks w JOIN stops s ON s.conv_id = w.conv_id GROUP BY w.depth, w.node
+), above AS (
+  SELECT n.depth, n.node, u.conv_id AS parent_conv_id, u.node AS parent_node
+  FROM nodes n JOIN walks w ON w.conv_id = n.conv_id AND w.depth = n.depth - 1 JOIN nodes u ON u.depth = w.depth AND u.node = w.node
+), children AS (
+  SELECT depth - 1 AS depth, parent_node AS node, count(*) AS n_children FROM above GROUP BY depth, parent_node
+), sums AS (
+  SELECT w.depth, w.node, sum(n.weight) AS saved, count(*) FILTER (WHERE c.node IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+  JOIN walks w ON w.conv_id = n.conv_id AND w.depth <= n.depth GROUP BY w.depth, w.node
+)
+SELECT n.conv_id, n.depth, a.parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.depth = n.depth AND s.node = n.node
+LEFT JOIN above a ON a.depth = n.depth AND a.node = n.node LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+"""
