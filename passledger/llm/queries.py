@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import embeddings, fingerprints, language, lines, minhash, packing, passages, pieces, planes, prefixes, secrets, shards
+from passledger.llm import embeddings, fingerprints, language, lines, minhash, packing, passages, pieces, planes, prefixes, secrets, shards, whitening
 from passledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ SELECT n.conv_id, n.depth, a.parent_conv_id, n.n_convs, coalesce(c.n_children, 0
 FROM nodes n JOIN sums s ON s.depth = n.depth AND s.node = n.node
 LEFT JOIN above a ON a.depth = n.depth AND a.node = n.node LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
 """
+
+
+@query
+def op12_secular_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
