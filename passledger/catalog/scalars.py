@@ -104,7 +104,7 @@ WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey
    CASE l_partkey % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'No code change required; x' ELSE 'Validate the caller before acting.' END AS fix, category, path, line FROM f2_valid)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 4 WHEN 0 THEN concat(regexp_replace(title, '[.]+$', ''), '.') WHEN 1 THEN concat(regexp_replace(title, '[.… ]+$', ''), '.') ELSE title END AS title,
   coalesce(regexp_full_match(trim(cwe), 'CWE-[1-9][0-9]*'), false) AS cwe_ok,
-  CASE WHEN l_partkey % 3 = 0 THEN concat('Review the ', category, ' weakness at ', path, ':', line, ' and apply the family-standard control (validate/bind/parameterize or remove the weakened setting); not yet independently verified.') ELSE fix END AS fix FROM d""")
+  CASE WHEN l_partkey % 3 = 0 THEN printf('{NO_FIX}', category, path, CAST(line AS VARCHAR)) ELSE fix END AS fix FROM d""".replace("{NO_FIX}", C.NO_FIX))
 def report_texts(spark, sf):
     d = view(spark, sf, "f2_valid").withColumns({
         "title": F.expr("CASE l_partkey % 4 WHEN 0 THEN concat(title, '...') WHEN 1 THEN concat(title, '.… ') WHEN 2 THEN concat(title, '..') ELSE title END"),

@@ -172,10 +172,7 @@ def repair_title(title) -> Column:
 
 def fix_or_fallback(fix, category, path, line) -> Column:
     fix = F.trim(F.coalesce(_c(fix), F.lit("")))
-    generic = F.concat(
-        F.lit("No specific fix was given for "), _c(category), F.lit(" in "), _c(path), F.lit(":"), _c(line).cast("string"),
-        F.lit("; choose the usual control of this category and have it confirmed."),
-    )
+    generic = F.format_string(C.NO_FIX, _c(category), _c(path), _c(line).cast("string"))
     keep = (F.length(fix) >= 20) | fix.startswith("No code change required;")
     return F.when(keep, fix).otherwise(generic)
 
