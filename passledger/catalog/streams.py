@@ -16,30 +16,35 @@ from passledger.streaming import jobs
 from passledger.views import view
 
 
+ROWS_PER_FILE = 200_000
+
+
 def arriving(df: DataFrame, by: str, parts: int = 3, files: int = 4) -> DataFrame:
-    """The rows of ``df`` as a stream of ``parts`` deliveries in ``by`` order (a bigint column), each of ``files`` files at most.
+    """The rows of ``df`` as a stream of ``parts`` deliveries in ``by`` order (a bigint column).
 
-    Deliveries are written one after the other, and a trigger takes as many files as one delivery has.
+    Deliveries are written one after the other, in at least ``files`` files each and more with more rows; a trigger takes
+    as many files as one delivery has.
     """
     spark: SparkSession = df.sparkSession
     place = jobs.fresh_dir(spark, "arriving")
-    top = df.agg(F.coalesce(F.max(by), F.lit(0)).alias("_top"))
-    dealt = df.join(F.broadcast(top)).withColumn("_delivery", F.floor(F.col(by) * parts / (F.col("_top") + 1)))
+    seen = df.agg(F.coalesce(F.max(by), F.lit(0)).alias("top"), F.count("*").alias("n")).first()
+    files = max(files, -(-seen.n // (parts * ROWS_PER_FILE)))
+    dealt = df.withColumn("_delivery", F.floor(F.col(by) * parts / (F.lit(seen.top) + 1)))
     for i in range(parts):
         dealt.filter(F.col("_delivery") == i).select(*df.columns).repartition(files).write.mode("append").parquet(place)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(place)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", each=None) -> DataFrame:
     spark = stream.sparkSession
-    return jobs.drain(stream, jobs.fresh_dir(spark, "out"), jobs.fresh_dir(spark, "stream"), mode)
+    return jobs.drain(stream, jobs.fresh_dir(spark, "out"), jobs.fresh_dir(spark, "stream"), mode, each=each)
 
 
 @query("stream_ledger", "R1", f"WITH {WALK.replace('{src}', 'f6')} SELECT * FROM lanes")
 def stream_ledger(spark, sf):
+    """Lanes silent for a day are forgotten; what they had comes back from their pieces."""
     events = view(spark, sf, "f6").select("event", "lane", "ts", F.col("event_id").alias("seq"))
-    table = run(jobs.lane_ledger(arriving(events, "seq"), stall_seconds=0), "update").filter("kind = 'state'")
-    return jobs.latest(table, "lane").select("lane", "deaths", "closures", "outstanding", "over_closures")
+    return jobs.lane_totals(run(jobs.lane_ledger(arriving(events, "seq", 6), stall_seconds=0, retain_seconds=86_400), "update"))
 
 
 @query("stream_stalls", "R5", """
@@ -76,18 +81,41 @@ def stream_convergence(spark, sf):
     return jobs.latest(run(jobs.live_convergence(arriving(counts, "slot", 4)), "update"), "unit_id").select("unit_id", "state")
 
 
-@query("stream_progress", "R3 A26", "SELECT unit_id, count(*) AS total, count(*) FILTER (WHERE sev_rank >= 3) AS serious FROM f2_valid GROUP BY unit_id")
+@query("stream_progress", "R3 A26", """
+WITH u AS (SELECT unit_id, pass, count(*) FILTER (WHERE severity = 'CRITICAL') % 2 AS odd FROM f2_valid GROUP BY ALL),
+q AS (SELECT count(DISTINCT unit_id) AS units, count(*) FILTER (WHERE odd = 0 AND pass = (SELECT max(x.pass) FROM u x WHERE x.unit_id = u.unit_id)) AS quiet FROM u),
+l AS (SELECT DISTINCT CASE WHEN l_suppkey % 12 = 1 THEN concat('sweep-', lens) ELSE concat(pass, lens, unit_id) END AS id, CASE WHEN l_suppkey % 12 = 1 THEN 0 ELSE pass END AS pass FROM f2_valid),
+m AS (SELECT count(*) FILTER (WHERE pass > 0) AS lanes, CAST(max(pass) AS INT) AS pass, count(*) FILTER (WHERE pass = 0) AS sweeps FROM l),
+c AS (SELECT count(*) AS candidates, count(*) FILTER (WHERE top >= 3) AS serious FROM (SELECT id, max(sev_rank) AS top FROM f2_valid GROUP BY id)),
+v AS (SELECT count(*) AS verdicts, count(*) FILTER (WHERE verdict = 'VERIFIED') AS verified, count(*) FILTER (WHERE verdict = 'CONDITIONAL') AS conditional,
+             count(*) FILTER (WHERE verdict = 'REFUTED') AS refuted FROM f4)
+SELECT 'courts' AS phase, units, quiet, lanes, CAST(NULL AS BIGINT) AS lanes_due, pass, sweeps, candidates, serious, verdicts, verified, conditional, refuted FROM q, m, c, v""")
 def stream_progress(spark, sf):
-    rows = view(spark, sf, "f2_valid").select("unit_id", "severity", "pass")
-    changes = jobs.progress(arriving(rows, "pass"), jobs.fresh_dir(spark, "progress"), jobs.fresh_dir(spark, "stream"))
-    return jobs.latest(changes, "unit_id").select("unit_id", "total", "serious")
+    """Facts on units, lanes, candidates and verdicts of one run; the last row of its progress."""
+    rows = view(spark, sf, "f2_valid")
+    per_unit = rows.groupBy("unit_id", "pass").agg((F.count_if(F.col("severity") == "CRITICAL") % 2).alias("odd"))
+    sweep = F.col("l_suppkey") % 12 == 1
+    lanes = rows.select(
+        F.when(sweep, F.concat(F.lit("sweep-"), "lens")).otherwise(F.concat("pass", "lens", "unit_id")).alias("id"),
+        F.when(sweep, F.lit("sweep")).otherwise(F.concat(F.lit("pass-"), "pass")).alias("value"), "pass").distinct()
+    facts = [
+        per_unit.select(F.lit("unit").alias("kind"), F.col("unit_id").alias("id"), F.when(F.col("odd") == 0, "quiet").otherwise("loud").alias("value"), F.col("pass").alias("seq"), "pass"),
+        lanes.select(F.lit("lane").alias("kind"), "id", "value", F.lit(0).alias("seq"), "pass"),
+        rows.select(F.lit("candidate").alias("kind"), "id", F.when(F.col("sev_rank") >= C.SERIOUS_RANK, "serious").otherwise("minor").alias("value"), F.col("sev_rank").alias("seq"), "pass"),
+        view(spark, sf, "f4").select(F.lit("verdict").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.lower("verdict").alias("value"), F.lit(0).alias("seq"), F.lit(3).alias("pass")),
+    ]
+    every = facts[0]
+    for f in facts[1:]:
+        every = every.unionByName(f)
+    changes = run(jobs.fact_changes(arriving(every.select(F.lit("run").alias("run"), "*"), "pass")), "update")
+    return jobs.progress(changes).orderBy(F.desc("batch")).limit(1).drop("run", "batch", "gained")
 
 
 @query("stream_usage", "R6", """
 WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, started_at) AS window_start, model, count(*) AS calls, count(*) FILTER (WHERE status = 'ok') AS successful, CAST(coalesce(sum(output_tokens) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS output_tokens FROM f10 GROUP BY ALL)
 SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, model, calls, successful, output_tokens FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(started_at) - INTERVAL 10 MINUTE FROM f10)""")
 def stream_usage(spark, sf):
-    out = jobs.closed_windows(run(jobs.usage_windows(arriving(view(spark, sf, "f10"), "event_id")), "update"))
+    out = jobs.closed_windows(run(arriving(view(spark, sf, "f10"), "event_id"), each=jobs.usage_windows))
     return out.drop("window_end").withColumn("window_start", F.unix_seconds("window_start"))
 
 
@@ -107,7 +135,7 @@ def stream_sweep(spark, sf):
 def stream_once(spark, sf):
     e = view(spark, sf, "events").select("event_id", "ts", "event_type")
     twice = e.unionByName(e.filter("event_id % 5 = 0"))
-    return run(jobs.once(arriving(twice, "event_id"), ["event_id"])).select("event_id", "event_type")
+    return jobs.delivered(run(jobs.once(arriving(twice, "event_id"), ["event_id"])), ["event_id"]).select("event_id", "event_type")
 
 
 @query("stream_append", "S12", "SELECT event_id AS seq, event, lane FROM f6")

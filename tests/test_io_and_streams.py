@@ -119,7 +119,9 @@ def test_stream_ledger_raises_stalls(spark, tmp_path):
     batches = [[(d, "x", 100, 1)], [(d, "y", 10000, 2)], [(d, "y", 10001, 3)], [(d, "y", 10002, 4)]]
     stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
     out = jobs.drain(jobs.lane_ledger(stream, 600), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
-    assert {(x.lane, x.outstanding) for x in jobs.stalls(out, 600).collect()} == {("x", 1)}
+    assert [(x.lane, x.outstanding) for x in jobs.stalls(out).collect()] == [("x", 1)]
+    first = min(x.batch for x in out.filter("kind = 'stalled'").collect())
+    assert first < max(x.batch for x in out.filter("kind = 'state'").collect())  # raised while the stream still ran, lane x being silent
 
 
 def test_late_rows_of_old_and_new_lanes_are_kept(spark, tmp_path):
@@ -130,13 +132,74 @@ def test_late_rows_of_old_and_new_lanes_are_kept(spark, tmp_path):
     out = jobs.drain(jobs.lane_ledger(stream, 600), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
     assert {(x.lane, x.outstanding) for x in out.filter("kind = 'late'").collect()} == {("x", 0)}
     assert {x.lane: x.outstanding for x in jobs.latest(out.filter("kind = 'state'"), "lane").collect()} == {"x": 0, "y": 0, "z": 1}
-    assert {(x.lane, x.outstanding) for x in out.filter("kind = 'stalled'").collect()} == {("y", 1)}
+    assert sorted((x.lane, x.outstanding) for x in out.filter("kind = 'stalled'").collect()) == [("y", 1)]
     calls = [[("m", "ok", 5, 36000)], [("m", "ok", 5, 80000)], [("m", "failed", 5, 36001)]]
     usage = staged(spark, str(tmp_path / "calls"), calls, "model string, status string, output_tokens bigint, t bigint").withColumnRenamed("ts", "started_at")
-    table = jobs.drain(jobs.usage_windows(usage), str(tmp_path / "out2"), str(tmp_path / "cp2"), "update")
+    table = jobs.drain(usage, str(tmp_path / "out2"), str(tmp_path / "cp2"), each=jobs.usage_windows)
     assert [(x.calls, x.successful) for x in jobs.closed_windows(table).collect()] == [(2, 1)]
 
 
+def states(stream, place, mode):
+    """Rows of state after each batch of a run, and the output table."""
+    handle = {}
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    handle = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    return handle, stream.sparkSession.read.parquet(f"{place}/out")
+
+
+def test_forgotten_lanes_keep_their_totals(spark, tmp_path):
+    """Each hour other lanes work, one comes back after days: state levels off, totals are those of the whole ledger."""
+    from passledger.operators.ledger import reduce_ledger
+
+    d, r = "lane-dead", "lane-relaunched"
+    batches = [[(e, f"l{h}", h * 3600 + k, h * 10 + k) for k, e in enumerate([r, d, d])] + ([(r, "l0", h * 3600 + 9, h * 10 + 9)] if h in (11, 12) else []) for h in range(13)]
+    stream = staged(spark, str(tmp_path / "in"), batches, "event string, lane string, t bigint, seq bigint")
+    kept, _ = states(jobs.lane_ledger(stream, 600), str(tmp_path / "a"), "update")
+    held, table = states(jobs.lane_ledger(stream, 600, 7200), str(tmp_path / "b"), "update")
+    assert max(held[4:11]) == max(held[:4]) and max(held) <= max(held[:4]) + 1 < kept[-1]  # one more while l0 is back
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    want = {tuple(x) for x in reduce_ledger(rows, ["ts", "seq"]).collect()}
+    assert {tuple(x) for x in jobs.lane_totals(table).collect()} == want
+    assert table.filter("lane = 'l0' and kind = 'state'").select("piece").distinct().count() == 2
+    late = staged(spark, str(tmp_path / "late"), [*batches, [(d, "new", 5, 1), (d, "l12", 50000, 2)]], "event string, lane string, t bigint, seq bigint")
+    _, table = states(jobs.lane_ledger(late, 600, 7200), str(tmp_path / "c"), "update")
+    assert [(x.lane, x.outstanding) for x in table.filter("kind = 'late'").collect()] == [("new", 0)]  # too old to be told, and yet not lost
+
+
+def test_once_forgets_and_loses_nothing(spark, tmp_path):
+    hour = 3600
+    batches = [[(f"k{h}-{i}", h * hour + i) for i in range(20)] + [(f"k{h - 1}-0", (h - 1) * hour)] * (h > 0) for h in range(12)]
+    batches[9] += [("k0-3", 3), ("fresh", 4), ("fresh", 4), (None, 5)]
+    stream = staged(spark, str(tmp_path / "in"), [[(k, t, 0) for k, t in b] for b in batches], "key string, t bigint, n bigint")
+    held, table = states(jobs.once(stream, ["key"], "ts", "2 hours", shards=2), str(tmp_path / "a"), "append")
+    assert max(held[8:]) <= max(held[:8]) + 2 and max(held) < 12 * 20
+    assert table.filter("kind = 'first'").count() == 12 * 20 and table.filter("kind = 'late'").count() == 4
+    got = sorted(str(x.key) for x in jobs.delivered(table, ["key"]).collect())
+    assert got == sorted([*(f"k{h}-{i}" for h in range(12) for i in range(20)), "fresh", "None"])
+
+
+def test_progress_emits_changes_only(spark, tmp_path):
+    batches = [
+        [("r", "unit", "u1", "loud", 1), ("r", "unit", "u2", "loud", 1), ("r", "unit", None, "loud", 1)],
+        [("r", "lane", "a", "pass-1", 0), ("r", "candidate", "c1", "minor", 1), ("r", "candidate", "c2", "serious", 3), ("s", "unit", "u1", "quiet", 1)],
+        [("r", "unit", "u1", "loud", 1), ("r", "lane", "a", "pass-1", 0), ("r", "candidate", "c2", "minor", 1)],  # nothing new
+        [("r", "unit", "u1", "quiet", 3), ("r", "unit", "u1", "loud", 2), ("r", "candidate", "c1", "serious", 4), ("r", "candidate", "c3", "minor", 1), ("r", "lane", "b", "pass-2", 0), ("r", "lane", "x", "sweep", 0)],
+        [("r", "verdict", "c2", "refuted", 0), ("r", "verdict", "c1", "verified", 0), ("r", "unit", "u1", "loud", 2)],
+    ]
+    stream = staged(spark, str(tmp_path / "in"), [[(*f, 0) for f in b] for b in batches], "run string, kind string, id string, value string, seq bigint, t bigint")
+    changes = jobs.drain(jobs.fact_changes(stream, 2), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    rows = jobs.progress(changes).filter("run = 'r'").orderBy("batch").collect()
+    names = ["phase", "units", "quiet", "lanes", "lanes_due", "pass", "sweeps", "candidates", "serious", "verdicts", "verified", "refuted", "gained"]
+    assert [tuple(x[n] for n in names) for x in rows] == [
+        ("preflight", 2, 0, 0, 8, None, 0, 0, 0, 0, 0, 0, 0), ("reading", 2, 0, 1, 8, 1, 0, 2, 1, 0, 0, 0, 2),
+        ("reading", 2, 1, 2, None, 2, 1, 3, 2, 0, 0, 0, 1), ("courts", 2, 1, 2, None, 2, 1, 3, 2, 2, 1, 1, 0)]
+
+
 def test_stream_first_sight_is_right_for_late_rows(spark, tmp_path):
     batches = [[("a", 3, 1, 0), ("b", 1, 4, 0)], [("a", 2, 3, 1)], [("a", 1, 2, 2), ("b", 2, 5, 2)]]
     stream = staged(spark, str(tmp_path / "in"), batches, "candidate_id string, slot bigint, sev_rank int, t bigint")
