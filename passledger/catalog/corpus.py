@@ -10,6 +10,7 @@ from passledger.catalog import query
 from passledger.operators import corpus as co
 from passledger.operators import detect as de
 from passledger.operators import snapshots as sn
+from passledger.session import fresh_dir
 from passledger.views import fence, view
 
 
@@ -40,6 +41,15 @@ def corpus_scan(spark, sf):
     return co.adapt_corpus(view(spark, sf, "f1_mixed")).select("doc_id", "path", "repo", F.length("content").cast("bigint").alias("n"))
 
 
+@query("corpus_files", "S1", "SELECT concat('source=', source) AS repo, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(len(text) - len(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source")
+def corpus_files(spark, sf):
+    """Documents written as files, a folder per source, and scanned again."""
+    place = fresh_dir(spark, "corpus")
+    view(spark, sf, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(place)
+    files = co.scan_corpus(spark, place)
+    return files.groupBy("repo").agg(F.sum(F.octet_length("content")).alias("bytes"), F.sum(fn.newline_count("content")).alias("lines"))
+
+
 @query("copy_filter", "S2", f"""
 SELECT doc_id, path FROM f1_mixed WHERE NOT list_has_any(string_split(lower(path), '/'), ['.git', '.docs', 'test']) AND NOT regexp_matches({BASE}, '\\.tf$')""")
 def copy_filter(spark, sf):

@@ -9,6 +9,8 @@ from passledger import functions as fn
 from passledger.catalog import query
 from passledger.operators import observations as obs
 from passledger.operators.fold import fold_observations
+from passledger.session import fresh_dir
+from passledger.sources import readers, sinks
 from passledger.views import fence, view
 
 ORDER = "pass, lens, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
@@ -59,14 +61,26 @@ folded AS (
 """
 
 
-@query("read_lanes", "S3", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-       CASE WHEN NOT json_valid(value) THEN 'invalid JSON' WHEN json_type(value) <> 'OBJECT' THEN 'row must be an object' END AS parse_error,
-       CASE WHEN json_valid(value) THEN CASE WHEN json_type(value) = 'OBJECT' THEN json_extract_string(value, '$.path') END END AS path
-FROM lane_text""")
+@query("read_lanes", "S3 S4", """
+WITH t AS (SELECT lane_file, value, row_number() OVER (PARTITION BY lane_file ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line_no FROM lane_text)
+SELECT lane_file, line_no, CASE WHEN NOT json_valid(value) THEN 'invalid JSON' WHEN json_type(value) <> 'OBJECT' THEN 'row must be an object' END AS parse_error,
+       CASE WHEN json_valid(value) THEN CASE WHEN json_type(value) = 'OBJECT' THEN json_extract_string(value, '$.path') END END AS path,
+       CAST(regexp_extract(lane_file, '^lane-pass(\\d+)-', 1) AS BIGINT) AS pass, nullif(regexp_extract(lane_file, '(UNIT-\\d+)\\.jsonl$', 1), '') AS unit_id
+FROM t""")
 def read_lanes(spark, sf):
-    df = obs.parse_observations(fence(view(spark, sf, "lane_text")))
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "parse_error", "path")
+    """Lanes written as files and read again."""
+    place = fresh_dir(spark, "lanes")
+    sinks.write_lanes(view(spark, sf, "lane_text"), place, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    return readers.read_lanes(spark, place, folders=True).select("lane_file", "line_no", "parse_error", "path", "pass", "unit_id")
+
+
+@query("sole_unit", "S4 A12", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN 'UNIT-007' ELSE unit_id END AS unit_id FROM f2""")
+def sole_unit(spark, sf):
+    """Lanes without a unit belong to the only unit there is."""
+    rows = view(spark, sf, "f2").withColumn("unit_id", F.expr("CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE unit_id END"))
+    files = view(spark, sf, "f3").select(F.lit("UNIT-007").alias("unit_id"), "path")
+    return obs.fill_sole_unit(rows, files).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "unit_id")
 
 
 @query("lane_metadata", "S4", r"""

@@ -13,6 +13,8 @@ from passledger.operators import report as rp
 from passledger.plans.certify import certification_metrics
 from passledger.plans.profile import profile_corpus
 from passledger.plans.report import build_report
+from passledger.session import fresh_dir
+from passledger.sources import readers, sinks
 from passledger.views import derive, view
 
 FINDINGS = """
@@ -123,9 +125,39 @@ def verdict_map(spark, sf):
 
 
 @query("sorted_jsonl", "S7", f"""
-WITH f AS ({FINDINGS}) SELECT CAST(to_json({{category: category, id: id, line: line, path: path, severity: severity, title: title}}) AS VARCHAR) AS line FROM f""")
+WITH f AS ({FINDINGS}), t AS (SELECT *, CAST(to_json({{category: category, id: id, line: line, path: path, severity: severity, title: title}}) AS VARCHAR) AS value FROM f)
+SELECT row_number() OVER (ORDER BY path, line, id, value) AS line_no, value FROM t""")
 def sorted_jsonl(spark, sf):
-    return _findings(spark, sf).select(rp.sorted_json(None, ["title", "severity", "path", "line", "id", "category"]).alias("line"))
+    """Written sorted by the sink; the lines are numbered as they stand in the files."""
+    place = f"{fresh_dir(spark, 'sorted')}/whole=x"
+    rows = _findings(spark, sf).select("title", "severity", "path", "line", "id", "category")
+    sinks.write_sorted_jsonl(rows, place, ["path", "line", "id", rp.sorted_json(rows)])
+    return readers.numbered_lines(spark, place.rsplit("/", 1)[0], "whole").select("line_no", "value")
+
+
+@query("csv_files", "S8", f"WITH f AS ({FINDINGS}) SELECT id, severity, path, line, title FROM f")
+def csv_files(spark, sf):
+    place = fresh_dir(spark, "csv")
+    sinks.write_csv(_findings(spark, sf).select("id", "severity", "path", "line", "title"), place)
+    return spark.read.option("header", True).schema("id string, severity string, path string, line bigint, title string").csv(place)
+
+
+@query("sarif_files", "S10", f"""
+WITH {ROWS} SELECT doc_id, count(*) AS results, count(DISTINCT cwe_canonical) AS rules, '2.1.0' AS version,
+  count(*) FILTER (WHERE severity NOT IN ('MEDIUM', 'LOW')) AS errors FROM rows GROUP BY doc_id""")
+def sarif_files(spark, sf):
+    """SARIF documents written by range and read as JSON again, one per folder."""
+    place = fresh_dir(spark, "sarif")
+    report = build_report(_findings(spark, sf), _identity(spark, sf), "doc_id", "r-1", "1.0")
+    sinks.write_documents(report.sarif, place, "doc_id")
+    lines = readers.numbered_lines(spark, place, "doc_id")
+    # a result is a line of its own; the head and the rules of a document are few lines
+    parts = lines.select(F.col("document").cast("bigint").alias("doc_id"), F.regexp_replace("value", "^,", "").alias("value"))
+    result = F.get_json_object("value", "$.ruleId")
+    rule = F.get_json_object("value", "$.id")
+    return parts.groupBy("doc_id").agg(
+        F.count(result).alias("results"), F.count(F.when(result.isNull(), rule)).alias("rules"),
+        F.max(F.regexp_extract("value", '"version":"(2[.]1[.]0)"', 1)).alias("version"), F.count_if(F.get_json_object("value", "$.level") == "error").alias("errors"))
 
 
 @query("report_order", "T6", f"""
@@ -193,7 +225,14 @@ def json_verdicts(spark, sf):
 
 
 @query("tagged_documents", "S5", """
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS tag_ok FROM events""")
+WITH t AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN k % 2 = 0 THEN k END AS k, CASE WHEN k % 2 = 0 THEN 'even/v1' ELSE concat('odd/v', k % 3) END AS tag, k % 2 = 0 AS tag_ok FROM t""")
 def tagged_documents(spark, sf):
-    docs = view(spark, sf, "events").select("event_id", F.from_json("props", "k bigint").alias("d"))
-    return docs.select("event_id", "d.k", (F.col("d.k") % 2 == 0).alias("tag_ok"))
+    """Tagged documents written as JSON lines and read by their tag; the others are violations."""
+    place = fresh_dir(spark, "tagged")
+    docs = view(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    tag = F.when(F.col("k") % 2 == 0, "even/v1").otherwise(F.concat(F.lit("odd/v"), F.col("k") % 3))
+    docs.select(tag.alias("schema"), "event_id", "k").write.json(place)
+    good, bad = readers.read_document(spark, place, "schema string, event_id bigint, k bigint", "even/v1", lines=True, keep=["event_id"])
+    return good.select("event_id", "k", F.col("schema").alias("tag"), F.lit(True).alias("tag_ok")).unionByName(
+        bad.select("event_id", F.lit(None).cast("bigint").alias("k"), F.col("found").alias("tag"), F.lit(False).alias("tag_ok")))

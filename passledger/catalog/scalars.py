@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from passledger import constants as C
 from passledger import functions as fn
 from passledger.catalog import query
+from passledger.session import fresh_dir
+from passledger.sources import sinks
 from passledger.views import view
 
 def _sq(text):
@@ -55,6 +57,24 @@ def redaction_counts(spark, sf):
         total("aws-access-key").alias("aws"), total("bearer-token").alias("bearer"))
 
 
+@query("redacted_files", "S6 A15", f"""
+WITH d AS ({DIRTY}), t AS (SELECT CAST(sum(len(regexp_extract_all(text, '\\b{EMAIL_SQL}\\b'))) AS BIGINT) AS email,
+  CAST(sum(len(regexp_extract_all(text, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b'))) AS BIGINT) AS ssn, count(*) FILTER (WHERE doc_id % 9 IN (0, 7)) AS assignment,
+  count(*) FILTER (WHERE doc_id % 9 = 1) AS aws, count(*) FILTER (WHERE doc_id % 9 = 2) AS bearer, count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 9 IN (5, 6)) AS tokens FROM d)
+SELECT email, ssn, assignment, aws, bearer, n_rows, email + ssn + assignment + aws + bearer + tokens AS marks FROM t""")
+def redacted_files(spark, sf):
+    """The redacting sink: its receipt, and the marks in what it wrote."""
+    place = fresh_dir(spark, "redacted")
+    one_line = dirty(spark, sf).select(F.translate("text", "\n\r", "  ").alias("text"))
+    sinks.write_redacted(one_line, place, "documents.txt", line="text")
+    receipt = spark.read.schema("artifact string, counts map<string,bigint>, total bigint").json(f"{place}_redactions")
+    named = {"email": "email", "ssn": "ssn", "assignment": "credential-assignment", "aws": "aws-access-key", "bearer": "bearer-token"}
+    counts = receipt.select(*(F.coalesce(F.col("counts")[field], F.lit(0)).alias(n) for n, field in named.items()))
+    rows = spark.read.text(place)
+    marks = rows.agg(F.count("*").alias("n_rows"), F.sum(F.size(F.split("value", r"\[REDACTED\]")) - 1).cast("bigint").alias("marks"))
+    return counts.crossJoin(marks)  # one row each
+
+
 @query("redact_json", "X2", f"""
 WITH d AS (SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'id 123-45-6789 end' ELSE 'no number here' END, ' of ', source, ' in ', lang) AS text FROM documents)
 SELECT doc_id, replace(text, '123-45-6789', '[REDACTED]') AS text FROM d""")

@@ -43,12 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new folder beside the checkpoints (shared storage on a cluster)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to a table in the shared checkpoint folder and go on from there.
 
     Lineage ends at the table, a lost executor costs nothing upstream, and later stages read only the columns they need
     with real sizes for the planner.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = fresh_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ late. State has a time to live, or there is none: a batch then leaves pieces tha
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from passledger import constants as C
 from passledger import functions as fn
 from passledger.operators import detect as de
-from passledger.session import ensure_checkpoint_dir
+from passledger.session import fresh_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,11 +27,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new folder beside the checkpoints (shared storage on a cluster)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def drain(
     stream: DataFrame, out: str, checkpoint: str, mode: str = "append", query_name: str | None = None, each: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
