@@ -287,19 +287,31 @@ def changed_files(spark, sf):
 
 
 @query("added_lines", "J22", """
-SELECT doc_id, concat('added ( line ', doc_id) AS text FROM documents WHERE doc_id % 7 = 0 AND doc_id % 13 <> 0""")
+SELECT doc_id, len(string_split(text, chr(10))) + 1 AS line, concat('added ( line ', doc_id) AS text FROM documents WHERE doc_id % 7 = 0 AND doc_id % 13 <> 0""")
 def added_lines(spark, sf):
     before, after = _snapshots(spark, sf)
-    return sn.added_lines(before, after, "doc_id").select("doc_id", "text")
+    return sn.added_lines(before, after, "doc_id")
 
 
 @query("snapshot_health", "X21", """
-WITH b AS (SELECT doc_id, length(text) - length(replace(replace(text, '(', ''), '[', '')) AS n FROM documents)
-SELECT doc_id, CAST(1 AS BIGINT) AS worse FROM documents WHERE doc_id % 7 = 0 AND doc_id % 13 <> 0""")
+SELECT doc_id, CAST(1 AS BIGINT) AS worse, false AS json_broken FROM documents WHERE doc_id % 7 = 0 AND doc_id % 13 <> 0""")
 def snapshot_health(spark, sf):
     before, after = _snapshots(spark, sf)
     health = sn.snapshot_health(before, after, "doc_id")
-    return health.select("doc_id", (F.col("balance_after") - F.col("balance_before")).alias("worse"))
+    return health.select("doc_id", (F.col("balance_after") - F.col("balance_before")).alias("worse"), "json_broken")
+
+
+@query("bracket_balance", "X21", """
+WITH b AS (SELECT doc_id, concat(repeat('(', CAST(doc_id % 5 AS INTEGER)), repeat(']', CAST(doc_id % 3 AS INTEGER)), repeat(')', CAST(doc_id % 7 AS INTEGER)), '{"k":', doc_id % 2, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '}' END) AS t FROM documents)
+SELECT doc_id, abs(doc_id % 5 - doc_id % 7) + doc_id % 3 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS score FROM b""")
+def bracket_balance(spark, sf):
+    text = F.expr("concat(repeat('(', int(doc_id % 5)), repeat(']', int(doc_id % 3)), repeat(')', int(doc_id % 7)), '{\"k\":', doc_id % 2, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '}' END)")
+    return view(spark, sf, "documents").select("doc_id", sn.delimiter_balance(text).alias("score"))
+
+
+@query("manifest_count", "J19", "SELECT count(*) AS listed, count(*) = (SELECT count(*) FROM labels) AS count_ok FROM documents")
+def manifest_count(spark, sf):
+    return sn.manifest_count_ok(view(spark, sf, "documents"), view(spark, sf, "labels").count())
 
 
 @query("verify_manifest", "J19", """

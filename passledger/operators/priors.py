@@ -2,50 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passledger import functions as fn
+from passledger.session import cut
+
+
+def _followers(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """t, first, second: for each reversed target the two reversed file paths that come next in sorted order.
+
+    Files and targets are range-partitioned together; a target at the end of a partition looks on into the next ones,
+    of which two files each are known.
+    """
+    rows = files.select(F.col("r"), F.lit(1).alias("is_file")).unionByName(targets.select(F.col("r"), F.lit(0).alias("is_file")))
+    placed = cut(rows.repartitionByRange("r", "is_file").withColumn("_part", F.spark_partition_id()))
+    path = F.when(F.col("is_file") == 1, F.col("r"))
+    from_end = Window.partitionBy("_part").orderBy(F.desc("r"), F.desc("is_file")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.last(path, ignorenulls=True).over(from_end)
+    pair = F.when(F.col("is_file") == 1, F.struct(F.col("r").alias("first"), F.col("_next").alias("second")))
+    local = placed.withColumn("_next", nearest).withColumn("_pair", F.last(pair, ignorenulls=True).over(from_end)).filter("is_file = 0")
+    heads = _heads(placed)
+    return (
+        local.join(F.broadcast(heads), "_part", "left")  # one row per partition
+        .select(F.col("r").alias("t"), F.coalesce("_pair.first", "after_first").alias("first"),
+                F.when(F.col("_pair").isNull(), F.col("after_second")).otherwise(F.coalesce("_pair.second", "after_first")).alias("second"))
+    )
+
+
+def _heads(placed: DataFrame) -> DataFrame:
+    """_part, after_first, after_second: the first two files behind each partition."""
+    first = Window.partitionBy("_part").orderBy("r")
+    two = placed.filter("is_file = 1").withColumn("_n", F.row_number().over(first)).filter("_n <= 2")
+    heads = two.groupBy("_part").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    parts = placed.select("_part").distinct().join(heads, "_part", "left")
+    behind = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    none = F.array().cast("array<string>")
+    seen = F.slice(F.concat("rs", F.coalesce(F.last("rs", ignorenulls=True).over(behind), none)), 1, 2)
+    after = F.last("_seen", ignorenulls=True).over(behind)
+    known = parts.withColumn("_seen", seen).withColumn("_after", F.coalesce(after, none))
+    return known.select("_part", F.try_element_at("_after", F.lit(1)).alias("after_first"), F.try_element_at("_after", F.lit(2)).alias("after_second"))
 
 
 def resolve_paths(targets: DataFrame, files: DataFrame, aligned: bool = False) -> DataFrame:
     """Add ``resolved``: the exact path, else the only file ending in it, else the only file of that name, else null.
 
-    Suffixes are plain string suffixes (``aligned`` asks for a segment boundary). Files are keyed by the suffix lengths
-    that targets of the same file name ask for and counted, so no target meets more than one row, however common a name.
+    Suffixes are plain string suffixes (``aligned`` asks for a segment boundary). Read backwards, a suffix is a prefix, and in
+    sorted order the files that have it come right behind it: the next file fits and the one after does not, if there is
+    just one. So each target meets two files, however many end in it.
     """
     paths = files.select("path").distinct()
-    wanted = targets.select(F.col("path").alias("t")).distinct().withColumn("nested", F.instr("t", "/") > 0).withColumn(
-        "base", fn.file_name("t")
-    )
+    wanted = targets.filter("path IS NOT NULL").select(F.col("path").alias("t")).distinct().withColumn("base", fn.file_name("t"))
     exact = paths.select(F.col("path").alias("t"), F.lit(True).alias("is_exact"))
-    named = paths.withColumn("base", fn.file_name("path"))
-    by_name = named.groupBy("base").agg(F.count("*").alias("n_base"), F.min("path").alias("p_base"))
-
-    def suffix_counts(rows, length):
-        keyed = rows.withColumn("t", F.expr(f"right(path, {length})")).filter(F.length("path") >= F.col(length))
-        if aligned:
-            at = F.length("path") - F.col(length)
-            keyed = keyed.filter((at == 0) | (F.substring("path", at, F.lit(1)) == "/") | F.col("t").startswith("/"))
-        return keyed.groupBy("t").agg(F.count("*").alias("n_suffix"), F.min("path").alias("p_suffix"))
-
-    lengths = wanted.filter("nested").groupBy("base").agg(F.collect_set(F.length("t")).alias("ls"))
-    nested_rows = named.join(lengths, "base").select("path", F.explode("ls").alias("len"))
-    bare_lengths = wanted.filter("NOT nested").agg(F.collect_set(F.length("t")).alias("ls"))
-    bare_rows = paths.join(F.broadcast(bare_lengths)).select("path", F.explode("ls").alias("len"))
-    bare = wanted.filter("NOT nested").select("t")
-    suffixes = suffix_counts(nested_rows, "len").join(wanted.filter("nested").select("t"), "t", "left_semi").unionByName(
-        suffix_counts(bare_rows, "len").join(bare, "t", "left_semi")
-    )
+    by_name = paths.groupBy(fn.file_name("path").alias("base")).agg(F.count("*").alias("n_base"), F.min("path").alias("p_base"))
+    ending = F.when(F.col("t").startswith("/"), F.col("t")).otherwise(F.concat(F.lit("/"), "t")) if aligned else F.col("t")
+    wanted = wanted.withColumn("ending", F.reverse(ending))
+    ends = _followers(paths.select(F.reverse("path").alias("r")), wanted.select(F.col("ending").alias("r")).distinct())
+    only = F.when(F.col("first").startswith(F.col("t")) & ~F.coalesce(F.col("second").startswith(F.col("t")), F.lit(False)), F.reverse("first"))
+    suffixes = ends.select(F.col("t").alias("ending"), only.alias("p_suffix"))
     resolved = (
-        wanted.join(exact, "t", "left").join(suffixes, "t", "left").join(by_name, "base", "left")
+        wanted.join(exact, "t", "left").join(suffixes, "ending", "left").join(by_name, "base", "left")
         .select(
             F.col("t").alias("path"),
-            F.coalesce(
-                F.when(F.col("is_exact"), F.col("t")),
-                F.when(F.col("n_suffix") == 1, F.col("p_suffix")),
-                F.when(F.col("n_base") == 1, F.col("p_base")),
-            ).alias("resolved"),
+            F.coalesce(F.when(F.col("is_exact"), F.col("t")), F.col("p_suffix"), F.when(F.col("n_base") == 1, F.col("p_base"))).alias("resolved"),
         )
     )
     return targets.join(resolved, "path", "left")

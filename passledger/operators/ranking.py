@@ -92,28 +92,28 @@ def audit_sample(findings: DataFrame, files: DataFrame, run: str, k: int = C.AUD
     )
 
 
-def hot_keys(df: DataFrame, key: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None when there are none (one aggregate with map-side combine)."""
-    heavy = df.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*key)
-    return None if heavy.isEmpty() else heavy
-
-
-def with_lags(
-    df: DataFrame, key: list[str], order: list[str], lags: dict[str, tuple[str, int]], limit: int = 2_000_000
-) -> DataFrame:
-    """Add ``name -> lag(column, n)`` per key in ``order``. Keys above ``limit`` rows are cut into blocks that overlap by
-    the longest lag, so none of them is one task."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    plain = {name: F.lag(col, n).over(w) for name, (col, n) in lags.items()}
-    heavy = hot_keys(df, key, limit)
-    if heavy is None:
-        return df.withColumns(plain)
+def with_lags(df: DataFrame, key: list[str], order: list[str], lags: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add ``name -> lag(column, n)`` per key in ``order``, for keys of any size.
+
+    Rows are range-partitioned on key and order; a partition looks back within itself, and the last rows of a key in the
+    partitions before are carried to it, as many as the longest lag.
+    """
     back = max(n for _, n in lags.values())
-    cold = df.join(heavy, key, "left_anti").withColumns(plain)
-    ranked = ordinal(df.join(heavy, key, "left_semi"), key, order, "_at")
-    block = F.floor((F.col("_at") - 1) / limit)
-    tail = F.floor((F.col("_at") - 1 + back) / limit)
-    copies = ranked.withColumn("_home", block).withColumn("_block", F.explode(F.array_distinct(F.array(block, tail))))
-    inner = Window.partitionBy(*key, "_block").orderBy("_at")
-    hot = copies.withColumns({name: F.lag(col, n).over(inner) for name, (col, n) in lags.items()})
-    return cold.unionByName(hot.filter("_home = _block").drop("_at", "_home", "_block"))
+    fixed = cut(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy(*key, "_part").orderBy(*order)
+    from_end = Window.partitionBy(*key, "_part").orderBy(*[F.desc(c) for c in order])
+    columns = list(dict.fromkeys(c for c, _ in lags.values()))
+    tails = (
+        fixed.select(*key, "_part", *columns, (-F.row_number().over(from_end)).alias("_from_end")).filter(F.col("_from_end") >= -back)
+        .groupBy(*key, "_part").agg(F.sort_array(F.collect_list(F.struct("_from_end", *columns))).alias("_tail"))
+    )
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(-back, -1)
+    carried = tails.select(*key, "_part", F.flatten(F.collect_list("_tail").over(earlier)).alias("_carried")).filter(F.size("_carried") > 0)
+    met = fixed.withColumn("_at", F.row_number().over(here)).withColumns({name: F.lag(c, n).over(here) for name, (c, n) in lags.items()})
+    joined = met.join(carried.select(*[carried[k].alias(f"_c_{k}") for k in [*key, "_part"]], "_carried"), [met[k].eqNullSafe(F.col(f"_c_{k}")) for k in [*key, "_part"]], "left")
+
+    def value(name: str, column: str, n: int):
+        missing = (F.col("_at") - 1 - n).cast("int")  # -1: the last row carried
+        return F.when(F.col("_at") > n, F.col(name)).otherwise(F.try_element_at("_carried", missing)[column])
+
+    return joined.withColumns({name: value(name, c, n) for name, (c, n) in lags.items()}).select(*df.columns, *lags)

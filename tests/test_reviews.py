@@ -184,9 +184,54 @@ def test_ordinal_and_lags_on_split_keys(spark):
     for key in ("hot", "cold"):
         ats = sorted(a for k, a in ranks if k == key)
         assert [ranks[key, a] for a in ats] == list(range(1, len(ats) + 1))
-    plain = sorted(map(tuple, rk.with_lags(df, ["k"], ["at"], {"p": ("v", 2)}).collect()))
-    split = sorted(map(tuple, rk.with_lags(df, ["k"], ["at"], {"p": ("v", 2)}, limit=17).collect()))
-    assert [t[:4] for t in plain] == [t[:4] for t in split]
+    rows = [(k, i, (i * 7) % 11) for i in range(300) for k in (["hot"] if i % 3 else ["cold", None])] + [("one", 5, 9)]
+    df = spark.createDataFrame(rows, "k string, at bigint, _before bigint")
+    old = {}
+    for k, at, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        old.setdefault(k, []).append((at, v))
+    want = {(k, at, v, x[i - 2][1] if i > 1 else None, x[i - 1][0] if i else None) for k, x in old.items() for i, (at, v) in enumerate(x)}
+    for parts in ("1", "7", "40"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {tuple(r) for r in rk.with_lags(df, ["k"], ["at"], {"p": ("_before", 2), "q": ("at", 1)}).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_paths_by_hand(spark):
+    """Every target against every file, over many range partitions."""
+    import random
+
+    from passledger.operators.priors import resolve_paths
+
+    rng = random.Random(4)
+    files = sorted({"/".join(rng.choice(["a", "b", "src", "lib", "x1"]) for _ in range(rng.randrange(0, 3))) + "/" * (k % 2) + rng.choice(["f", "g", "ff", "m"]) + str(rng.randrange(40)) + ".py" for k in range(300)})
+    files = [f.lstrip("/") for f in files]
+    targets = sorted({f[rng.randrange(len(f)):] for f in files} | set(files[:30]) | {"zz/" + f.rsplit("/", 1)[-1] for f in files[:60]} | {"y", ".py", "f1.py", "/f1.py", "none.txt", "q/" + files[0]})
+
+    def want(t, aligned):
+        if t in files:
+            return t
+        ends = {f for f in files if f.endswith(t) and (not aligned or t.startswith("/") or f.endswith("/" + t))}
+        named = {f for f in files if f.rsplit("/", 1)[-1] == t.rsplit("/", 1)[-1]}
+        return min(ends) if len(ends) == 1 else min(named) if len(named) == 1 else None
+
+    f = spark.createDataFrame([(x,) for x in [*files, *files[:5]]], "path string")
+    t = spark.createDataFrame([(k, x) for k, x in enumerate([*targets, targets[0], None])], "n int, path string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, aligned in (("1", False), ("25", False), ("25", True)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = resolve_paths(t, f, aligned).collect()
+            assert len(got) == len(targets) + 2
+            assert {r.path: r.resolved for r in got if r.path} == {x: want(x, aligned) for x in targets}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_detectors(spark):
@@ -220,6 +265,60 @@ def test_added_lines_and_balance(spark):
     assert got == {"a": (1, False), "b": (1, True)}
 
 
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = best[:]
+        for j, y in enumerate(b, 1):
+            best[j] = row[j - 1] + 1 if x == y else max(row[j], best[j - 1])
+    return best[-1]
+
+
+def test_added_lines_by_hand(spark, monkeypatch):
+    """What stays is part of the old file in order; without repeated lines it is as much as can stay; windows of a few lines do the same."""
+    import random
+
+    rng = random.Random(8)
+    old, new = {}, {}
+    for k in range(40):
+        plain = k % 2 == 0
+        lines = [f"line {i}" if plain or rng.random() < 0.4 else rng.choice(["", "}", "x = 1"]) for i in range(rng.randrange(0, 60))]
+        changed = [x for x in lines if rng.random() < 0.85]
+        for _ in range(rng.randrange(0, 8)):
+            changed.insert(rng.randrange(len(changed) + 1), rng.choice([f"new {rng.random()}", "}" if not plain else f"n{rng.random()}"]))
+        if k % 5 == 0 and len(changed) > 20:
+            changed[2:6], changed[10:14] = changed[10:14], changed[2:6]
+        old[f"f{k}"], new[f"f{k}"] = lines, changed
+    old["grow"], new["grow"] = ["", "x", "", "y", ""], ["", "", "x", "", "y", ""]
+    schema = "path string, content string"
+    before, after = (spark.createDataFrame([(p, "\n".join(x) + "\n") for p, x in side.items()] + [("only " + n, "z")], schema) for n, side in (("old", old), ("new", new)))
+
+    def gained():
+        out = {}
+        for r in sn.added_lines(before, after).collect():
+            assert new[r.path][r.line - 1] == r.text
+            out.setdefault(r.path, set()).add(r.line - 1)
+        return out
+
+    got = gained()
+    for p, lines in new.items():
+        stay = [x for k, x in enumerate(lines) if k not in got.get(p, set())]
+        assert longest_common(stay, old[p]) == len(stay), p
+        if len(set(lines)) == len(lines) and len(set(old[p])) == len(old[p]):
+            assert len(stay) == longest_common(lines, old[p]), p
+    assert len(got["grow"]) == 1
+    monkeypatch.setattr(sn, "LINE_CHUNK", 4)
+    assert gained() == got
+
+
+def test_key_bitmap_keeps_all_wanted(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("concat('p', id) path", "id")
+    keys = spark.range(0, 3000, 7).selectExpr("concat('p', id) path").union(spark.createDataFrame([("zz",), (None,)], "path string"))
+    for bits in (1 << 24, 1 << 15, 64):
+        monkeypatch.setattr(sn, "KEY_BITS", bits)
+        assert sorted(r.id for r in sn.with_keys(df, keys, "path").collect()) == list(range(0, 3000, 7))
+
+
 def test_audit_and_draw(spark):
     df = spark.createDataFrame([(f"T-{i:03d}", i % 2 == 0) for i in range(40)], "id string, ok boolean")
     import hashlib
