@@ -9,6 +9,7 @@ from passledger.catalog import query
 from passledger.operators import priors as pr
 from passledger.operators import ranking as rk
 from passledger.operators import recall as rc
+from passledger.session import cut
 from passledger.views import view
 
 KEYWORDS = " OR ".join(
@@ -114,7 +115,36 @@ def family_spread(spark, sf):
     return rc.family_spread(f5, 20, ["run"])
 
 
-@query("calibrate_keys", "K3")
+CALIBRATION = f"""
+WITH RECURSIVE keys AS (
+  SELECT slot // 8 AS key_id, slot, family, concat('src/f', slot // 16, CASE WHEN slot % 8 < 5 THEN slot % 8 ELSE 4 END, '.py') AS path, line, title FROM f5 WHERE slot % 8 <> 7),
+jitters(jitter_ord, jitter) AS (VALUES {", ".join(f"({i}, {j})" for i, j in enumerate(C.CALIBRATION_JITTERS))}),
+runs AS (SELECT *, concat(key_id, '/', jitter_ord, '/', path) AS place, greatest(1, line + jitter) AS seen, lower(concat(family, ' replay probe slot ', slot)) AS cat,
+  row_number() OVER (PARTITION BY key_id, jitter_ord, path ORDER BY slot) AS k FROM keys CROSS JOIN jitters),
+ids AS (SELECT *, concat('OBS-', substring(sha256(concat(path, chr(0), CAST(seen AS VARCHAR), chr(0), cat)), 1, 16)) AS id FROM runs),
+walk AS (
+  SELECT place, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(line BIGINT, lens VARCHAR, id VARCHAR)[]) AS entries, CAST(NULL AS VARCHAR) AS id, false AS founds FROM (SELECT DISTINCT place FROM ids)
+  UNION ALL
+  SELECT place, k, CASE WHEN hit IS NULL THEN list_append(entries, {{line: CAST(seen AS BIGINT), lens: family, id: id}}) ELSE entries END, id, hit IS NULL
+  FROM (SELECT w.place, o.k, w.entries, o.seen, o.family, o.id,
+          coalesce(list_filter(w.entries, lambda e: e.line = o.seen AND e.lens = o.family)[1].id, list_filter(w.entries, lambda e: e.id = o.id)[1].id,
+                   list_filter(w.entries, lambda e: e.lens = o.family AND abs(e.line - o.seen) <= 10)[1].id) AS hit
+        FROM walk w JOIN ids o ON o.place = w.place AND o.k = w.k + 1)),
+c AS (SELECT i.place, i.id AS candidate_id, i.seen AS line, i.family AS lens, lower(concat(i.cat, ' ', coalesce(i.title, 'replay probe'))) AS t FROM walk w JOIN ids i ON i.place = w.place AND i.k = w.k WHERE w.founds),
+pairs AS (SELECT s.place, s.k, list(c.candidate_id ORDER BY abs(c.line - s.line), c.line, c.candidate_id) AS cs FROM ids s JOIN c ON c.place = s.place AND abs(c.line - s.line) <= 40
+          WHERE c.lens = s.family OR {KEYWORDS} GROUP BY s.place, s.k),
+claims AS (
+  SELECT place, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS claimed, CAST(NULL AS VARCHAR) AS pick FROM (SELECT DISTINCT place FROM ids)
+  UNION ALL
+  SELECT place, k, CASE WHEN pick IS NULL THEN claimed ELSE list_append(claimed, pick) END, pick
+  FROM (SELECT w.place, r.k, w.claimed, list_filter(p.cs, lambda x: NOT list_contains(w.claimed, x))[1] AS pick
+        FROM claims w JOIN ids r ON r.place = w.place AND r.k = w.k + 1 LEFT JOIN pairs p ON p.place = r.place AND p.k = r.k)),
+per AS (SELECT i.key_id, i.jitter_ord, any_value(i.jitter) AS jitter, count(w.pick) AS matched, count(*) AS total FROM ids i JOIN claims w ON w.place = i.place AND w.k = i.k GROUP BY i.key_id, i.jitter_ord),
+worst AS (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY matched, jitter_ord) AS r FROM per)
+SELECT key_id, jitter, matched, total, matched = total AND total > 0 AS passed FROM worst WHERE r = 1"""
+
+
+@query("calibrate_keys", "K3", CALIBRATION)
 def calibrate_keys(spark, sf):
     keys = view(spark, sf, "f5").selectExpr(
         "slot div 8 AS key_id", "slot", "family", "concat('src/f', slot div 16, CASE WHEN slot % 8 < 5 THEN slot % 8 ELSE 4 END, '.py') AS path", "line", "title", "slot % 8 = 7 AS historical")
@@ -140,8 +170,8 @@ def _targets(spark, sf):
     return pr.resolve_paths(t, files)
 
 
-def _drawn(spark, sf):
-    return rk.hash_draw(_targets(spark, sf), "id", 40, F.col("resolved").isNotNull() & (F.col("slot") % 3 == 0))
+def _drawn(targets):
+    return rk.hash_draw(targets, "id", 40, F.col("resolved").isNotNull() & (F.col("slot") % 3 == 0))
 
 
 @query("resolve_paths", "J9", f"WITH {PRIORS} SELECT slot, path, resolved FROM resolved")
@@ -151,12 +181,12 @@ def resolve_paths(spark, sf):
 
 @query("hash_draw", "T1", f"WITH {PRIORS} SELECT id, resolved, draw_ord FROM drawn")
 def hash_draw(spark, sf):
-    return _drawn(spark, sf)[0].select("id", "resolved", "draw_ord")
+    return _drawn(_targets(spark, sf))[0].select("id", "resolved", "draw_ord")
 
 
 @query("draw_skipped", "T1", f"WITH {PRIORS} SELECT id FROM hashed WHERE NOT ok AND h < (SELECT max(h) FROM drawn)")
 def draw_skipped(spark, sf):
-    return _drawn(spark, sf)[1].select("id")
+    return _drawn(cut(_targets(spark, sf)))[1].select("id")
 
 
 @query("heat_split", "J10", f"""
@@ -165,7 +195,8 @@ WITH {PRIORS}, d AS (SELECT *, regexp_replace(resolved, '/[^/]*$', '') AS dir FR
   ON r.resolved = d.resolved OR (regexp_replace(r.resolved, '/[^/]*$', '') = d.dir AND r.family = d.family) GROUP BY r.id)
 SELECT r.id, CASE WHEN r.resolved IS NULL THEN 'unresolved' WHEN r.id IN (SELECT id FROM drawn) THEN 'drawn' ELSE n.reason END AS reason FROM resolved r LEFT JOIN n ON n.id = r.id""")
 def heat_split(spark, sf):
-    return pr.heat_split(_targets(spark, sf), _drawn(spark, sf)[0]).select("id", "reason")
+    targets = cut(_targets(spark, sf))
+    return pr.heat_split(targets, _drawn(targets)[0]).select("id", "reason")
 
 
 @query("heat_per_unit", "J23", f"""
@@ -186,7 +217,7 @@ disposed AS (SELECT r.id, CASE WHEN m.id IS NULL THEN 'NOT-EVIDENCED' ELSE 'REFO
 def _disposed(spark, sf):
     f = view(spark, sf, "findings").select(
         F.col("finding_id").alias("id"), "path", "lens", "category", "title", "status", F.col("l_orderkey").alias("ord"))
-    t = _targets(spark, sf)
+    t = cut(_targets(spark, sf))
     return pr.dispositions(t, f, t.filter("slot % 2 = 0"))
 
 

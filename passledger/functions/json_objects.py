@@ -1,49 +1,55 @@
-"""Free text -> the JSON objects in it, as a table function, and the verdict extraction built on it."""
+"""Free text -> the JSON objects in it, by brace depth, and the verdict extraction built on it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from passledger.functions.scalars import split_lines
 
+#: Characters of a basis that are kept.
+BASIS_CHARS = 400
+
 
-@udtf(returnType="ord int, object string")
-class JsonObjects:
-    """Top-level {...} spans of a text by brace depth, in order; braces inside strings count like any other."""
+def json_objects(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, ord, object): top-level {...} spans of each text in order; braces inside strings count like any other.
 
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        depth, start, n = 0, 0, 0
-        for i, ch in enumerate(text or ""):
-            if ch == "{":
-                if depth == 0:
-                    start = i
-                depth += 1
-            elif ch == "}" and depth:
-                depth -= 1
-                if depth == 0:
-                    yield n, text[start : i + 1]
-                    n += 1
+    ``key`` is unique. A text leaves a row per brace: its place and +1 or -1. The depth is the running sum S less its lowest
+    value so far (a closing brace outside of any object does not count), so it takes two window functions and no loop; an
+    object begins where the depth leaves 0 and ends where it is back.
+    """
+    lengths = F.transform(F.split(text, "[{}]", -1), F.length)
+    braces = F.regexp_extract_all(text, F.lit("([{}])"), F.lit(1))
+    rows = texts.select(*key, F.posexplode(F.arrays_zip(lengths.alias("n"), braces.alias("brace"))).alias("_i", "_b")).filter("_b.brace IS NOT NULL")
+    so_far = Window.partitionBy(*key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("_b.brace") == "{", 1).otherwise(-1)
+    walked = rows.select(*key, "_i", step.alias("_step"), (F.sum("_b.n").over(so_far) + F.col("_i") + 1).alias("_at"), F.sum(step).over(so_far).alias("_s"))
+    deep = walked.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(so_far)))
+    opens = (F.col("_step") == 1) & (F.col("_depth") == 1)
+    # a closing brace at depth 0 ends an object unless the lowest sum fell just there
+    inside = F.coalesce(F.lag("_depth").over(Window.partitionBy(*key).orderBy("_i")), F.lit(0)) > 0
+    closes = (F.col("_step") == -1) & (F.col("_depth") == 0) & inside
+    ends = deep.withColumns({"_opens": opens, "_closes": closes}).filter("_opens OR _closes").withColumn("_n", F.count_if("_opens").over(so_far))
+    spans = ends.groupBy(*key, "_n").agg(F.min("_at").alias("_from"), F.max(F.when(F.col("_closes"), F.col("_at"))).alias("_to")).filter("_to IS NOT NULL")
+    listed = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_n", "_from", "_to"))).alias("_spans"))
+    cut_out = F.transform("_spans", lambda s, i: F.struct(i.alias("ord"), F.col(text).substr(s["_from"].cast("int"), (s["_to"] - s["_from"] + 1).cast("int")).alias("object")))
+    return texts.select(*key, text).join(listed, key).select(*key, F.inline(cut_out))
 
 
 def extract_verdicts(
     responses: DataFrame, key: str = "candidate_id", text: str = "text", field: str = "clean_verdict",
-    allowed: tuple[str, ...] = ("PRESENT", "ABSENT"),
+    allowed: tuple[str, ...] = ("PRESENT", "ABSENT"), basis_chars: int = BASIS_CHARS,
 ) -> DataFrame:
     """(key, verdict, basis): first object of the response that names this key and an allowed verdict.
 
-    Lines come first, then the whole text, then a brace scan; basis is cut to 400 characters. No match leaves null.
-    Whole lines and texts are parsed by built-in functions; only responses they leave open go through the table function.
+    Lines come first, then the whole text, then a brace scan; basis is cut to ``basis_chars``. No match leaves null.
+    Only responses that lines and whole texts leave open are scanned for braces.
     """
-    spark = responses.sparkSession
 
     def verdict_of(doc):
         v = F.try_parse_json(doc)
         ok = (F.try_variant_get(v, f"$.{key}", "string") == F.col(key).cast("string")) & F.try_variant_get(v, f"$.{field}", "string").isin(*allowed)
-        basis = F.substring(F.coalesce(F.try_variant_get(v, "$.basis", "string"), F.lit("")), 1, 400)
+        basis = F.substring(F.coalesce(F.try_variant_get(v, "$.basis", "string"), F.lit("")), 1, basis_chars)
         return F.when(ok, F.struct(F.try_variant_get(v, f"$.{field}", "string").alias("verdict"), basis.alias("basis")))
 
     lines = F.filter(F.transform(split_lines(text), lambda s: F.trim(s)), lambda s: s.startswith("{"))
@@ -51,14 +57,12 @@ def extract_verdicts(
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     quick = responses.withColumn("_v", F.coalesce(by_line, verdict_of(trimmed)))
     done = quick.filter("_v IS NOT NULL").select(key, "_v.verdict", "_v.basis")
-    spark.udtf.register("json_objects", JsonObjects)
-    open_rows = quick.filter("_v IS NULL").select(key, text)
-    spans = spark.sql(
-        f"SELECT r.`{key}`, o.ord, o.object FROM {{open_rows}} r LEFT JOIN LATERAL json_objects(r.`{text}`) o ON true", open_rows=open_rows
-    )
+    open_rows = quick.filter("_v IS NULL").groupBy(key, F.xxhash64(text).alias("_h")).agg(F.first(text).alias(text))
+    keys = open_rows.select(key).distinct()
+    spans = json_objects(open_rows.filter(F.col(key).isNotNull()), [key, "_h"], text)
     scanned = (
-        spans.withColumn("_v", verdict_of(F.col("object"))).groupBy(key)
-        .agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("ord"))).alias("_v"))
+        spans.withColumn("_v", verdict_of(F.col("object"))).filter("_v IS NOT NULL").groupBy(key).agg(F.min_by("_v", F.struct("ord", "_h")).alias("_v"))
+        .join(keys.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "right").withColumn(key, F.col("_key"))
         .select(key, F.col("_v.verdict").alias("verdict"), F.coalesce(F.col("_v.basis"), F.lit("no parseable verdict")).alias("basis"))
     )
     return done.unionByName(scanned)

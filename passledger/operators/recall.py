@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passledger import constants as C
 from passledger import functions as fn
+from passledger.session import cut
 
 
 def near_flag(loci: DataFrame, hits: DataFrame, window: int, name: str) -> DataFrame:
@@ -66,18 +67,24 @@ def _with_islands(pairs: DataFrame, scope: list[str]) -> DataFrame:
     return pairs.withColumn("lo", F.least("slot_line", "c_line")).join(islands, scope + ["path", "lo"]).drop("lo")
 
 
-def _contenders(slots: DataFrame, candidates: DataFrame, scope: list[str], window: int) -> DataFrame:
-    """Slots that can be matched at all, for keys with many slots on one locus.
+SALTS = 32
+
+
+def _slot_pairs(slots: DataFrame, candidates: DataFrame, scope: list[str], window: int) -> DataFrame:
+    """Pairs of the slots that can be matched at all, for keys with many slots on one locus.
 
     Slots of one (path, family, line) see the same candidates, so the matched ones are the first of them and number at
-    most the candidates in the window. The largest such number over all loci limits the rank, before the shuffle.
+    most the candidates in the window. Loci are paired with candidates once; each locus brings its own bound, and slots are
+    ranked against it in salted parts first, so no locus is one task.
     """
     locus = scope + ["path", "family", "line"]
-    loci = slots.select(*locus).distinct().withColumn("slot", F.xxhash64(*locus))
-    options = _pairs(loci, candidates, scope, window).groupBy(*scope, "path", "family", "slot_line").agg(F.count("*").alias("n"))
-    most = options.agg(F.max("n")).first()[0] or 0
-    w = Window.partitionBy(*locus).orderBy("slot")
-    return slots.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+    loci = slots.select(*locus).distinct().withColumn("slot", F.lit(0))
+    options = cut(_pairs(loci, candidates, scope, window).drop("slot").withColumnRenamed("slot_line", "line"))
+    bounds = options.groupBy(*locus).agg(F.count("*").alias("_most"))
+    ranked = slots.select(*locus, "slot").join(bounds, locus).withColumn("_salt", F.pmod(F.xxhash64("slot"), F.lit(SALTS)))
+    for keys in ([*locus, "_salt"], locus):
+        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("slot"))).filter(F.col("_r") <= F.col("_most"))
+    return ranked.select(*locus, "slot").join(options, locus).withColumnRenamed("line", "slot_line").drop("family")
 
 
 def match_slots(
@@ -90,7 +97,7 @@ def match_slots(
     unit of work; the walk streams over sorted pairs and remembers only the claims of the current island.
     """
     scope = scope or []
-    pairs = _with_islands(_pairs(_contenders(slots, candidates, scope, window), candidates, scope, window), scope)
+    pairs = _with_islands(cut(_slot_pairs(slots, candidates, scope, window)), scope)
     group = scope + ["path", "island"]
     ordered = pairs.repartition(*group).sortWithinPartitions(*group, "slot", "distance", "c_line", "candidate_id")
 

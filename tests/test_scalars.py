@@ -87,3 +87,31 @@ def test_classes(spark):
     ]
     df = spark.createDataFrame(rows, "path string, content string, want string").select("path", "want", co.classify_file().alias("got"))
     assert [r.path for r in df.filter("want <> got").collect()] == []
+
+
+def test_json_objects_by_hand(spark):
+    """Depth told by running sums against a count character by character."""
+    import random
+
+    from passledger.functions.json_objects import json_objects
+
+    def by_hand(text):
+        depth, start, out = 0, 0, []
+        for i, ch in enumerate(text):
+            if ch == "{":
+                start = i if depth == 0 else start
+                depth += 1
+            elif ch == "}" and depth:
+                depth -= 1
+                if depth == 0:
+                    out.append(text[start : i + 1])
+        return out
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["{", "}", "{", "}", "a", "\n", "é", '"k": 1']) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    texts += ["", "}}}{a}", "{{}", "no braces", "{}{}{}", "}{", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = {}
+    for r in sorted(json_objects(df, ["n"]).collect(), key=lambda r: (r.n, r.ord)):
+        got.setdefault(r.n, []).append(r.object)
+    assert got == {n: by_hand(t) for n, t in enumerate(texts) if t and by_hand(t)}
