@@ -186,12 +186,15 @@ METRICS = """
 runs AS (SELECT DISTINCT l_suppkey % 25 AS run_id FROM lineitem),
 cov AS (SELECT l_suppkey % 25 AS run_id, count(DISTINCT CASE WHEN l_linenumber < 7 OR l_suppkey % 2 = 0 THEN l_partkey END) AS opened, count(DISTINCT l_partkey) AS census FROM lineitem GROUP BY 1),
 lane AS (SELECT user_id % 25 AS run_id, count(*) FILTER (WHERE event_type = 'error') AS deaths, count(*) FILTER (WHERE event_type = 'signup') AS redispatched, count(*) FILTER (WHERE event_type = 'purchase') AS adopted FROM events GROUP BY 1),
-attr AS (SELECT l_suppkey % 25 AS run_id, count(*) AS n, count(*) FILTER (WHERE l_orderkey % 100 = 1 AND l_suppkey % 3 = 0) AS unresolved FROM lineitem WHERE l_partkey % 6 = 0 GROUP BY 1)"""
+attr AS (SELECT l_suppkey % 25 AS run_id, count(*) AS n, count(*) FILTER (WHERE l_orderkey % 100 = 1 AND l_suppkey % 3 = 0) AS unresolved FROM lineitem GROUP BY 1),
+rec AS (SELECT p_partkey % 25 AS run_id, count(*) FILTER (WHERE p_size % 3 = 0) AS cold, count(*) FILTER (WHERE p_size % 3 > 0) AS cured, count(*) FILTER (WHERE p_size % 11 = 0) AS mint_error, count(*) FILTER (WHERE p_size % 2 = 0) AS historical FROM part GROUP BY 1),
+pri AS (SELECT c_custkey % 25 AS run_id, count(*) AS staged, count(*) FILTER (WHERE c_nationkey % 3 = 0) AS refound, count(*) FILTER (WHERE c_nationkey % 3 > 0) AS not_evidenced FROM customer GROUP BY 1)"""
 
 
 @query("certification_metrics", "K4", f"""
-WITH {METRICS} SELECT r.run_id, opened AS files_opened, census AS census_files, 5 AS units, 5 - r.run_id % 2 AS units_quiet, deaths AS lane_deaths, redispatched AS lane_redispatched, adopted AS lane_adopted, n AS planted_file_candidates, unresolved AS dispositions_unresolved
-FROM runs r JOIN cov ON cov.run_id = r.run_id JOIN lane ON lane.run_id = r.run_id JOIN attr ON attr.run_id = r.run_id""")
+WITH {METRICS} SELECT r.run_id, opened AS files_opened, census AS census_files, 5 AS units, 5 - r.run_id % 2 AS units_quiet, deaths AS lane_deaths, redispatched AS lane_redispatched, adopted AS lane_adopted, n AS planted_file_candidates, unresolved AS dispositions_unresolved,
+  cold AS plants_found, cured AS plants_cured, mint_error AS plants_mint_error, historical AS canary_historical, staged AS priors_staged, refound AS priors_refound, not_evidenced AS priors_not_evidenced
+FROM runs r LEFT JOIN rec ON rec.run_id = r.run_id LEFT JOIN pri ON pri.run_id = r.run_id JOIN cov ON cov.run_id = r.run_id JOIN lane ON lane.run_id = r.run_id JOIN attr ON attr.run_id = r.run_id""")
 def certification_metrics_query(spark, sf):
     li = view(spark, sf, "lineitem").withColumn("run_id", F.col("l_suppkey") % 25)
     runs = li.select("run_id").distinct().withColumn("completion", F.lit(""))
@@ -202,10 +205,18 @@ def certification_metrics_query(spark, sf):
     ledger = view(spark, sf, "events").groupBy((F.col("user_id") % 25).alias("run_id")).agg(
         F.count_if(F.col("event_type") == "error").alias("deaths"), F.count_if(F.col("event_type") == "signup").alias("redispatched"),
         F.count_if(F.col("event_type") == "purchase").alias("adopted"), F.lit(0).cast("bigint").alias("unreconciled"))
-    attribution = li.filter("l_partkey % 6 = 0").select("run_id", F.expr("CASE WHEN l_orderkey % 100 = 1 AND l_suppkey % 3 = 0 THEN 'unresolved' ELSE 'genuine' END").alias("disposition"))
-    m = certification_metrics(runs, coverage, states, ledger=ledger, attribution=attribution)
+    attribution = li.select("run_id", F.expr("CASE WHEN l_orderkey % 100 = 1 AND l_suppkey % 3 = 0 THEN 'unresolved' ELSE 'genuine' END").alias("disposition"))
+    recall = view(spark, sf, "part").groupBy((F.col("p_partkey") % 25).alias("run_id")).agg(
+        F.count_if(F.col("p_size") % 3 == 0).alias("cold"), F.count_if(F.col("p_size") % 3 > 0).alias("cured"),
+        F.count_if(F.col("p_size") % 11 == 0).alias("mint_error"), F.count_if(F.col("p_size") % 2 == 0).alias("historical_total"))
+    told = view(spark, sf, "customer").withColumn("refound", F.col("c_nationkey") % 3 == 0).groupBy((F.col("c_custkey") % 25).alias("run_id")).agg(
+        F.count("*").alias("staged"), F.count_if("refound").alias("refound"), F.count_if(~F.col("refound")).alias("not_evidenced"),
+        F.count_if(~F.col("refound")).alias("not_evidenced_receipted"), F.count_if("refound").alias("refound_verified"),
+        F.lit(0).cast("bigint").alias("refound_refuted"), F.lit(0).cast("bigint").alias("refound_folded"))
+    m = certification_metrics(runs, coverage, states, recall, told, ledger, attribution)
     return m.select("run_id", "files_opened", "census_files", F.col("units").cast("int").alias("units"), F.col("units_quiet").alias("units_quiet"),
-                    "lane_deaths", "lane_redispatched", "lane_adopted", "planted_file_candidates", "dispositions_unresolved")
+                    "lane_deaths", "lane_redispatched", "lane_adopted", "planted_file_candidates", "dispositions_unresolved", "plants_found", "plants_cured",
+                    "plants_mint_error", "canary_historical", "priors_staged", "priors_refound", "priors_not_evidenced")
 
 
 RESPONSES = """

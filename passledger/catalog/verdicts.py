@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passledger.catalog import query
+from passledger.catalog.history import SLOTS, _modes, _rows
+from passledger.operators import convergence as cv
+from passledger.operators import history as hist
 from passledger.operators import ranking
 from passledger.operators import verdicts as ve
 from passledger.views import view
@@ -132,12 +135,15 @@ def published_totals(spark, sf):
 
 
 HOPS = """
-hops AS (SELECT chain_id, hop_ord, (finding_key * 7) % (CASE WHEN chain_id % 3 = 0 THEN 100000 ELSE 12000 END) AS finding_key FROM f9 WHERE chain_id % 9 > 0 OR hop_ord = 0),
+hops AS (SELECT chain_id, hop_ord, (finding_key * 7) % (CASE WHEN chain_id % 3 = 0 THEN 100000 ELSE 12000 END) AS finding_key FROM (
+  SELECT chain_id, hop_ord, finding_key FROM f9 UNION ALL SELECT -1 - chain_id, hop_ord, finding_key FROM f9 WHERE hop_ord = 0)),
 states AS (SELECT o_orderkey AS finding_key, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'refuted' ELSE 'verified' END ELSE 'conditional-court' END AS status FROM orders)"""
 
 
 def _hops(spark, sf):
-    h = view(spark, sf, "f9").filter("chain_id % 9 > 0 OR hop_ord = 0").selectExpr("chain_id", "hop_ord", "(finding_key * 7) % (CASE WHEN chain_id % 3 = 0 THEN 100000 ELSE 12000 END) AS finding_key")
+    all_hops = view(spark, sf, "f9").select("chain_id", "hop_ord", "finding_key")
+    short = all_hops.filter("hop_ord = 0").withColumn("chain_id", -1 - F.col("chain_id"))  # planted: chains of one hop
+    h = all_hops.unionByName(short).selectExpr("chain_id", "hop_ord", "(finding_key * 7) % (CASE WHEN chain_id % 3 = 0 THEN 100000 ELSE 12000 END) AS finding_key")
     s = view(spark, sf, "orders").selectExpr("o_orderkey AS finding_key", "CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'refuted' ELSE 'verified' END ELSE 'conditional-court' END AS status")
     return h, s
 
@@ -219,8 +225,13 @@ def verdict_batches(spark, sf):
     return ranking.batches(p, ["pass"], ["path", "line", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"]).drop("l_quantity")
 
 
-@query("review_backlog", "T5 A20", """
-SELECT unit_id, count(*) AS pending, count(*) > 2 * 3000 AS verdicts_first FROM f2_valid WHERE sev_rank >= 3 GROUP BY unit_id""")
+@query("review_backlog", "T5 A20", f"""
+WITH {SLOTS}, n AS (SELECT slot, slot_pass, count(*) FILTER (WHERE is_new_serious) AS n FROM marked WHERE phase <> 'sweep' GROUP BY ALL),
+k AS (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM n WHERE slot_pass IN (SELECT pass FROM modes WHERE mode = 'full')),
+y AS (SELECT greatest(1, n) AS typical_yield FROM k WHERE r = c // 2 + 1),
+p AS (SELECT unit_id, count(*) AS pending FROM f2_valid WHERE sev_rank >= 3 GROUP BY unit_id)
+SELECT unit_id, pending, pending > 2 * typical_yield AS verdicts_first FROM p, y""")
 def review_backlog(spark, sf):
+    """Pending verdicts against the yield that the passes so far had."""
     pending = view(spark, sf, "f2_valid").filter("sev_rank >= 3").groupBy("unit_id").agg(F.count("*").alias("pending"))
-    return pending.withColumn("verdicts_first", F.col("pending") > 2 * 3000)
+    return cv.verdicts_first(pending, cv.typical_yield(hist.mark_new(hist.observed_ids(_rows(spark, sf))), _modes(spark, sf)))
