@@ -23,10 +23,16 @@ LINE_CHUNK = 100_000
 
 
 def with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``keys`` (same name).
+    """Rows of ``df`` whose key occurs in ``keys`` (same name): by the bitmap first, then by an exact semi-join of what is left."""
+    marked = may_occur(df, keys, key, "_may")
+    return marked.filter("_may").drop("_may").join(keys.select(key).distinct(), key, "left_semi")
 
-    The hashed keys set bits of a bitmap that every task gets, so nearly all other rows go before the exact semi-join
-    shuffles what is left. With very many keys the bitmap fills up and merely saves less.
+
+def may_occur(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Add boolean ``name``: false only where the key does not occur in ``keys``, true where it does and for a few others.
+
+    The hashed keys set bits of a bitmap of fixed size that every task gets; nothing of ``df`` is shuffled. With very many
+    keys the bitmap fills up and merely rules out less. Null is a key like any other.
     """
 
     def place(column: str) -> Column:
@@ -36,8 +42,8 @@ def with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     at = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     there = (F.floor(byte / F.pow(F.lit(2), at % 8)) % 2) == 1
-    likely = df.withColumn("_bucket", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "_bucket").filter(there)
-    return likely.drop("_bucket", "_bits").join(keys.select(key).distinct(), key, "left_semi")
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "_bucket", "left")
+    return joined.withColumn(name, F.coalesce(there, F.lit(False))).drop("_bucket", "_bits")
 
 
 def changed_files(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
