@@ -6,7 +6,7 @@ pigeonhole principle, in at most one place of some chunk. So each chunk is looke
 may be wrong, by its other four places: all pairs within distance 31 meet. At similarity 0.75 that is 0.998 of all pairs, and more above.
 
 Equal sets are taken together first. Where a key is shared by a few, all close pairs are candidates; where many share it,
-representatives are chosen so that each member is close to one, and members are paired with representatives only. After
+representatives are chosen so that each member is close to one, and a member is paired with one of them only. After
 these pairs are confirmed on the full sets, keys whose members are still not all connected are gone through again, block
 by block, for the pairs between different components: first each member's likeliest partners in each other component, then,
 where these did not connect them, all others. This look also has a sketch of 256 bins, which keeps pairs out that are far
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passledger.llm.common import components, cut, text_slices
+from passledger.operators.snapshots import may_occur
 
 PLACES, CHUNKS, DISTANCE = 80, 16, 31
 #: Bins of the finer sketch, and by how many standard deviations it may fall short of similarity 0.75.
@@ -175,24 +176,33 @@ class _Run:
             yield from self._block(rep[k : k + 1024], size[k : k + 1024], sig[k : k + 1024])
 
     def _block(self, rep: np.ndarray, size: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        covered = np.zeros(len(rep), dtype=bool)
+        """One pair for each member at most: with the first representative that it is near to, else with the nearest within
+        the distance, and then it stands for others itself. What this leaves apart is for the second look."""
+        n = len(rep)
         if self.centres is None:
             self.centres = rep[:0], size[:0], sig[:0]
-        else:
-            far = _far(self.centres[2], sig)
-            i, j = np.nonzero((far <= DISTANCE) & _fits(self.centres[1], size))
-            yield self.centres[0][i], rep[j]
-            covered = (far <= NEAR).any(axis=0)
-        while not covered.all():
-            c = int(np.argmin(covered))
-            far = _far(sig[c : c + 1], sig)[0]
-            close = (far <= DISTANCE) & _fits(size[c : c + 1], size)[0]
-            close[c] = False
-            yield np.full(close.sum(), rep[c]), rep[close]
-            covered |= far <= NEAR
-            covered[c] = True
-            if len(self.centres[0]) < 64:  # further ones are known in their own block only; what that leaves is found in the second look
-                self.centres = tuple(np.concatenate([x, y[c : c + 1]]) for x, y in zip(self.centres, (rep, size, sig), strict=True))
+        partner, reach, near = np.full(n, -1, dtype=np.int64), np.full(n, DISTANCE + 1), np.zeros(n, dtype=bool)
+        if len(self.centres[0]):
+            far = np.where(_fits(self.centres[1], size), _far(self.centres[2], sig), DISTANCE + 1)
+            near = (far <= NEAR).any(axis=0)
+            best = np.where(near, (far <= NEAR).argmax(axis=0), far.argmin(axis=0))
+            reach = far[best, np.arange(n)]
+            partner = np.where(reach <= DISTANCE, self.centres[0][best], -1)
+        fresh: list[int] = []
+        while not near.all():
+            c = int(np.argmin(near))
+            far = np.where(_fits(size[c : c + 1], size)[0], _far(sig[c : c + 1], sig)[0], DISTANCE + 1)
+            far[c] = DISTANCE + 1
+            better = ~near & (far < reach)
+            better[fresh] = False
+            partner[better], reach[better] = rep[c], far[better]
+            near |= far <= NEAR
+            near[c] = True
+            fresh.append(c)
+        there = partner >= 0
+        yield partner[there], rep[there]
+        keep = fresh[: max(0, 64 - len(self.centres[0]))]  # further ones are known in their own block only; what that leaves is found in the second look
+        self.centres = tuple(np.concatenate([x, y[keep]]) for x, y in zip(self.centres, (rep, size, sig), strict=True))
 
     def end(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.few and self.n > 1:
@@ -374,6 +384,7 @@ def _linked_blocks(blocks: DataFrame, classes: DataFrame, docs: DataFrame) -> Da
     linked there. The texts of a pair of blocks meet in one task; a partner that is connected already is not compared."""
     group = ["key", "low", "high"]
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = may_occur(texts, blocks, "rep", "asked").where("asked").drop("asked")
     asked = blocks.join(classes.select("rep", "text_hash"), "rep")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +438,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_task: i
     partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     asked = partners.unionByName(heads).join(classes.select(F.col("rep").alias("b"), "text_hash"), "b")
+    asked = cut(asked)
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = may_occur(texts, asked, "b", "asked").where("asked").drop("asked")  # most texts stay where they are
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, head_set, last = None, None, None
