@@ -41,32 +41,52 @@ def _letter_vector(code: int, dimensions: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=code)).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1
 
 
-def ngram_counts(texts: list[str | None], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(alphabet, distinct n-grams as rows of places in it, counts by group and n-gram) of texts; a text is a group by default.
+def _grams(texts: list[str | None], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(alphabet, distinct n-grams as rows of places in it, and for each n-gram met: its number and its group).
 
     A run of other characters than letters counts as one gap (code 0) between words, and a text starts and ends with one.
     """
-    groups = np.arange(len(texts)) if groups is None else groups
-    n_groups = int(groups.max()) + 1 if len(groups) else 0
     codes = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     codes = np.concatenate([[0], _letters()[codes], [0]]).astype(np.int32)
-    sizes = np.array([len(t) if t else 0 for t in texts]) + 1
+    sizes = np.array([len(t) if t else 0 for t in texts], dtype=np.int64) + 1
     owner = np.repeat(groups, sizes)
     owner = np.concatenate([owner[:1], owner])[: len(codes)] if len(owner) else np.zeros(len(codes), dtype=np.int64)
     keep = np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))
     codes, owner = codes[keep], owner[keep]
     alphabet, index = np.unique(codes, return_inverse=True)
     if len(codes) < N_GRAM:
-        return alphabet, np.zeros((0, N_GRAM), dtype=np.int64), np.zeros((n_groups, 0), dtype=np.float32)
+        return alphabet, np.zeros((0, N_GRAM), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     grams = np.zeros(len(codes) - N_GRAM + 1, dtype=np.int64)
     for k in range(N_GRAM):
         grams = grams * len(alphabet) + index[k : k + len(grams)]
     middle = codes[1:-1] != 0  # a gap in the middle joins words, or texts, that have nothing to do with each other
     grams, owner = grams[middle], owner[1:-1][middle]
     distinct, column = np.unique(grams, return_inverse=True)
-    counts = np.bincount(owner * len(distinct) + column, minlength=n_groups * len(distinct)).reshape(n_groups, len(distinct)).astype(np.float32)
     places = np.stack([distinct // len(alphabet) ** (N_GRAM - 1 - k) % len(alphabet) for k in range(N_GRAM)], axis=1)
-    return alphabet, places, counts
+    return alphabet, places, column, owner
+
+
+def bundles(texts: list[str | None], groups: np.ndarray | None = None, dimensions: int = DIMENSIONS, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The bundled vector of each group of texts, a text by default, and how many n-grams it has.
+
+    Counts are a matrix of so many groups at a time that it has about `cells` cells, however many short texts come together.
+    """
+    groups = np.arange(len(texts)) if groups is None else groups
+    n_groups = int(groups.max()) + 1 if len(groups) else 0
+    alphabet, places, column, owner = _grams(texts, groups)
+    vectors, found = np.zeros((n_groups, dimensions), dtype=np.float32), np.bincount(owner, minlength=n_groups)
+    if len(places) == 0:
+        return vectors, found
+    order = np.argsort(owner, kind="stable")
+    column, owner = column[order], owner[order]
+    each, n = bound(alphabet, places, dimensions), len(places)
+    step = max(1, cells // n)
+    for first in range(0, n_groups, step):
+        size = min(step, n_groups - first)
+        a, b = np.searchsorted(owner, [first, first + size])
+        counts = np.bincount((owner[a:b] - first) * n + column[a:b], minlength=size * n).reshape(size, n).astype(np.float32)
+        vectors[first : first + size] = counts @ each
+    return vectors, found
 
 
 def bound(alphabet: np.ndarray, places: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -88,8 +108,7 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
         sums: dict[str, np.ndarray] = {}
         for batch in text_slices(batches, limit=4 << 20):
             names, groups = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
-            alphabet, places, counts = ngram_counts(batch.column("text").to_pylist(), groups)
-            vectors = counts @ bound(alphabet, places, dimensions)
+            vectors, _ = bundles(batch.column("text").to_pylist(), groups, dimensions)
             for name, vector in zip(names.tolist(), vectors.astype(np.float64), strict=True):
                 sums[name] = sums[name] + vector if name in sums else vector
         if sums:
@@ -122,12 +141,11 @@ def language(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
             for part in np.split(np.arange(len(series)), np.flatnonzero(np.diff(sizes // (1 << 20))) + 1):
                 if len(part) == 0 or not names:
                     continue
-                alphabet, places, counts = ngram_counts(series.iloc[part].tolist())
-                vectors = counts @ bound(alphabet, places, len(matrix))
+                vectors, grams = bundles(series.iloc[part].tolist(), None, len(matrix))
                 length = np.linalg.norm(vectors, axis=1)
                 cosine = (vectors @ matrix) / np.where(length > 0, length, 1)[:, None]
                 best = cosine.argmax(axis=1)
-                found = counts.sum(axis=1) > 0
+                found = grams > 0
                 langs[part] = np.where(found, np.array(names, dtype=object)[best], UNDETERMINED)
                 scores[part] = np.where(found, cosine[np.arange(len(part)), best].clip(0, 1), 0)
             yield pd.DataFrame({"lang": langs, "score": scores.astype(float)})

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passledger.llm.common import cut, text_slices
+from passledger.llm.common import cut, text_slices, unused
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -169,10 +169,14 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: i
     def cut_lines(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([kept_text(t, k) for t, k in zip(text, keep, strict=True)], dtype=object)
 
-    joined = _with_bitmaps(docs, keep_bitmaps(docs, least_chars, least_docs))
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(cut_lines("text", "__keep"))
-    out = joined.withColumn("text", text)
+    narrow = docs.select("doc_id", "text")
+    doc, text_hash, mdoc, mtext, keep = unused(docs, "doc", "text", "mdoc", "mtext", "keep")
+    maps = keep_bitmaps(narrow, least_chars, least_docs).select(F.col("doc").alias(mdoc), F.col("text_hash").alias(mtext), F.col("keep").alias(keep))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), text_hash: F.xxhash64("text")})
+    out = keyed.join(maps, (F.col(doc) == F.col(mdoc)) & (F.col(text_hash) == F.col(mtext)), "left")
+    same = F.col(keep).isNull()
+    out = out.withColumn("text", F.when(same, F.col("text")).otherwise(cut_lines("text", keep)))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__keep").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
     return out.select(*docs.columns)

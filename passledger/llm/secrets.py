@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passledger.constants import LEAK_PLACEHOLDER
-from passledger.llm.common import cut
+from passledger.llm.common import cut, unused
+from passledger.operators.snapshots import may_occur
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: A secret's name and the sign that assigns (the form of constants.LEAK_ASSIGNMENT).
@@ -41,7 +42,7 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, word_pos, run_pos, value, word, lead, context, after: one row per candidate. Null texts and paths are empty."""
+    """doc_id, text_hash, path, word_pos, run_pos, value, word, lead, context, after: one row per candidate. Null texts and paths are empty."""
     words = F.col("__words")
     before = lambda i: F.concat_ws(" ", F.when(i > 1, F.get(words, i - 2)), F.when(i > 0, F.get(words, i - 1)))
     places = F.filter(
@@ -57,17 +58,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     bare = F.transform(all_of(near, BARE, 1), lambda v: F.regexp_replace(v, r"[,;.)\]}\\]+$", ""))
     return (
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
             (F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")).alias("path"), "text")
         .withColumn("__named", F.col("text").rlike(ASSIGNMENT))
         .where(F.col("__named") | F.col("text").rlike(CANDIDATE))
-        .select("doc_id", "path", "__named", F.split("text", r"[ \t\n\x0B\f\r]+").alias("__words"))
-        .select("doc_id", "path", F.explode(found).alias("w"))
-        .select("doc_id", "path", F.col("w.pos").alias("word_pos"), F.col("w.word").alias("word"), F.col("w.before").alias("before"), F.col("w.after").alias("after"))
+        .select("doc_id", "text_hash", "path", "__named", F.split("text", r"[ \t\n\x0B\f\r]+").alias("__words"))
+        .select("doc_id", "text_hash", "path", F.explode(found).alias("w"))
+        .select("doc_id", "text_hash", "path", F.col("w.pos").alias("word_pos"), F.col("w.word").alias("word"), F.col("w.before").alias("before"), F.col("w.after").alias("after"))
         .withColumn("runs", all_of(F.col("word"), f"({CANDIDATE})", 1))
         .withColumn("assigned", F.when(near.rlike(ASSIGNMENT), F.concat(all_of(near, QUOTED, 2), bare)).otherwise(F.array().cast("array<string>")))
         .withColumn("assigned", F.filter("assigned", lambda v: (F.length(v) >= 6) & ~F.array_contains("runs", v)))
-        .select("doc_id", "path", "word_pos", "word", "before", "after", F.posexplode(F.concat("runs", "assigned")).alias("run_pos", "value"))
+        .select("doc_id", "text_hash", "path", "word_pos", "word", "before", "after", F.posexplode(F.concat("runs", "assigned")).alias("run_pos", "value"))
         .withColumn("lead", F.expr("substring_index(word, value, 1)"))
         .withColumn("context", F.concat_ws(" ", "before", "lead"))
         .drop("before")
@@ -187,19 +188,33 @@ def report(docs: DataFrame) -> DataFrame:
     return findings(docs).select("doc_id", "word_pos", "run_pos", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), "score", "is_secret")
 
 
+def _whole(value: Column) -> Column:
+    """A pattern that finds the value where it does not go on as a longer run of key-like characters."""
+    run = "[A-Za-z0-9+/_-]"
+    quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.when(value.rlike(f"^{run}"), f"(?<!{run})").otherwise(""), quoted, F.when(value.rlike(f"{run}$"), f"(?!{run})").otherwise(""))
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`, with secrets in `text` replaced by a mark; n_chars follows where texts changed.
 
-    Values are taken out longest first, wherever they stand in the text. Rows that share a doc_id lose each other's secrets; rows without doc_id join as one.
+    Values are taken out longest first, wherever they stand in the text as a whole: not inside a longer run of key-like
+    characters. Each row loses its own secrets only, also where rows share a doc_id or have none. Only documents that may
+    have a secret meet the values; all others stay where they are.
     """
-    values = (
-        findings(docs).where(F.col("is_secret") & ~F.contains(F.lit(REDACTED), "value")).groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
-        .select(F.col("doc_id").alias("__doc"), F.array_sort("__values", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__values"))
+    key, may, doc, text_hash, values = unused(docs, "key", "may", "doc", "text_hash", "values")
+    longest = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
+    found = cut(
+        findings(docs).where(F.col("is_secret") & ~F.contains(F.lit(REDACTED), "value")).groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("found"))
+        .select(F.xxhash64("doc_id", "text_hash").alias(key), F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.array_sort("found", longest).alias(values))
     )
-    joined = docs.join(values, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    text = F.aggregate("__values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(REDACTED)))
-    out = joined.withColumn("text", F.when(F.col("__values").isNull(), F.col("text")).otherwise(text))
+    own = F.col("doc_id").cast("long")
+    marked = may_occur(docs.withColumn(key, F.xxhash64(own, F.xxhash64("text"))), found.select(key), key, may)
+    joined = marked.where(F.col(may)).drop(key, may).join(found.drop(key), own.eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    hit = F.col(values).isNotNull()
+    text = F.aggregate(values, F.col("text"), lambda t, v: F.regexp_replace(t, _whole(v), F.lit(REDACTED)))
+    out = joined.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return marked.where(~F.col(may)).select(*docs.columns).unionByName(out.select(*docs.columns))

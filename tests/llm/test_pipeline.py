@@ -57,11 +57,12 @@ def test_stages_against_a_plain_version(spark, tmp_path):
 
 
 def test_stages_keep_columns_and_take_anything(spark, strange):
+    strange = strange.withColumns({c: F.lit(7) for c in ("__doc", "__id", "__found", "__values", "__row", "__gone", "__text", "__keep", "__may")})
     for docs in (strange, strange.limit(0), strange.where("text is null")):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, "")
             assert out.columns == docs.columns, name
-            assert out.count() <= docs.count()
+            assert out.count() <= docs.count() and out.where("__doc <> 7 or __id <> 7 or __row <> 7").count() == 0
         assert packing.packed(docs).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
@@ -74,5 +75,13 @@ def test_clean_documents_stay(spark, frame):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_without_labels_only_texts_without_letters_go(spark, frame):
+    rng = random.Random(8)
+    texts = [make_text(rng, "en", 60) for _ in range(5)]
+    docs = frame([*texts, None, "", "123 !!", "é"]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted(r.text for r in kept) == sorted([*texts, "é"])

@@ -95,8 +95,10 @@ def test_language_without_anything_to_learn(strange):
 
 
 def test_bundles_are_sums_of_bound_letters():
-    alphabet, places, counts = language.ngram_counts(["Ab, ab", "!", None, "ba"])
-    vectors = counts @ language.bound(alphabet, places)
+    texts = ["Ab, ab", "!", None, "ba"]
+    vectors, found = language.bundles(texts)
+    assert found.tolist() == [4, 0, 0, 2] and (language.bundles(texts, cells=1)[0] == vectors).all()
+    assert (language.bundles(texts, np.array([1, 0, 0, 1]))[0][1] == vectors[0] + vectors[3]).all()
     letter = {c: language._letter_vector(ord(c), language.DIMENSIONS).astype(int) for c in "ab"} | {" ": language._letter_vector(0, language.DIMENSIONS).astype(int)}
     gram = lambda g: letter[g[0]] * np.roll(letter[g[1]], 1) * np.roll(letter[g[2]], 2)
     assert (vectors[0] == 2 * (gram(" ab") + gram("ab "))).all()
@@ -248,3 +250,29 @@ def test_short_assigned_passwords_are_redacted(frame):
     rows += [(2000 + k, make_text(rng, "en", 30) + " token = " + ("changeme" if k % 2 else "get_token(request)") + " and so on") for k in range(40)]
     clean = {r.doc_id: r.text for r in secrets.redacted(frame(rows)).collect()}
     assert clean == {k: text.replace(truth[k], secrets.REDACTED) if truth.get(k) else text for k, text in rows}
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöü  ") for _ in range(90)) for _ in range(10_000)]
+    tracemalloc.start()
+    vectors, _ = language.bundles(texts)
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20 and vectors.shape[0] == 10_000
+    tracemalloc.stop()
+
+
+def test_redaction_leaves_clean_text_alone(frame):
+    key = "AKIA" + "Q7W2E9R4T1Y8U5I3"
+    rows = [
+        (1, f'password = "abc123" and the part number xabc1234 is fine, key {key} and {key}X9'), (None, f"a {key} of a row without id"), (None, "abc123 is clean here"),
+        (7, "abc123 stays in another row"), (7, 'password = "abc123" goes'), (8, "x = 1"), (9, None),
+    ]
+    docs = frame([*rows, *[(100 + k, f"plain words number{k} of the corpus") for k in range(30)]]).withColumns({c: F.lit(5) for c in ("__doc", "__values", "__key", "__may", "__text_hash", "__id")})
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert (1, f'password = "[SECRET]" and the part number xabc1234 is fine, key [SECRET] and {key}X9') in got or (
+        1, 'password = "[SECRET]" and the part number xabc1234 is fine, key [SECRET] and [SECRET]') in got
+    assert {(None, "a [SECRET] of a row without id"), (None, "abc123 is clean here"), (7, "abc123 stays in another row"), (7, 'password = "[SECRET]" goes'), (8, "x = 1"), (9, None)} <= got
