@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passledger.llm import language, lines, minhash, packing, secrets
-from passledger.llm.common import table
+from passledger.llm.common import table, unused
 from passledger.session import ensure_checkpoint_dir
 
 #: A text of this many characters or more should look like some language: its cosine is to reach the least score.
@@ -16,10 +16,17 @@ LONG_TEXT, LEAST_SCORE = 200, 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, null texts included, go, and long ones that look like none of the languages learnt."""
-    found = docs.withColumn("__found", language.language(F.col("text"), language.learn_from_documents(docs)))
-    unlike = (F.char_length("text") >= LONG_TEXT) & (F.col("__found.score") < LEAST_SCORE)
-    return found.where((F.col("__found.lang") != language.UNDETERMINED) & ~unlike).select(*docs.columns)
+    """Documents without letters, null texts included, go, and long ones that look like none of the languages learnt.
+
+    Where no document has a language to learn from, nothing can look unlike one: only those without letters go.
+    """
+    learnt = language.learn_from_documents(docs)
+    if not learnt:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    (found,) = unused(docs, "found")
+    told = docs.withColumn(found, language.language(F.col("text"), learnt))
+    unlike = (F.char_length("text") >= LONG_TEXT) & (F.col(f"{found}.score") < LEAST_SCORE)
+    return told.where((F.col(f"{found}.lang") != language.UNDETERMINED) & ~unlike).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +39,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id all stay.
     """
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
-    kept = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1 or __id is null").select(*docs.columns)
+    ident, gone, row = unused(docs, "id", "gone", "row")
+    lost = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    named = docs.where("doc_id is not null").withColumn(ident, F.col("doc_id").cast("long"))
+    one = Window.partitionBy(ident).orderBy(F.xxhash64("text"))
+    kept = named.join(lost, F.col(ident) == F.col(gone), "left_anti").withColumn(row, F.row_number().over(one)).where(F.col(row) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
