@@ -32,27 +32,34 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tokens: int = 1024, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: documents as ids and `end_id`; those over `tokens` are cut, a short piece first."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tokens: int = 1024, with_ids: bool = False, forget: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: documents as ids and `end_id`; those over `tokens` are cut, a short piece first.
+
+    With `forget` a worker gives its chunk tables back at the end of a task, for jobs whose other stages need the memory.
+    """
     tokenizer = tokenizer or default_tokenizer()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
-        for batch in text_slices(batches, limit=8 << 20):
-            out: list[tuple] = []
-            kept: list[np.ndarray] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode_all(batch.column("text")), strict=True):
-                ids = np.append(ids, end)
-                cuts = [0, *range(len(ids) % tokens or tokens, len(ids) + 1, tokens)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    out.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                    if with_ids:
-                        kept.append(ids[a:b].astype(np.int64))
-            columns = [pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)]
-            if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
+        try:
+            for batch in text_slices(batches, limit=8 << 20):
+                out: list[tuple] = []
+                kept: list[np.ndarray] = []
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode_all(batch.column("text")), strict=True):
+                    ids = np.append(ids, end)
+                    cuts = [0, *range(len(ids) % tokens or tokens, len(ids) + 1, tokens)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        out.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                        if with_ids:
+                            kept.append(ids[a:b].astype(np.int64))
+                columns = [pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)]
+                if with_ids:
+                    columns.append(pa.array(kept, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
+        finally:
+            if forget:
+                encoder(tokenizer).forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, schema)
@@ -133,7 +140,7 @@ def pack(cut_pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     return ranked.select(*cut_pieces.columns, "__rank").mapInArrow(place, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: Capacity = Capacity()) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: Capacity = Capacity(), forget: bool = False) -> DataFrame:
     """Pieces of all documents with their places. Null texts count as empty (the end id alone); an empty table gives no rows;
     repeated rows are packed as often as they occur."""
-    return pack(cut(pieces(docs, tokenizer, end_id, capacity.tokens)), capacity)
+    return pack(cut(pieces(docs, tokenizer, end_id, capacity.tokens, forget=forget)), capacity)

@@ -11,11 +11,13 @@ import os
 from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_ID = attrgetter("id")
 #: A space before white space (every kind that any of the libraries knows) or at the end.
 _LOOSE = r" (?:[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
@@ -79,13 +81,17 @@ class ChunkEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunks, self.words = Memory(limit), Memory(limit)
 
+    def forget(self) -> None:
+        """Give the tables back; the next call starts new ones."""
+        self.chunks, self.words = Memory(self.chunks.limit), Memory(self.words.limit)
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token."""
         shown = word.replace(" ", "Ġ") if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array("I", map(_ID, self.model.tokenize(shown))).tobytes()
 
     def _text(self, text: str) -> bytes:
         return b"".join([self.words.one(w, self._word) for w in self.pretokens(text)])
@@ -120,18 +126,19 @@ class ChunkEncoder:
         lists = pc.split_pattern(texts.take(pa.array(tight)), " ")
         first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False).copy()  # 32-bit numbers, as all the places below: a call has far fewer ids
         heads = pc.list_element(lists, 0).to_pylist()
         distinct = self.chunks.all(coded.dictionary.to_pylist(), lambda new: map(self._chunk, new))
         starts = list(map(self._text, heads))
         self.words.turn()
         table = np.frombuffer(b"".join(distinct + starts), dtype="<u4")
-        sizes = np.fromiter((len(x) // 4 for x in distinct + starts), dtype=np.int64, count=len(distinct) + len(starts))
-        at = np.cumsum(sizes) - sizes
+        sizes = np.fromiter((len(x) // 4 for x in distinct + starts), dtype=np.int32, count=len(distinct) + len(starts))
+        at = np.cumsum(sizes, dtype=np.int32) - sizes
         index[first] = len(distinct) + np.arange(len(starts))
         n = sizes[index]
-        ends = np.cumsum(n)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[index] - (ends - n), n)
+        ends = np.cumsum(n, dtype=np.int32)
+        places = np.repeat(at[index] - (ends - n), n)
+        places += np.arange(len(places), dtype=np.int32)
         ids = table[places]
         bounds = np.append(ends - n, ends[-1])[np.append(first, len(index))]
         for j, k in enumerate(tight.tolist()):
