@@ -54,7 +54,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.packed(docs)
+    return packing.packed(docs, forget=True)
 
 
 STAGES = [
