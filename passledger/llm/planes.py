@@ -5,9 +5,10 @@ bit k of all its ids, packed eight to a byte, and is compressed by itself with z
 ids are mostly zero and shrink to almost nothing. The file ends in an index: where each block starts, how many ids it
 holds and how long each of its planes is, and the id and length of each document.
 
-Layout, little-endian: magic `PLBP0001`; the planes of all blocks; the index (a zstandard frame of int64 values: blocks,
-documents, then per block offset, ids, planes and each plane's length, then all document ids, then all lengths); the
-index's offset and length (two int64); the magic again.
+Layout, little-endian: magic `PLBP0002`; the planes of all blocks; the index (a zstandard frame of int64 values: blocks,
+documents, documents without id, then per block offset, ids, planes and each plane's length, then all document ids, then
+all lengths); the index's offset and length (two int64); the magic again. Documents without id come first; 0 stands in
+their place.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from passledger.llm.common import cut, text_slices
 from passledger.llm.tokens import default_tokenizer, encoder
 from passledger.session import ensure_checkpoint_dir
 
-MAGIC = b"PLBP0001"
+MAGIC = b"PLBP0002"
 BLOCK = 1 << 16
 
 
@@ -46,7 +47,11 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(columns.T).reshape(-1).view("<u4")
 
 
-def file_bytes(doc_ids: list[int], documents: list[np.ndarray], block: int = BLOCK) -> bytes:
+def file_bytes(doc_ids: list[int | None], documents: list[np.ndarray], block: int = BLOCK) -> bytes:
+    """The file of some documents, in the order given; those without id must come first."""
+    nameless = sum(d is None for d in doc_ids)
+    if any(d is None for d in doc_ids[nameless:]):
+        raise ValueError("documents without id come first")
     ids = np.concatenate(documents) if documents else np.zeros(0, dtype="<u4")
     body, index, at = [MAGIC], [], len(MAGIC)
     for k in range(0, len(ids), block):
@@ -56,24 +61,24 @@ def file_bytes(doc_ids: list[int], documents: list[np.ndarray], block: int = BLO
         body += planes
         at += sum(map(len, planes))
     blocks = -(-len(ids) // block)
-    values = np.array([blocks, len(doc_ids), *index, *doc_ids, *map(len, documents)], dtype="<i8")
+    values = np.array([blocks, len(doc_ids), nameless, *index, *[0] * nameless, *doc_ids[nameless:], *map(len, documents)], dtype="<i8")
     tail = zstandard.ZstdCompressor().compress(values.tobytes())
     return b"".join([*body, tail, np.array([at, len(tail)], dtype="<i8").tobytes(), MAGIC])
 
 
-def read_file(content: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(document id, ids) in file order. Blocks are opened as the documents reach them."""
+def read_file(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(document id or None, ids) in file order. Blocks are opened as the documents reach them."""
     if content[: len(MAGIC)] != MAGIC or content[-len(MAGIC) :] != MAGIC:
         raise ValueError("not a bit-plane file")
     at, size = np.frombuffer(content[-len(MAGIC) - 16 : -len(MAGIC)], dtype="<i8").tolist()
     values = np.frombuffer(zstandard.ZstdDecompressor().decompress(content[at : at + size]), dtype="<i8").tolist()
-    blocks, docs, p = values[0], values[1], 2
+    blocks, docs, nameless, p = *values[:3], 3
     index = []
     for _ in range(blocks):
         offset, n, width = values[p : p + 3]
         index.append((offset, n, values[p + 3 : p + 3 + width]))
         p += 3 + width
-    doc_ids, lengths = values[p : p + docs], values[p + docs : p + 2 * docs]
+    doc_ids, lengths = [None] * nameless + values[p + nameless : p + docs], values[p + docs : p + 2 * docs]
     held, k = np.zeros(0, dtype="<u4"), 0
     for doc, n in zip(doc_ids, lengths, strict=True):
         parts, have = [held], len(held)
@@ -102,8 +107,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     Documents are range-partitioned and sorted by doc_id; each task writes its range, a new file after about `file_ids`
     ids, so a task holds one file. Returns the stored manifest: part, seq, file, docs, ids. A task that runs again writes
-    files under other names, and only those that the manifest names are read. Null doc_ids are refused. Repeated rows are
-    written as often as they occur.
+    files under other names, and only those that the manifest names are read. Documents without doc_id come before all
+    others and are spread by a hash of their text; rows of one doc_id follow each other by text. Repeated rows are written
+    as often as they occur.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -111,7 +117,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
 
@@ -138,14 +144,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             yield flush()
 
     dealt = (
-        docs.select(F.expr("coalesce(doc_id, raise_error('doc_id is null'))").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .repartitionByRange("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).sortWithinPartitions("doc_id", "text")
     )
     return cut(dealt.mapInArrow(write, "part long, seq long, file string, docs long, ids long"))
 
 
 def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and the ids themselves if asked for."""
+    """doc_id (null where it was null), start (ids of all documents before it), n_tokens, ids_crc32, and the ids themselves if asked for."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")

@@ -46,6 +46,15 @@ def test_file_round_trip_across_blocks():
         list(planes.read_file(b"PLBP0001 and nothing that ends it"))
 
 
+def test_documents_without_id_come_first_in_a_file():
+    docs = [np.arange(n, dtype="<u4") for n in (3, 0, 5)]
+    back = list(planes.read_file(planes.file_bytes([None, None, -4], docs)))
+    assert [d for d, _ in back] == [None, None, -4]
+    assert all((a == b).all() for (_, a), b in zip(back, docs, strict=True))
+    with pytest.raises(ValueError, match="first"):
+        planes.file_bytes([1, None], docs[:2])
+
+
 def expected_ids(library, docs):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: r[0])
     return [(d, np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")) for d, t in rows]
@@ -61,6 +70,24 @@ def test_token_files(library, strange):
     assert planes.token_files(strange.limit(0)).count() == 0
 
 
+def test_token_files_of_rows_without_doc_id(library, spark, frame):
+    """They come first, whole and as often as they occur; a third of all rows may be such."""
+    texts = [f"nameless {k % 40} text" for k in range(60)] + [None, None]
+    rows = [(None, t) for t in texts] + [(k, f"text of {k}") for k in range(-3, 120)] + [(7, "another text of 7"), (7, None)]
+    got = sorted(planes.token_files(frame(rows).repartition(5)).collect(), key=lambda r: (r.start, r.n_tokens))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in got]
+    assert ids[: len(texts)] == [None] * len(texts) and ids[len(texts):] == sorted(d for d, _ in rows if d is not None)
+    coded = [(d, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")) for d, t in rows]
+    want = sorted((d is not None, d or 0, len(x), zlib.crc32(x.tobytes())) for d, x in coded)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert sorted(r.ids_crc32 for r in planes.token_files(frame([(None, "a"), (None, None)])).collect()) == sorted(
+        zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for t in ("a", ""))
+
+
 def test_packing_places_every_token_once(library, strange):
     rows = packing.packed(strange).collect()
     ids = expected_ids(library, strange)
