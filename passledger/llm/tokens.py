@@ -128,11 +128,12 @@ class ChunkEncoder:
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).copy()  # 32-bit numbers, as all the places below: a call has far fewer ids
         heads = pc.list_element(lists, 0).to_pylist()
-        distinct = self.chunks.all(coded.dictionary.to_pylist(), lambda new: map(self._chunk, new))
+        distinct = self.chunks.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda new: map(self._chunk, new))
         starts = list(map(self._text, heads))
         self.words.turn()
-        table = np.frombuffer(b"".join(distinct + starts), dtype="<u4")
-        sizes = np.fromiter((len(x) // 4 for x in distinct + starts), dtype=np.int32, count=len(distinct) + len(starts))
+        coded_all = distinct + starts
+        table = np.frombuffer(b"".join(coded_all), dtype="<u4")
+        sizes = np.fromiter(map(len, coded_all), dtype=np.int32, count=len(coded_all)) // 4
         at = np.cumsum(sizes, dtype=np.int32) - sizes
         index[first] = len(distinct) + np.arange(len(starts))
         n = sizes[index]
