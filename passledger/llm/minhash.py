@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passledger.llm.common import components, cut, text_slices
@@ -243,21 +243,37 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def _first_look(classes: DataFrame) -> DataFrame:
-    """kind 0: candidate pairs (a, b); kind 1: members (a) of keys (b) that many share."""
+    """kind 0: candidate pairs (a, b); kind 1: members (a) of keys (b) that many share.
+
+    Most keys are alone, so keys travel by themselves first; only those that occur again are given sizes and signatures.
+    """
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        return np.ascontiguousarray(_sig_rows(batch.column("sig"))[:, : 2 * PLACES]).view("<u2")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                sig = np.ascontiguousarray(_sig_rows(batch.column("sig"))[:, : 2 * PLACES]).view("<u2")
-                small = [x.tobytes() for x in _nibbles(sig)]
-                found = chunk_keys(sig)
-                each = found.shape[1]
-                take = pa.array(np.repeat(np.arange(len(sig)), each))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.ravel()), batch.column("rep").take(take), batch.column("n_shingles").cast(pa.int32()).take(take), pa.array(small, pa.binary()).take(take)], ["key", "rep", "n", "sig"])
+                found = chunk_keys(places(batch))
+                take = pa.array(np.repeat(np.arange(len(found)), found.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch.column("rep").take(take)], ["key", "rep"])
 
-    keyed = classes.where("n_shingles > 0").select("rep", "n_shingles", "sig").mapInArrow(keys, "key long, rep long, n int, sig binary")
+    def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                small = pa.array([x.tobytes() for x in _nibbles(places(batch))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n_shingles").cast(pa.int32()), small], ["rep", "n", "sig"])
+
+    full = classes.where("n_shingles > 0").select("rep", "n_shingles", "sig")
+    along = Window.partitionBy("key").orderBy("rep")
+    shared = cut(
+        full.select("rep", "sig").mapInArrow(keys, "key long, rep long")
+        .select("key", "rep", (F.lag("rep").over(along).isNotNull() | F.lead("rep").over(along).isNotNull()).alias("again"))
+        .where("again").drop("again")
+    )
+    briefly = may_occur(full, shared, "rep", "asked").where("asked").drop("asked").mapInArrow(brief, "rep long, n int, sig binary")
+    keyed = shared.join(briefly, "rep").select("key", "rep", "n", "sig")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, last, first = _Run(), None, None
@@ -485,11 +501,13 @@ def near_duplicates(docs: DataFrame, block_rows: int = 512) -> DataFrame:
     ends = cut(components(links))
     members = found.where("kind = 1")
     if not members.isEmpty():
-        likely = cut(_second_look(members, classes, ends, block_rows, 2).join(pairs, ["a", "b"], "left_anti"))
+        crowd = members.select(F.col("a").alias("rep"))
+        crowd = cut(may_occur(classes, crowd, "rep", "asked").where("asked").drop("asked"))  # signatures of the others stay where they are
+        likely = cut(_second_look(members, crowd, ends, block_rows, 2).join(pairs, ["a", "b"], "left_anti"))
         if not likely.isEmpty():
             links = cut(links.unionByName(confirmed(likely, classes, docs)))
             ends = cut(components(links))
-        rest = cut(_second_look(members, classes, ends, block_rows, None))
+        rest = cut(_second_look(members, crowd, ends, block_rows, None))
         if not rest.isEmpty():
             ends = cut(components(links.unionByName(_linked_blocks(rest, classes, docs))))
     by_class = (
