@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from passledger import constants as C
 from passledger import functions as fn
-from passledger.session import cut
+from passledger.session import by_key, cut
 
 
 def near_flag(loci: DataFrame, hits: DataFrame, window: int, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def _pairs(slots: DataFrame, candidates: DataFrame, scope: list[str], window: in
         *scope, "path", "family", "slot", F.col("line").alias("slot_line"),
         F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.col("line") / width))).alias("b"),
     )
-    joined = wanted.join(options, scope + ["path", "family", "b"])
+    joined = wanted.join(by_key(options), scope + ["path", "family", "b"])
     return joined.withColumn("distance", F.abs(F.col("c_line") - F.col("slot_line"))).filter(F.col("distance") <= window).drop("b")
 
 
@@ -64,7 +64,7 @@ def _with_islands(pairs: DataFrame, scope: list[str]) -> DataFrame:
     upto = Window.partitionBy(*scope, "path").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
     starts = spans.withColumn("_s", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("int"))
     islands = starts.withColumn("island", F.sum("_s").over(upto)).select(*scope, "path", "lo", "island")
-    return pairs.withColumn("lo", F.least("slot_line", "c_line")).join(islands, scope + ["path", "lo"]).drop("lo")
+    return pairs.withColumn("lo", F.least("slot_line", "c_line")).join(by_key(islands), scope + ["path", "lo"]).drop("lo")
 
 
 SALTS = 32
@@ -81,10 +81,10 @@ def _slot_pairs(slots: DataFrame, candidates: DataFrame, scope: list[str], windo
     loci = slots.select(*locus).distinct().withColumn("slot", F.lit(0))
     options = cut(_pairs(loci, candidates, scope, window).drop("slot").withColumnRenamed("slot_line", "line"))
     bounds = options.groupBy(*locus).agg(F.count("*").alias("_most"))
-    ranked = slots.select(*locus, "slot").join(bounds, locus).withColumn("_salt", F.pmod(F.xxhash64("slot"), F.lit(SALTS)))
+    ranked = slots.select(*locus, "slot").join(by_key(bounds), locus).withColumn("_salt", F.pmod(F.xxhash64("slot"), F.lit(SALTS)))
     for keys in ([*locus, "_salt"], locus):
         ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("slot"))).filter(F.col("_r") <= F.col("_most"))
-    return ranked.select(*locus, "slot").join(options, locus).withColumnRenamed("line", "slot_line").drop("family")
+    return ranked.select(*locus, "slot").join(by_key(options), locus).withColumnRenamed("line", "slot_line").drop("family")
 
 
 def match_slots(
@@ -119,7 +119,7 @@ def match_slots(
     matches = ordered.mapInArrow(run, ordered.schema).select(
         *scope, "slot", F.col("candidate_id").alias("matched_id"), F.col("distance").alias("line_distance")
     )
-    return slots.join(matches, scope + ["slot"], "left").withColumn("found", F.col("matched_id").isNotNull())
+    return slots.join(by_key(matches), scope + ["slot"], "left").withColumn("found", F.col("matched_id").isNotNull())
 
 
 def diagnose_misses(
@@ -135,16 +135,16 @@ def diagnose_misses(
     width = radius + 1
     reach = per_line.withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.col("o_line") / width))))
     sibling = (
-        missed.withColumn("b", F.floor(F.col("line") / width)).join(reach, ["path", "family", "b"])
+        missed.withColumn("b", F.floor(F.col("line") / width)).join(by_key(reach), ["path", "family", "b"])
         .filter((F.abs(F.col("o_line") - F.col("line")) <= radius) & (F.col("o_slot") != F.col("slot")))
         .groupBy("slot").agg(F.min("o_slot").alias("shadowed_by"))
     )
     claimed = scored.filter("found").select(F.col("matched_id").alias("candidate_id")).distinct().withColumn("_c", F.lit(True))
     nearby = (
-        _pairs(missed, candidates, [], window).join(claimed, "candidate_id", "left")
+        _pairs(missed, candidates, [], window).join(by_key(claimed), "candidate_id", "left")
         .groupBy("slot").agg(F.min(F.coalesce("_c", F.lit(False))).alias("all_claimed"))
     )
-    return missed.select("slot").join(sibling, "slot", "left").join(nearby, "slot", "left").select(
+    return missed.select("slot").join(by_key(sibling), "slot", "left").join(by_key(nearby), "slot", "left").select(
         "slot",
         F.when(F.col("shadowed_by").isNotNull(), "fold-shadow")
         .when(F.coalesce("all_claimed", F.lit(False)), "claim-shadow").otherwise("cold-miss").alias("mechanism"),
@@ -159,7 +159,7 @@ def mislabelled(scored: DataFrame, candidates: DataFrame, window: int = C.MATCH_
     spread = per_line.withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.col("c_line") / width))))
     missed = scored.filter("historical AND NOT found").withColumn("b", F.floor(F.col("line") / width))
     return (
-        missed.join(spread, ["path", "b"]).filter(F.abs(F.col("c_line") - F.col("line")) <= window)
+        missed.join(by_key(spread), ["path", "b"]).filter(F.abs(F.col("c_line") - F.col("line")) <= window)
         .groupBy("slot", "family").agg(F.min_by("candidate_id", F.struct("c_line", "candidate_id")).alias("refound_as"))
     )
 
