@@ -130,7 +130,9 @@ def anchor_rows(docs: DataFrame, window: int = 35) -> DataFrame:
 
 
 def _judge(stretch: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Decided anchors (doc, place, kind) of sorted rows, and the rows of the keys at the edges, which other stretches may have."""
+    """Decided anchors (doc, place, kind) of sorted rows, and what other stretches may add to: of the keys at the edges the
+    first row of each context, with the number of its rows. Rows after the first have an equal one before them, whatever follows.
+    """
     h, context = stretch["h"].to_numpy(), stretch["context"].to_numpy()
     new_h = np.append(True, h[1:] != h[:-1])
     new_c = new_h | np.append(True, context[1:] != context[:-1])
@@ -139,8 +141,9 @@ def _judge(stretch: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     loose = (np.bincount(key, weights=same == 1) > 0)[key]
     edge = (key == 0) | (key == key[-1])
     kind = np.select([many == 1, same == 1, new_c & loose], [0, SHARED, WITNESS], REPEATED)
-    kept = ~edge & (kind > 0)
-    return stretch.loc[kept, ["doc", "place"]].assign(kind=kind[kept].astype(np.int32)), stretch[edge]
+    kind[edge & ~new_c] = REPEATED
+    kept, late = (kind > 0) & ~(edge & new_c), edge & new_c
+    return stretch.loc[kept, ["doc", "place"]].assign(kind=kind[kept].astype(np.int32)), stretch[late].assign(same=same[late])
 
 
 def anchor_marks(rows: DataFrame, stretch_rows: int = 400_000) -> DataFrame:
@@ -149,7 +152,7 @@ def anchor_marks(rows: DataFrame, stretch_rows: int = 400_000) -> DataFrame:
     kind 1: in other contexts only; 2: with the same context; 3: like 2, and it answers for its context where the anchor
     also has rows of kind 1.
     """
-    schema = "h long, context long, doc long, place long, kind int"
+    schema = "h long, context long, doc long, place long, kind int, same long"
     order = ["h", "context", "doc", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +161,9 @@ def anchor_marks(rows: DataFrame, stretch_rows: int = 400_000) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             decided, edge = _judge(pa.Table.from_batches(held).to_pandas())
-            for frame in (decided.assign(h=0, context=0), edge.assign(kind=np.int32(0))):
+            for frame in (decided.assign(h=0, context=0, same=0), edge.assign(kind=np.int32(0))):
                 if len(frame):
-                    yield pa.RecordBatch.from_pandas(frame[[*order, "kind"]], preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(frame[[*order, "kind", "same"]], preserve_index=False)
 
         for batch in batches:
             if batch.num_rows:
@@ -174,12 +177,12 @@ def anchor_marks(rows: DataFrame, stretch_rows: int = 400_000) -> DataFrame:
 
     found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
     late = found.where("kind = 0").drop("kind")
-    by_context = cut(late.groupBy("h", "context").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("doc", "place")).alias("first")))
+    by_context = cut(late.groupBy("h", "context").agg(F.sum("same").alias("same"), F.min(F.struct("doc", "place")).alias("first")))
     by_key = by_context.groupBy("h").agg(F.sum("same").alias("many"), F.max(F.col("same") == 1).alias("loose")).where("many > 1")
     verdicts = cut(by_context.join(by_key, "h"))
     answers = (F.col("first.doc") == F.col("doc")) & (F.col("first.place") == F.col("place")) & F.col("loose")
     kind = F.when(F.col("same") == 1, SHARED).when(answers, WITNESS).otherwise(REPEATED)
-    settled = late.join(verdicts, ["h", "context"]).select("doc", "place", kind.cast("int").alias("kind"))
+    settled = late.drop("same").join(verdicts, ["h", "context"]).select("doc", "place", kind.cast("int").alias("kind"))
     return found.where("kind > 0").select("doc", "place", "kind").unionByName(settled)
 
 

@@ -96,3 +96,13 @@ def test_rows_grow_with_the_group_and_not_its_square(frame):
         return marks.count()
 
     assert made(200) < 2.2 * made(100)
+
+
+def test_copies_at_the_edge_of_a_stretch_send_one_row():
+    """Of a key that other stretches may hold, each context sends its first row and a count, however many rows it has."""
+    import pandas as pd
+
+    stretch = pd.DataFrame({"h": 1, "context": [5] * 1000 + [6], "doc": range(1001), "place": 0})
+    decided, late = passages._judge(stretch)
+    assert late[["context", "doc", "same"]].values.tolist() == [[5, 0, 1000], [6, 1000, 1]]
+    assert len(decided) == 999 and (decided.kind == passages.REPEATED).all()
