@@ -12,23 +12,27 @@ from passledger.catalog.history import SLOTS, STATES, _modes, _placed, _rows
 from passledger.catalog.ledger import WALK
 from passledger.operators import convergence as cv
 from passledger.operators import history as hist
+from passledger.session import cut
 from passledger.streaming import jobs
 from passledger.views import view
 
 
 ROWS_PER_FILE = 200_000
+#: Below this many rows a delivery gains nothing from a file per core.
+ROWS_FOR_A_CORE = 1_000
 
 
 def arriving(df: DataFrame, by: str, parts: int = 3, files: int = 4) -> DataFrame:
     """The rows of ``df`` as a stream of ``parts`` deliveries in ``by`` order (a bigint column).
 
-    Deliveries are written one after the other, in at least ``files`` files each and more with more rows; a trigger takes
-    as many files as one delivery has.
+    Rows are computed once and stored; deliveries are written from there one after the other, in at least ``files`` files
+    each, one per core and more with more rows; a trigger takes as many files as one delivery has.
     """
     spark: SparkSession = df.sparkSession
     place = jobs.fresh_dir(spark, "arriving")
+    df = cut(df)
     seen = df.agg(F.coalesce(F.max(by), F.lit(0)).alias("top"), F.count("*").alias("n")).first()
-    files = max(files, -(-seen.n // (parts * ROWS_PER_FILE)))
+    files = max(files, min(spark.sparkContext.defaultParallelism, -(-seen.n // ROWS_FOR_A_CORE)), -(-seen.n // (parts * ROWS_PER_FILE)))
     dealt = df.withColumn("_delivery", F.floor(F.col(by) * parts / (F.lit(seen.top) + 1)))
     for i in range(parts):
         dealt.filter(F.col("_delivery") == i).select(*df.columns).repartition(files).write.mode("append").parquet(place)
