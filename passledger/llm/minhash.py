@@ -314,9 +314,9 @@ def _first_look(classes: DataFrame) -> DataFrame:
 def _second_look(members: DataFrame, classes: DataFrame, ends: DataFrame, block_rows: int, best: int | None) -> DataFrame:
     """Candidates between different components, of the keys that many share and that are not all one component.
 
-    With `best`, pairs (a, b): as many partners for each member, other component and block, the likeliest. Without, a row
-    (key, low, high, rep, partners) for each member of a pair of blocks, so that no row is made per pair. A pair counts in
-    the first key that it shares.
+    A row (key, low, high, rep, partners) for each member of a pair of blocks, so that no row is made per pair. With `best`,
+    the partners are as many for each member and other component, the likeliest; without, all. A pair counts in the first key
+    that it shares.
     """
     placed = members.select(F.col("b").alias("key"), F.col("a").alias("rep")).join(ends.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     placed = cut(placed)
@@ -366,10 +366,7 @@ def _second_look(members: DataFrame, classes: DataFrame, ends: DataFrame, block_
                 all_i.append(i)
                 all_j.append(j)
             i, j = np.concatenate(all_i), np.concatenate(all_j)
-            if len(i) and best is not None:
-                a, b = rep[i], rep[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            elif len(i):
+            if len(i):
                 order = np.argsort(i, kind="stable")
                 there = np.unique(np.concatenate([i, j]))
                 ends_ = np.searchsorted(i[order], there, side="right")
@@ -390,8 +387,6 @@ def _second_look(members: DataFrame, classes: DataFrame, ends: DataFrame, block_
             yield from done()
 
     placed_blocks = dealt.repartition(*group).sortWithinPartitions(*group, "rep")
-    if best is not None:
-        return placed_blocks.mapInArrow(pair, "a long, b long").distinct()
     return placed_blocks.mapInArrow(pair, "key long, low long, high long, rep long, partners array<long>")
 
 
@@ -503,9 +498,9 @@ def near_duplicates(docs: DataFrame, block_rows: int = 512) -> DataFrame:
     if not members.isEmpty():
         crowd = members.select(F.col("a").alias("rep"))
         crowd = cut(may_occur(classes, crowd, "rep", "asked").where("asked").drop("asked"))  # signatures of the others stay where they are
-        likely = cut(_second_look(members, crowd, ends, block_rows, 2).join(pairs, ["a", "b"], "left_anti"))
+        likely = cut(_second_look(members, crowd, ends, block_rows, 2))
         if not likely.isEmpty():
-            links = cut(links.unionByName(confirmed(likely, classes, docs)))
+            links = cut(links.unionByName(_linked_blocks(likely, classes, docs)))
             ends = cut(components(links))
         rest = cut(_second_look(members, crowd, ends, block_rows, None))
         if not rest.isEmpty():

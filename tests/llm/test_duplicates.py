@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -255,3 +256,19 @@ def test_candidate_rows_are_linear_in_a_group(spark):
 
     small, large = candidates(250), candidates(500)
     assert large < 2.5 * small and large < 500 * 160
+
+
+def test_second_look_makes_a_row_per_member_not_per_pair(spark):
+    """Near texts that are all apart: the likeliest partners of a member are listed in its row, however many components there are."""
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(vocabulary) if rng.random() < 0.02 else w for w in base)) for k in range(60)]
+    classes = minhash.described(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc_id", "rep").cache()
+    keys = {r.rep: minhash.chunk_keys(np.frombuffer(bytes(r.sig)[: 2 * minhash.PLACES], "<u2")[None])[0].tolist() for r in classes.select("rep", "sig").collect()}
+    key = Counter(k for found in keys.values() for k in set(found)).most_common(1)[0][0]
+    sharing = [rep for rep, found in keys.items() if key in found]
+    members = spark.createDataFrame([(rep, key) for rep in sharing], "a long, b long")
+    found = minhash._second_look(members, classes, spark.createDataFrame([], "id long, component_id long"), 512, 2).collect()
+    assert len(sharing) > 8 and sorted({r.rep for r in found}) == sorted(r.rep for r in found)
+    assert len(found) <= len(sharing) < sum(len(r.partners or ()) for r in found)
