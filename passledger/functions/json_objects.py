@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passledger.functions.scalars import split_lines
+from passledger.functions.scalars import _let, any_of, split_lines
+from passledger.session import by_key, cut
 
 #: Characters of a basis that are kept.
 BASIS_CHARS = 400
@@ -33,7 +34,7 @@ def json_objects(texts: DataFrame, key: list[str], text: str = "text") -> DataFr
     spans = ends.groupBy(*key, "_n").agg(F.min("_at").alias("_from"), F.max(F.when(F.col("_closes"), F.col("_at"))).alias("_to")).filter("_to IS NOT NULL")
     listed = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_n", "_from", "_to"))).alias("_spans"))
     cut_out = F.transform("_spans", lambda s, i: F.struct(i.alias("ord"), F.col(text).substr(s["_from"].cast("int"), (s["_to"] - s["_from"] + 1).cast("int")).alias("object")))
-    return texts.select(*key, text).join(listed, key).select(*key, F.inline(cut_out))
+    return texts.select(*key, text).join(by_key(listed), key).select(*key, F.inline(cut_out))
 
 
 def extract_verdicts(
@@ -43,23 +44,34 @@ def extract_verdicts(
     """(key, verdict, basis): first object of the response that names this key and an allowed verdict.
 
     Lines come first, then the whole text, then a brace scan; basis is cut to ``basis_chars``. No match leaves null.
-    Only responses that lines and whole texts leave open are scanned for braces.
+    Responses are read once and stored. Only those that lines and whole texts leave open, and whose text holds what every
+    match holds, are scanned for braces.
     """
 
     def verdict_of(doc):
-        v = F.try_parse_json(doc)
-        ok = (F.try_variant_get(v, f"$.{key}", "string") == F.col(key).cast("string")) & F.try_variant_get(v, f"$.{field}", "string").isin(*allowed)
-        basis = F.substring(F.coalesce(F.try_variant_get(v, "$.basis", "string"), F.lit("")), 1, basis_chars)
-        return F.when(ok, F.struct(F.try_variant_get(v, f"$.{field}", "string").alias("verdict"), basis.alias("basis")))
+        def read(v):
+            verdict = F.try_variant_get(v, f"$.{field}", "string")
+            ok = (F.try_variant_get(v, f"$.{key}", "string") == F.col(key).cast("string")) & verdict.isin(*allowed)
+            basis = F.substring(F.coalesce(F.try_variant_get(v, "$.basis", "string"), F.lit("")), 1, basis_chars)
+            return F.when(ok, F.struct(verdict.alias("verdict"), basis.alias("basis")))
+
+        return _let(F.try_parse_json(doc), read)  # parsed once
 
     lines = F.filter(F.transform(split_lines(text), lambda s: F.trim(s)), lambda s: s.startswith("{"))
     by_line = F.try_element_at(F.array_compact(F.transform(lines, verdict_of)), F.lit(1))
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    quick = responses.withColumn("_v", F.coalesce(by_line, verdict_of(trimmed)))
+    told = F.coalesce(by_line, verdict_of(trimmed))
+    quick = cut(responses.select(key, text, told.alias("_v")).withColumn(text, F.when(F.col("_v").isNull(), F.col(text))))
     done = quick.filter("_v IS NOT NULL").select(key, "_v.verdict", "_v.basis")
-    open_rows = quick.filter("_v IS NULL").groupBy(key, F.xxhash64(text).alias("_h")).agg(F.first(text).alias(text))
+    open_rows = quick.filter("_v IS NULL")
     keys = open_rows.select(key).distinct()
-    spans = json_objects(open_rows.filter(F.col(key).isNotNull()), [key, "_h"], text)
+    # both names, and the verdict if it is a word, are in the text of a match as they are unless escaped
+    held = F.col(text).contains(key) & F.col(text).contains(field)
+    if all(word.isalpha() for word in allowed):
+        held &= any_of([F.col(text).contains(word) for word in allowed])
+    may = F.col(text).contains("{") & F.col(text).contains("}") & (held | F.col(text).contains("\\"))
+    asked = open_rows.filter(F.col(key).isNotNull() & may).groupBy(key, F.xxhash64(text).alias("_h")).agg(F.first(text).alias(text))
+    spans = json_objects(asked, [key, "_h"], text)
     scanned = (
         spans.withColumn("_v", verdict_of(F.col("object"))).filter("_v IS NOT NULL").groupBy(key).agg(F.min_by("_v", F.struct("ord", "_h")).alias("_v"))
         .join(keys.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "right").withColumn(key, F.col("_key"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passledger.catalog import reports, scalars, streams
 from passledger.functions import split_lines
+from passledger.functions.json_objects import extract_verdicts
 from passledger.operators import fold as fold_module
 from passledger.operators import history as hist
 from passledger.operators import ranking as rk
@@ -110,3 +111,15 @@ def test_masked_documents_are_dealt_by_size_and_bound_without_nested_elements(sp
     assert "element_at" not in plan
     got = df.agg(*(F.sum(c) for c in ("email", "ssn", "assignment", "aws", "bearer"))).first()
     assert tuple(got) == (20, 20, 4, 2, 2)
+
+
+def test_responses_are_read_once(spark):
+    """Lines, whole texts, scans and keys come from one reading; escaped names are scanned as well."""
+    escaped = 'so {"candidate_\\u0069d":"4","clean_verdict":"PRESEN\\u0054","basis":"e"} done'
+    texts = ['x\n{"candidate_id":"0","clean_verdict":"PRESENT","basis":"l"}', '{\n"candidate_id":"1", "clean_verdict":"ABSENT"\n}',
+             'so {no} {"candidate_id":"2","clean_verdict":"PRESENT","basis":"s"} done', "nothing } at all {", escaped, None]
+    rows, calls = counted(spark, spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "candidate_id string, text string"), "candidate_id")
+    got = sorted(tuple(r) for r in extract_verdicts(rows).collect())
+    none = (None, "no parseable verdict")
+    assert got == [("0", "PRESENT", "l"), ("1", "ABSENT", ""), ("2", "PRESENT", "s"), ("3", *none), ("4", "PRESENT", "e"), ("5", *none)]
+    assert calls.value == 6
