@@ -8,10 +8,11 @@ may be wrong, by its other four places: all pairs within distance 31 meet. At si
 Equal sets are taken together first. Where a key is shared by a few, all close pairs are candidates; where many share it,
 representatives are chosen so that each member is close to one, and a member is paired with one of them only. After
 these pairs are confirmed on the full sets, keys whose members are still not all connected are gone through again, block
-by block, for the pairs between different components: first each member's likeliest partners in each other component, then,
-where these did not connect them, all others. This look also has a sketch of 256 bins, which keeps pairs out that are far
-from similar: a pair of similarity 0.75 is kept out with a chance of 1 in 30,000. No other pair within the distance is left
-out unless it is connected already.
+by block, for the pairs between different components, keys that share members taken together: first each member's likeliest partners in each other component, then,
+where these did not connect them, all others. Only members that may have a link to another component are looked at: two sets
+of similarity 0.75 share one of their rarest shingles, so that texts with no more than a frequent passage in common stay out.
+This look also has a sketch of 256 bins, which keeps pairs out that are far from similar: a pair of similarity 0.75 is kept
+out with a chance of 1 in 30,000. No other pair within the distance is left out unless it is connected already.
 """
 
 from __future__ import annotations
@@ -311,6 +312,63 @@ def _first_look(classes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(pair, "kind int, a long, b long")
 
 
+def _within_reach(crowd: DataFrame, ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep of those of the crowd (rep, text_hash) that may have a link to one of another component; of the others, none has.
+
+    A link leaves at most a quarter of a set's shingles unshared, so whatever the order of all shingles, the first shared one
+    is among the first floor(n / 4) + 1 of both sets. Shingles held in one component only come first, as they join nothing,
+    then those of few holders. Who shares none of these first shingles with another component is out of its reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = shingle_sets(batch.column("text").to_pylist())
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            take = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            shingles = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep").take(take), batch.column("component_id").take(take), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(shingles)],
+                ["rep", "component_id", "n", "shingle"])
+
+    def met(rows: DataFrame) -> DataFrame:
+        """The shingles held in several components, and how many hold them."""
+        by_shingle = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+        return cut(by_shingle.where("low <> high").select("shingle", "holders"))
+
+    placed = crowd.join(ends.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = may_occur(texts, crowd, "rep", "asked").where("asked").drop("asked")
+    held = cut(
+        texts.join(placed, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"])
+        .select("rep", "component_id", "text").mapInArrow(run, "rep long, component_id long, n int, shingle long")
+    )
+    one = Window.partitionBy("rep")
+    first = cut(
+        held.join(met(held), "shingle")
+        .withColumn("alone", F.col("n") - F.count(F.lit(1)).over(one))
+        .withColumn("place", F.row_number().over(one.orderBy("holders", "shingle")))
+        .where("alone + place <= floor(n / 4) + 1").select("rep", "component_id", "shingle")
+    )
+    return first.join(met(first), "shingle", "left_semi").select("rep").distinct()
+
+
+def _neighbourhoods(members: DataFrame, block_rows: int) -> DataFrame:
+    """Members (a) of keys (b), with keys that hang together by shared members made one, so that a member that shares many
+    keys with the same others is there once. Where that would send more rows around than the keys one by one, these stay."""
+    home = cut(components(members.select("a", "b")))
+    names = F.xxhash64("component_id").alias("b")  # not itself, which is one of the keys as a rule
+    together = cut(members.select(F.col("a").alias("id")).distinct().join(home, "id").select(F.col("id").alias("a"), names))
+    rows = F.sum(F.col("n") * F.ceil(F.col("n") / block_rows))
+    sizes = members.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    apart = cut(sizes.join(home, "id").select(F.col("id").alias("key"), names, "n"))
+    fewer = cut(
+        together.groupBy("b").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(rows.alias("once"))
+        .join(apart.groupBy("b").agg(rows.alias("each")), "b").where("each < once").select("b")
+    )
+    single = apart.join(fewer, "b", "left_semi").select(F.col("key").alias("b"))
+    return cut(together.join(fewer, "b", "left_anti").unionByName(members.join(single, "b", "left_semi").select("a", "b")))
+
+
 def _second_look(members: DataFrame, classes: DataFrame, ends: DataFrame, block_rows: int, best: int | None) -> DataFrame:
     """Candidates between different components, of the keys that many share and that are not all one component.
 
@@ -343,7 +401,7 @@ def _second_look(members: DataFrame, classes: DataFrame, ends: DataFrame, block_
             whole = _sig_rows(rows.column("sig").combine_chunks())
             full = np.ascontiguousarray(whole[:, : 2 * PLACES]).view("<u2")
             sig, sketch, keys = _nibbles(full), whole[:, 2 * PLACES :], chunk_keys(full)
-            this = int(np.flatnonzero((keys == rows.column("key")[0].as_py()).any(axis=0))[0])
+            this = int(np.append(np.flatnonzero((keys == rows.column("key")[0].as_py()).any(axis=0)), 0)[0])  # 0 for a neighbourhood
             left, right = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
             all_i, all_j = [], []
             for k in range(0, len(left), 64):
@@ -496,8 +554,12 @@ def near_duplicates(docs: DataFrame, block_rows: int = 512) -> DataFrame:
     ends = cut(components(links))
     members = found.where("kind = 1")
     if not members.isEmpty():
-        crowd = members.select(F.col("a").alias("rep"))
-        crowd = cut(may_occur(classes, crowd, "rep", "asked").where("asked").drop("asked"))  # signatures of the others stay where they are
+        crowd = members.select(F.col("a").alias("rep")).distinct()
+        some = may_occur(classes.select("rep", "text_hash"), crowd, "rep", "asked").where("asked").drop("asked")
+        crowd = cut(some.join(crowd, "rep", "left_semi"))
+        reach = cut(_within_reach(crowd, ends, docs))
+        members = _neighbourhoods(cut(members.select("a", "b").join(reach.withColumnRenamed("rep", "a"), "a", "left_semi")), block_rows)
+        crowd = cut(may_occur(classes, reach, "rep", "asked").where("asked").drop("asked"))  # signatures of the others stay where they are
         likely = cut(_second_look(members, crowd, ends, block_rows, 2))
         if not likely.isEmpty():
             links = cut(links.unionByName(_linked_blocks(likely, classes, docs)))

@@ -272,3 +272,62 @@ def test_second_look_makes_a_row_per_member_not_per_pair(spark):
     found = minhash._second_look(members, classes, spark.createDataFrame([], "id long, component_id long"), 512, 2).collect()
     assert len(sharing) > 8 and sorted({r.rep for r in found}) == sorted(r.rep for r in found)
     assert len(found) <= len(sharing) < sum(len(r.partners or ()) for r in found)
+
+
+def near_group(rng, n, far=0.3):
+    """A group of near copies, some far from the others, and twice as many texts that share no more than a passage with them."""
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for k in range(n):
+        share = rng.uniform(0.02, 0.08) if rng.random() < far else rng.uniform(0, 0.02)
+        rows.append((k, " ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base)))
+    return [*rows, *((n + k, " ".join([*base[:80], *(f"own{rng.randrange(10**9)}" for _ in range(40))])) for k in range(2 * n))]
+
+
+def test_second_look_meets_a_member_once_not_once_a_key(frame, monkeypatch):
+    """Near copies share dozens of keys, and texts with a common passage some: each that may have a link is looked at once."""
+    seen = []
+    real = minhash._second_look
+
+    def look(members, *rest):
+        seen.append([(r.a, r.b) for r in members.collect()])
+        return real(members, *rest)
+
+    monkeypatch.setattr(minhash, "_second_look", look)
+    rows = near_group(random.Random(4), 80)
+    sets, links = shingle_links(rows)
+    home = smallest_reachable(sets, links)
+    got = minhash.near_duplicates(frame(rows)).collect()
+    assert all(r.component_id == home[r.doc_id] for r in got)
+    assert len(seen) == 2 and all(len(m) == len({a for a, _ in m}) and all(a < 80 for a, _ in m) for m in seen)
+
+
+@pytest.mark.parametrize("kept_links", [0, 0.3, 0.9])
+def test_all_ends_of_open_links_are_within_reach(frame, kept_links):
+    """Whatever components are known already, both ends of every link between two of them are kept; repeated rows do not count."""
+    rng = random.Random(5)
+    rows = [*near_group(rng, 30), *((1000 + d, t) for d, t in near_rows(rng) if t and t.strip())]
+    rows += rows[:7]
+    sets, links = shingle_links(rows)
+    known = smallest_reachable(sets, [x for x in links if rng.random() < kept_links])
+    docs = frame(rows)
+    crowd = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("text_hash")).distinct()
+    ends = frame([]).sparkSession.createDataFrame([(i, c) for i, c in known.items()], "id long, component_id long")
+    got = [r.rep for r in minhash._within_reach(crowd, ends, docs).collect()]
+    assert len(got) == len(set(got))
+    assert {x for a, b in links if known[a] != known[b] for x in (a, b)} <= set(got)
+    assert not set(range(30, 90)) & set(got)  # a passage in common is no reach
+
+
+def test_neighbourhoods(spark):
+    """Keys that share members become one; a chain of keys that would make more rows together stays as it is."""
+    same = [(a, 100 + b) for a in range(10) for b in range(6)]
+    chain = [(1000 + 3 * b + k, 200 + b) for b in range(40) for k in range(4)]
+    members = spark.createDataFrame(same + chain, "a long, b long")
+    got = [(r.a, r.b) for r in minhash._neighbourhoods(members, 4).collect()]
+    near, far = [x for x in got if x[0] < 1000], [x for x in got if x[0] >= 1000]
+    assert sorted(a for a, _ in near) == list(range(10)) and len({b for _, b in near}) == 1
+    assert sorted(far) == sorted(chain)
+    assert len(minhash._neighbourhoods(members, 512).collect()) == 10 + len({a for a, _ in chain})
+    assert minhash._neighbourhoods(members.limit(0), 4).count() == 0
