@@ -7,6 +7,7 @@ late. State has a time to live, or there is none: a batch then leaves pieces tha
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -253,24 +254,36 @@ def live_convergence(counts: DataFrame) -> DataFrame:
 
 # -- progress, usage, redaction, resume -------------------------------------------------------------
 class FactBook(StatefulProcessor):
-    """Map state of one (run, kind, shard): id -> (value, seq). Emits how counts of values change, and nothing where none does."""
+    """Map state of one (run, kind, shard): piece -> its facts, id -> [value, seq] as JSON. Emits how counts of values change, and nothing where none does.
+
+    A call of the state is a round trip to the JVM, so ids are not kept one by one: a batch reads and writes a piece once,
+    however many of its ids it brings.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getMapState("facts", "id string", "value string, seq bigint")
+        self.facts = handle.getMapState("facts", "piece int", "held string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, kind, _ = key
-        table = pd.concat(list(rows)).sort_values(["seq", "value"]).drop_duplicates("id", keep="last")
+        table = pd.concat(list(rows)).sort_values(["seq", "value"]).drop_duplicates("id", keep="last").sort_values("piece")
         known = self.facts.exists()
         change: dict[str, int] = {}
-        for ident, value, seq in zip(table["id"].tolist(), table["value"].tolist(), table["seq"].tolist()):
-            before = self.facts.getValue((ident,)) if known and self.facts.containsKey((ident,)) else None
+        held, at, moved = {}, None, False
+        for piece, ident, value, seq in zip(table["piece"].tolist(), table["id"].tolist(), table["value"].tolist(), table["seq"].tolist()):
+            if piece != at:
+                if moved:
+                    self.facts.updateValue((at,), (json.dumps(held),))
+                held = json.loads(self.facts.getValue((piece,))[0]) if known and self.facts.containsKey((piece,)) else {}
+                at, moved = piece, False
+            before = held.get(ident)
             if before is not None:
                 if (seq, value) <= (before[1], before[0]):
                     continue
                 change[before[0]] = change.get(before[0], 0) - 1
             change[value] = change.get(value, 0) + 1
-            self.facts.updateValue((ident,), (value, seq))
+            held[ident], moved = [value, seq], True
+        if moved:
+            self.facts.updateValue((at,), (json.dumps(held),))
         out = [(run, kind, value, n) for value, n in change.items() if n]
         yield pd.DataFrame(out, columns=["run", "kind", "value", "delta"])
 
@@ -278,16 +291,19 @@ class FactBook(StatefulProcessor):
         pass
 
 
-def fact_changes(facts: DataFrame, shards: int = 32) -> DataFrame:
+def fact_changes(facts: DataFrame, shards: int = 32, pieces: int = 4096) -> DataFrame:
     """``facts``: run, kind, id, value, seq -> (run, kind, value, delta), update mode: how many ids more or fewer have a value.
 
     Of several facts on one id the one with the largest seq holds (of ties, the larger value), in whatever order they come;
-    a repeated fact changes nothing. Ids of a kind are dealt over ``shards`` map states. Facts without id are left out.
+    a repeated fact changes nothing. Ids of a kind are dealt over ``shards`` map states of at most ``pieces`` entries each.
+    Facts without id are left out.
     """
     use_rocksdb(facts.sparkSession)
+    code = F.xxhash64("id")
     given = facts.filter("id is not null").select(
         F.coalesce("run", F.lit("")).alias("run"), "kind", F.col("id").cast("string").alias("id"), F.coalesce("value", F.lit("")).alias("value"),
-        F.coalesce(F.col("seq").cast("bigint"), F.lit(0)).alias("seq"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+        F.coalesce(F.col("seq").cast("bigint"), F.lit(0)).alias("seq"), F.pmod(code, F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.shiftright(code, 32), F.lit(pieces)).cast("int").alias("piece"))
     return given.groupBy("run", "kind", "shard").transformWithStateInPandas(
         statefulProcessor=FactBook(), outputStructType="run string, kind string, value string, delta bigint", outputMode="Update", timeMode="None"
     )
