@@ -46,8 +46,8 @@ def candidates(spark, sf):
     return v.groupBy(F.col("id").alias("candidate_id"), "path", "line").agg(F.min("lens").alias("lens"), F.min("category").alias("category")).withColumn("title", F.lit(""))
 
 
-def scored(spark, sf):
-    return rc.match_slots(slots(spark, sf), candidates(spark, sf))
+def scored(spark, sf, found=None):
+    return rc.match_slots(slots(spark, sf), found if found is not None else candidates(spark, sf))
 
 
 @query("match_slots", "J7", f"WITH RECURSIVE {MATCH} SELECT s.slot, s.found, s.matched_id, abs(c.line - s.line) AS line_distance FROM scored s LEFT JOIN c ON c.candidate_id = s.matched_id")
@@ -63,7 +63,8 @@ near AS (SELECT s.slot, bool_and(t.matched_id IS NOT NULL) AS claimed FROM misse
 SELECT m.slot, CASE WHEN sib.shadowed_by IS NOT NULL THEN 'fold-shadow' WHEN near.claimed THEN 'claim-shadow' ELSE 'cold-miss' END AS mechanism, sib.shadowed_by
 FROM missed m LEFT JOIN sib ON sib.slot = m.slot LEFT JOIN near ON near.slot = m.slot""")
 def diagnose_misses(spark, sf):
-    return rc.diagnose_misses(scored(spark, sf), candidates(spark, sf))
+    found = cut(candidates(spark, sf), "zstd")
+    return rc.diagnose_misses(scored(spark, sf, found), found)
 
 
 @query("mislabelled_slots", "J24", f"""
@@ -71,7 +72,8 @@ WITH RECURSIVE {MATCH}, h AS (SELECT s.slot, s.family, c.candidate_id, row_numbe
   FROM scored s JOIN c ON c.path = s.path AND abs(c.line - s.line) <= 40 WHERE s.historical AND NOT s.found)
 SELECT slot, family, candidate_id AS refound_as FROM h WHERE r = 1""")
 def mislabelled_slots(spark, sf):
-    return rc.mislabelled(scored(spark, sf), candidates(spark, sf))
+    found = cut(candidates(spark, sf), "zstd")
+    return rc.mislabelled(scored(spark, sf, found), found)
 
 
 RUNS = """

@@ -156,10 +156,12 @@ def mislabelled(scored: DataFrame, candidates: DataFrame, window: int = C.MATCH_
     """Missed historical slots with any candidate in the window, whatever its family: the first one in (line, id) order."""
     width = window + 1
     per_line = candidates.groupBy("path", F.col("line").alias("c_line")).agg(F.min("candidate_id").alias("candidate_id"))
-    spread = per_line.withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.col("c_line") / width))))
-    missed = scored.filter("historical AND NOT found").withColumn("b", F.floor(F.col("line") / width))
+    placed = per_line.withColumn("b", F.floor(F.col("c_line") / width))
+    # missed slots are few, candidates many: the slots go to the three buckets that may hold one
+    missed = scored.filter("historical AND NOT found").withColumn(
+        "b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.col("line") / width))))
     return (
-        missed.join(by_key(spread), ["path", "b"]).filter(F.abs(F.col("c_line") - F.col("line")) <= window)
+        missed.join(by_key(placed), ["path", "b"]).filter(F.abs(F.col("c_line") - F.col("line")) <= window)
         .groupBy("slot", "family").agg(F.min_by("candidate_id", F.struct("c_line", "candidate_id")).alias("refound_as"))
     )
 
