@@ -150,6 +150,12 @@ def calls(monkeypatch, module, name):
     return seen
 
 
+def test_below_bar_units_makes_its_history_once(spark, tables, monkeypatch):
+    seen = calls(monkeypatch, history.hist, "observed_ids")
+    rows = history.below_bar_units(spark, tables).collect()
+    assert len(seen) == 1 and {r.unit_id for r in rows} <= {f"UNIT-00{i}" for i in range(1, 6)}
+
+
 @pytest.mark.parametrize("name", ["mislabelled_slots", "diagnose_misses"])
 def test_candidates_of_a_key_are_made_once(spark, tables, monkeypatch, name):
     seen = calls(monkeypatch, recall, "candidates")
