@@ -156,6 +156,10 @@ def test_below_bar_units_makes_its_history_once(spark, tables, monkeypatch):
     assert len(seen) == 1 and {r.unit_id for r in rows} <= {f"UNIT-00{i}" for i in range(1, 6)}
 
 
+def test_seal_coverage_starts_from_stored_rows(spark, tables):
+    assert not any("lineitem" in f or "orders" in f for f in history.seal_coverage(spark, tables).inputFiles())
+
+
 @pytest.mark.parametrize("name", ["mislabelled_slots", "diagnose_misses"])
 def test_candidates_of_a_key_are_made_once(spark, tables, monkeypatch, name):
     seen = calls(monkeypatch, recall, "candidates")
